@@ -5,9 +5,11 @@ container, which nests, goes through Python: one Arrow-batched function around t
 standard HTML parser.
 """
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
@@ -16,6 +18,9 @@ from pressmill.functions.text import SPACE, first_match, nonempty, strip
 from pressmill.functions.urls import absolute_url
 from pressmill.operators.links import unescape_basic
 
+# The parser travels to the workers with the job; they need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Script variables of a page and the field they fill.
 SCRIPT_VARIABLES = {
     "title": "msg_title", "description": "msg_desc", "link": "msg_link", "source_url": "msg_source_url",

@@ -24,6 +24,12 @@ def read_json_lines(spark, path, pattern="*.json"):
             .withColumn("file", F.col("_metadata.file_name")))
 
 
+def parse_dumps(df, column="value", file="file"):
+    """Dump rows from a text column that holds whole dumps (for dumps kept in a table)."""
+    return df.select(F.col(file).alias("file"), F.from_json(column, schema.DUMP).alias("d")).select(
+        "file", "d.export_info", "d.articles")
+
+
 def dump_articles(dumps):
     """Articles of dump rows with their position in the file."""
     return (dumps.selectExpr("file", "export_info", "posexplode(articles) AS (pos, article)")

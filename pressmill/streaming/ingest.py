@@ -38,8 +38,18 @@ def daily_counts(stream, time, *keys, watermark="1 day"):
 
 
 def keep_latest(counts, path, checkpoint):
-    """Keep the current counts of a stream in a Parquet folder, rewritten every batch."""
-    def overwrite(batch, _batch_id):
-        batch.write.mode("overwrite").parquet(path)
-    return (counts.writeStream.outputMode("complete").foreachBatch(overwrite)
+    """Write the current counts of a stream, one Parquet folder per batch below ``path``.
+
+    A folder is complete before the next begins, so readers never meet half a result.
+    """
+    def snapshot(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return (counts.writeStream.outputMode("complete").foreachBatch(snapshot)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_latest(spark, path):
+    """Counts of the newest batch."""
+    every = spark.read.option("basePath", path).parquet(path)
+    newest = every.agg(F.max("batch")).scalar()
+    return every.filter(F.col("batch") == newest).drop("batch")
