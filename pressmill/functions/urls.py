@@ -4,41 +4,34 @@ from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
 from pressmill.functions.matching import contains_one_of
-from pressmill.functions.text import CJK, SPACE, first_match, nonempty, rstrip, strip
+from pressmill.functions.text import CJK, SPACE, nonempty, rstrip, strip
 
 
 def _has_scheme(c):
     return c.startswith("http://") | c.startswith("https://")
 
 
-def with_fixed_url(df, url="url", out="url"):
+_DIRTY = f"{SPACE}{CJK}"
+
+
+def fixed_url(c):
     """Repair common damage of URLs.
 
     Takes the first of several URLs, drops a label in front (``text：http``), repairs
     scheme typos, adds ``https://`` to bare domains and cuts at blanks or CJK letters.
-    Every step is a projection of its own, so no text is computed twice.
+    Every step uses the text once, so the expression stays small wherever Spark puts it.
     """
-    u = F.col("_u")
-    df = df.withColumn("_u", strip(F.coalesce(F.col(url), F.lit(""))))
-    first_of_many = first_match(u, rf"(?:^|[{SPACE}])(https?://[^{SPACE}]*)")
-    df = df.withColumn("_u", F.when(F.contains(u, F.lit(" ")), F.coalesce(first_of_many, u)).otherwise(u))
-    for colon in ("：", ":"):
-        # The part between the first and the second "<colon>http"; only the full-width
-        # form is tried when both occur.
-        piece = F.concat(F.lit("http"), F.split_part(u, F.lit(colon + "http"), F.lit(2)))
-        hit = F.contains(u, F.lit(colon + "http"))
-        if colon == "：":
-            df = df.withColumn("_wide", hit).withColumn("_u", F.when(hit, piece).otherwise(u))
-        else:
-            df = df.withColumn("_u", F.when(hit & ~F.col("_wide"), piece).otherwise(u))
+    u = strip(F.coalesce(c, F.lit("")))
+    u = F.regexp_replace(u, rf"(?s)^(?=.* ).*?(?<![^{SPACE}])(https?://[^{SPACE}]*).*$", "$1")
+    # What stands between the first and the second "：http"; the ASCII colon counts only
+    # where there is no full-width one.
+    u = F.regexp_replace(u, "(?s)^(?:.*?：http(.*?)(?:：http.*)?|(?!.*：http).*?:http(.*?)(?::http.*)?)$", "http$1$2")
     for wrong, right in fv.SCHEME_TYPOS:
-        df = df.withColumn("_u", F.replace(u, F.lit(wrong), F.lit(right)))
-    bare = (~_has_scheme(u) & ~u.startswith("ftp://") & F.contains(u, F.lit("."))
-            & ~u.startswith("/"))
-    df = df.withColumn("_u", rstrip(F.when(bare, F.concat(F.lit("https://"), u)).otherwise(u)))
-    dirty = _has_scheme(u) & u.rlike(f"[{SPACE}{CJK}]")
-    usable = F.coalesce(first_match(u, rf"(https?://[^{SPACE}{CJK}]+)"), F.lit(""))
-    return df.withColumn(out, F.when(dirty, usable).otherwise(u)).drop("_u", "_wide")
+        u = F.replace(u, F.lit(wrong), F.lit(right))
+    u = F.regexp_replace(u, r"(?s)^(?!https?://|ftp://|/)(?=.*\.)", "https://")
+    u = rstrip(u)
+    return F.regexp_replace(
+        u, rf"(?s)^(?=https?://)(?=.*[{_DIRTY}])(?:.*?(https?://[^{_DIRTY}]+).*|.*)$", "$1")
 
 
 def has_web_scheme(c):

@@ -8,9 +8,10 @@ from pressmill.functions import dates
 from pressmill.functions.text import (
     SPACE, SPACE_IN_LINE, clean_content, clean_field, contains_any_case, episode, is_blank,
     nonempty, strip, title_without_episode, with_summary)
-from pressmill.functions.urls import has_web_scheme, is_valid_url, with_fixed_url
+from pressmill.functions.urls import fixed_url, has_web_scheme, is_valid_url
 from pressmill.operators.numbering import number_rows
 
+ALL = 1_000_000_000  # length that means "to the end" in slice()
 STRATEGIES = ("url", "title", "episode", "title_author", "url_title")
 COMPLETENESS_FIELDS = ["author", "url", "title", "episode", "time", "introduce"]
 
@@ -57,7 +58,7 @@ def numbered_items(df, text="cleaned"):
     start = rf"(?dm)^[{SPACE_IN_LINE}]*\p{{Nd}}+[.、][{SPACE_IN_LINE}]*(?=[^{SPACE}])"
     # U+0001 marks the starts; it cannot be part of an item's own text afterwards.
     marked = F.regexp_replace(F.replace(F.col(text), F.lit("\x01"), F.lit("")), start, "\x01")
-    pieces = F.slice(F.split(marked, "\x01"), 2, 2147483647)
+    pieces = F.slice(F.split(marked, "\x01"), 2, ALL)
     rows = df.select("*", F.posexplode_outer(pieces).alias("_no", "_item"))
     head = strip(F.split_part("_item", F.lit("\n"), F.lit(1)))
     by = rf"(?iu)^(.+?)[{SPACE}]+by[{SPACE}]+([\p{{L}}\p{{N}}_]+)"
@@ -65,7 +66,7 @@ def numbered_items(df, text="cleaned"):
     rows = rows.withColumns({
         "_head": head,
         "_lines": F.filter(
-            F.transform(F.slice(F.split("_item", "\n"), 2, 2147483647), strip), lambda s: s != "")})
+            F.transform(F.slice(F.split("_item", "\n"), 2, ALL), strip), lambda s: s != "")})
     is_by, is_paren = F.col("_head").rlike(by), F.col("_head").rlike(paren)
 
     def part(i, default):
@@ -90,10 +91,10 @@ def digest_export(df):
     """
     marker = F.contains(F.coalesce(F.col("title"), F.lit("")), F.lit(fv.COLLECTION_MARKER))
     any_digest = df.agg(F.max(marker)).scalar()
-    cleaned = df.withColumn("cleaned", F.when(any_digest, clean_content(F.coalesce(F.col("content"), F.lit("")))))
-    items = numbered_items(cleaned)
-    whole = with_summary(items.withColumn(
-        "cleaned", F.coalesce("cleaned", clean_content(F.coalesce(F.col("content"), F.lit(""))))))
+    # Summaries are made before the split, once per article.
+    cleaned = with_summary(df.withColumn("cleaned", clean_content(F.coalesce(F.col("content"), F.lit("")))))
+    items = cleaned.withColumn("_searched", F.when(any_digest, F.col("cleaned"))).drop("content", "cleaned")
+    whole = numbered_items(items, "_searched")
     is_item = F.col("item_no").isNotNull()
     title = F.coalesce(F.col("title"), F.lit(""))
     return whole.select(
@@ -157,9 +158,9 @@ def _collection_item(block):
     same_line = F.element_at(above, -1)
     earlier = F.filter(F.slice(above, 1, F.size(above) - 1), lambda s: (s != "") & (F.length(s) < 200))
     title = F.coalesce(nonempty(same_line), F.try_element_at(earlier, F.lit(-1)), none)
-    below = F.filter(F.slice(lines(block["after"]), 2, 2147483647), lambda s: s != "")
+    below = F.filter(F.slice(lines(block["after"]), 2, ALL), lambda s: s != "")
     names = F.filter(below, has_name)
-    author = F.coalesce(F.transform(F.slice(F.reverse(names), 1, 1), name_of)[0], none)
+    author = F.coalesce(name_of(F.try_element_at(names, F.lit(-1))), none)
     body = F.filter(F.transform(below, lambda s: F.when(has_name(s), behind_colon(s)).otherwise(s)),
                     lambda s: s != "")
     first = F.try_element_at(body, F.lit(1))
@@ -167,7 +168,7 @@ def _collection_item(block):
     return F.struct(
         F.when(borrow, first).otherwise(title).alias("title"),
         block["url"].alias("url"),
-        F.array_join(F.when(borrow, F.slice(body, 2, 2147483647)).otherwise(body), "\n").alias("content"),
+        F.array_join(F.when(borrow, F.slice(body, 2, ALL)).otherwise(body), "\n").alias("content"),
         author.alias("author"))
 
 
@@ -185,7 +186,7 @@ def process_dump(normalised, as_of, smart_split=True, filter_bad=True, fill_time
     else:
         df = df.withColumns({"split": F.lit(False), "sub_pos": F.lit(0), "sub_title": F.col("title"),
                              "sub_url": F.col("url"), "sub_content": F.col("_text"), "sub_author": F.col("author")})
-    df = with_fixed_url(df, "sub_url", "sub_url")
+    df = df.withColumn("sub_url", fixed_url(F.col("sub_url")))
     no_time = F.col("time") == ""
     return df.withColumns({
         "bad": ~is_usable(F.col("sub_title"), F.col("sub_url")) if filter_bad else F.lit(False),
