@@ -48,7 +48,7 @@ def tag_line():
 
 
 def _two_digits(c):
-    return F.format_number(c, "0.00")
+    return F.format_string("%.2f", F.bround(c, 2))
 
 
 def markdown():

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from pressmill.operators import browse, jobs
-from pressmill.plans.common import ATTEMPTS_SQL, attempts, plain_articles, with_articles
+from pressmill.plans.common import ATTEMPTS_SQL, articles, attempts, with_articles
+from pressmill.plans.etl_plans import clean_sql
 from pressmill.session import new_shared_path
 from pressmill.streaming import ingest
 
@@ -31,7 +32,9 @@ def _batches(s, d):
 register("j1_batch_outcomes", _batches, with_attempts("SELECT * FROM batches", BATCHES))
 register("q13_jobs_by_status", lambda s, d: jobs.jobs_by_status(_batches(s, d), "completed", 50, "batch"),
          with_attempts("SELECT * FROM batches WHERE status = 'completed' ORDER BY batch DESC LIMIT 50", BATCHES))
-register("q12_detail", lambda s, d: browse.detail(plain_articles(s, d)).select("id", "content_length", "cleaned_length", "preview"))
+register("q12_detail", lambda s, d: browse.detail(articles(s, d)).select("id", "content_length", "cleaned_length", "preview"),
+         with_articles("SELECT id, length(content) AS content_length, length(c) AS cleaned_length, left(c, 1000) AS preview FROM "
+                       f"(SELECT *, {clean_sql('content')} AS c FROM articles)"))
 register("j2_reliability", lambda s, d: jobs.endpoint_reliability(attempts(s, d)),
          with_attempts("SELECT host, port, count(*) FILTER (ok) AS success_count, count(*) FILTER (NOT ok) AS failure_count, max(ts) AS last_used, "
                        "count(*) FILTER (ok) / count(*)::DOUBLE AS reliability FROM attempts GROUP BY 1, 2"))

@@ -33,7 +33,6 @@ def shared_dir(spark):
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = os.path.join(tempfile.gettempdir(), "pressmill-shared")
-        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
