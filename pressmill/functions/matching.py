@@ -33,7 +33,9 @@ def whole_word_pattern(keyword):
 
 
 def string_array(values):
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    if not values:
+        return F.array().cast("array<string>")
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
 
 
 def exploded(df, keep, array, out):
@@ -86,42 +88,51 @@ def with_cjk_flag(df, text, out="_cjk"):
     return df.withColumn(out, F.col(text).rlike(f"[{CJK}]"))
 
 
-def _gated(needles, combine, gate):
-    """Combine tests of Latin needles with those of CJK needles behind the gate."""
-    latin = [n for n in needles if not _is_cjk(n)]
-    cjk = [n for n in needles if _is_cjk(n)]
-    return combine(latin), (F.when(F.col(gate), combine(cjk)) if cjk else None)
+def sql_text(value):
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _tests(column, needles, gate, combine, none):
+    """SQL that combines one substring test per needle; CJK needles only behind the gate.
 
-def count_present(text, needles, gate=None):
-    """How many of the needles occur as substrings."""
-    def total(group):
-        out = F.lit(0)
-        for n in group:
-            out = out + F.contains(text, F.lit(n)).cast("int")
-        return out
+    Written as SQL text: one expression with hundreds of tests is parsed faster than it is
+    put together from column objects.
+    """
+    def all_of(group):
+        tests = [f"contains(`{column}`, {sql_text(n)})" for n in group]
+        return combine(tests) if tests else none
     if gate is None:
-        return total(needles)
-    latin, cjk = _gated(needles, total, gate)
-    return latin if cjk is None else latin + F.coalesce(cjk, F.lit(0))
+        return all_of(needles), None
+    cjk = [n for n in needles if _is_cjk(n)]
+    latin = [n for n in needles if not _is_cjk(n)]
+    return all_of(latin), (f"coalesce(CASE WHEN `{gate}` THEN {all_of(cjk)} END, {none})" if cjk else None)
 
 
-def contains_one_of(text, needles, gate=None):
-    def any_of(group):
-        out = F.lit(False)
-        for n in group:
-            out = out | F.contains(text, F.lit(n))
-        return out
-    if gate is None:
-        return any_of(needles)
-    latin, cjk = _gated(needles, any_of, gate)
-    return latin if cjk is None else latin | F.coalesce(cjk, F.lit(False))
+def count_present(column, needles, gate=None):
+    """How many of the needles occur as substrings of a text column, given by name."""
+    latin, cjk = _tests(column, needles, gate, lambda t: "(" + " + ".join(f"CAST({x} AS INT)" for x in t) + ")", "0")
+    return F.expr(latin if cjk is None else f"{latin} + {cjk}")
+
+
+def contains_one_of(text, needles):
+    """Whether one of a few needles occurs in a text expression."""
+    out = F.lit(False)
+    for n in needles:
+        out = out | F.contains(text, F.lit(n))
+    return out
+
+
+def column_contains(column, needles, gate=None):
+    """Whether one of the needles occurs in a text column, given by name."""
+    latin, cjk = _tests(column, needles, gate, lambda t: "(" + " OR ".join(t) + ")", "false")
+    return F.expr(latin if cjk is None else f"({latin} OR {cjk})")
 
 
-def mapped_values(text, mapping):
-    """Values whose key occurs in the text, each once, in map order."""
-    return drop_nulls(F.array(*[
-        F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in mapping.items()]))
+def mapped_values(column, mapping):
+    """Values whose key occurs in a text column, each once, in map order."""
+    cases = ", ".join(f"CASE WHEN contains(`{column}`, {sql_text(k)}) THEN {sql_text(v)} END" for k, v in mapping.items())
+    return drop_nulls(F.expr(f"array({cases})"))
 
 
 # Three shapes of identifiers: a cheap test that has to hold, then the pattern.

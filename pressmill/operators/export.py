@@ -28,7 +28,7 @@ def with_categories(df, mapping=None):
     """
     mapping = mapping or fv.EXPORT_CATEGORIES
     df = df.withColumn("_lower", F.lower(text_of()))
-    df = df.withColumn("_cats", mapped_values(F.col("_lower"), mapping))
+    df = df.withColumn("_cats", mapped_values("_lower", mapping))
     return df.withColumn("categories", F.when(F.size("_cats") > 0, F.col("_cats")).otherwise(
         F.array(F.lit(fv.EXPORT_DEFAULT_CATEGORY)))).drop("_lower", "_cats")
 
@@ -157,7 +157,7 @@ def vault_tags(df):
     """Add the sorted tags of a vault note (X10).  Needs tagging and quality columns."""
     lower = F.lower(text_of())
     df = df.withColumn("_lower", lower)
-    mapped = mapped_values(F.col("_lower"), fv.VAULT_TAGS)
+    mapped = mapped_values("_lower", fv.VAULT_TAGS)
     def label(prefix, c):
         return F.when(nonempty(F.col(c)).isNotNull(), F.concat(F.lit(prefix), file_name(F.col(c), brackets=True)))
     tech = F.transform("tech_stack", lambda t: F.lower(F.regexp_replace(t, r"[^a-zA-Z0-9一-鿿]", "")))

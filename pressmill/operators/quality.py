@@ -7,7 +7,7 @@ except where code blocks have to be left out.
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
-from pressmill.functions.matching import contains_one_of, count_present, with_cjk_flag
+from pressmill.functions.matching import column_contains, contains_one_of, count_present, with_cjk_flag
 from pressmill.functions.text import CJK, SPACE, WORD, WORD_END, WORD_START, strip, text_of
 
 CODE_BLOCK = r"```[\s\S]*?```"
@@ -75,7 +75,7 @@ def with_readability(df):
 def with_technical_depth(df):
     """Indicators in three strengths, code and density, at most 1."""
     text = F.col("_lower")
-    df = df.withColumns({f"_{level}": count_present(text, needles, "_cjk")
+    df = df.withColumns({f"_{level}": count_present("_lower", needles, "_cjk")
                          for level, needles in fv.TECH_DEPTH.items()})
     much = (F.col("_blocks") > 5) | (F.col("_inline") > 20)
     some = ~much & ((F.col("_blocks") > 2) | (F.col("_inline") > 10))
@@ -97,7 +97,7 @@ def with_originality(df):
     body = F.col("_body")
     df = df.withColumns({
         "_long": F.filter(stripped_sentences(body), lambda s: F.length(s) > 10),
-        "_markers": count_present(body, fv.NON_ORIGINAL_MARKERS, "_cjk"),
+        "_markers": count_present("_body", fv.NON_ORIGINAL_MARKERS, "_cjk"),
         "_links": _count(body, rf"https?://[^{SPACE}]+", "://"),
     })
     n = F.size("_long")
@@ -123,7 +123,7 @@ def with_structure(df):
 def with_engagement(df):
     """Phrases addressed to readers and questions, five giving 1."""
     questions = F.least(_count(F.col("_body"), "[?？]") / 3, F.lit(2.0))
-    phrases = count_present(F.col("_lower"), fv.ENGAGEMENT_PHRASES, "_cjk")
+    phrases = count_present("_lower", fv.ENGAGEMENT_PHRASES, "_cjk")
     return df.withColumn("engagement", F.least((phrases + questions) / 5, F.lit(1.0)))
 
 
@@ -131,8 +131,8 @@ def with_completeness(df):
     """Title, length, conclusion, code and images."""
     body, n = F.col("_body"), F.col("_len")
     # The combined text holds the word whenever the body does, so the body is lowered rarely.
-    concludes = contains_one_of(F.col("_lower"), fv.CONCLUSION_WORDS, "_cjk") & contains_one_of(
-        F.lower(body), fv.CONCLUSION_WORDS, "_cjk")
+    concludes = column_contains("_lower", fv.CONCLUSION_WORDS, "_cjk") & contains_one_of(
+        F.lower(body), fv.CONCLUSION_WORDS)
     has_image = F.contains(body, F.lit("](")) & body.rlike(IMAGE)
     score = F.when(F.length(strip(F.coalesce(F.col("title"), F.lit("")))) > 5, 0.2).otherwise(0.0)
     score = score + F.when(n > 2000, 0.4).when(n > 1000, 0.3).when(n > 500, 0.2).when(n > 100, 0.1).otherwise(0.0)

@@ -29,9 +29,9 @@ def with_category_hits(df, lexicon=None):
     lexicon = lexicon or fv.TAG_LEXICON
     every = list(dict.fromkeys(k for _, keys in lexicon.values() for k in keys))
     df = with_whole_words(df, "_lower", every, "_found")
-    for name, (_, keys) in lexicon.items():
-        df = df.withColumn(f"hits_{name}", F.array_intersect(string_array(keys), F.col("_found")))
-    return df.drop("_found")
+    hits = {f"hits_{name}": F.array_intersect(string_array(keys), F.col("_found"))
+            for name, (_, keys) in lexicon.items()}
+    return df.withColumns(hits).drop("_found")
 
 
 def _repeated_sum(weight, n):
@@ -45,7 +45,7 @@ def _repeated_sum(weight, n):
 def category_score(name, lexicon=None):
     """Sum of the weights of a category's hits."""
     weight, keys = (lexicon or fv.TAG_LEXICON)[name]
-    sums = F.array(*[F.lit(v) for v in _repeated_sum(weight, len(keys))])
+    sums = F.expr("array(" + ", ".join(f"{v!r}D" for v in _repeated_sum(weight, len(keys))) + ")")
     return F.get(sums, F.size(f"hits_{name}"))
 
 
@@ -58,7 +58,7 @@ def _difficulty_pattern(sequence):
 def _level_score(level, text):
     """One per substring, two per word sequence that occurs."""
     needles, sequences = fv.DIFFICULTY[level]
-    score = count_present(text, needles, "_cjk")
+    score = count_present("_lower", needles, "_cjk")
     for seq in sequences:
         first = seq.split(" ")[0]
         hit = F.contains(text, F.lit(first)) & text.rlike(_difficulty_pattern(seq))
@@ -75,9 +75,11 @@ def with_tag_features(df, lexicon=None):
     df = df.withColumn("_lower", F.lower(text_of()))
     df = with_category_hits(with_cjk_flag(df, "_lower"), lexicon)
     text = F.col("_lower")
-    df = df.withColumns({f"score_{c}": category_score(c, lexicon) for c in lexicon})
-    df = df.withColumns({f"_level_{n}": _level_score(n, text) for n in fv.DIFFICULTY})
-    df = df.withColumns({f"_type_{n}": count_present(text, k, "_cjk") for n, k in fv.CONTENT_TYPES.items()})
+    df = df.withColumns({
+        **{f"score_{c}": category_score(c, lexicon) for c in lexicon},
+        **{f"_level_{n}": _level_score(n, text) for n in fv.DIFFICULTY},
+        **{f"_type_{n}": count_present("_lower", k, "_cjk") for n, k in fv.CONTENT_TYPES.items()},
+    })
     df = with_difficulty(df, lexicon)
     return with_content_type(df).drop("_lower", "_cjk")
 
