@@ -199,7 +199,8 @@ def page_account(selectors=None):
 
 def page_time(selectors=None):
     """Publication time: epoch seconds of the script, else the first element that reads (H5)."""
-    epoch = F.timestamp_seconds(F.col("js.publish_time").try_cast("bigint")).cast("timestamp_ntz")
+    epoch = F.timestamp_add("SECOND", F.col("js.publish_time").try_cast("bigint"),
+                            dates.as_timestamp("1970-01-01 00:00:00"))
     return F.coalesce(epoch, *[dates.parse_date(select_text(s), dates.PAGE_FORMATS)
                                for s in (selectors or fv.TIME_SELECTORS)])
 

@@ -44,21 +44,21 @@ def endpoint_state(attempts, keys=("host", "port"), ok="ok", time="ts", tie="seq
 
     A failure adds one to the failure counter, a success takes one off but not below
     zero.  The counter after all steps is (sum of steps) - min(0, lowest running sum).
-    Running sums are taken per endpoint and hour, then over the hours of an endpoint,
+    Running sums are taken per endpoint and minute, then over the minutes of an endpoint,
     so no endpoint's attempts have to meet in one task.
     """
     keys = list(keys)
-    attempts = attempts.withColumn("_hour", F.date_trunc("hour", time)).withColumn(
+    attempts = attempts.withColumn("_minute", F.date_trunc("minute", time)).withColumn(
         "_step", F.when(F.col(ok), -1).otherwise(1))
     order = [F.col(time), F.col(tie)]
-    inside = Window.partitionBy(*keys, "_hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hours = (attempts.withColumn("_run", F.sum("_step").over(inside))
-             .groupBy(*keys, "_hour").agg(
+    inside = Window.partitionBy(*keys, "_minute").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    minutes = (attempts.withColumn("_run", F.sum("_step").over(inside))
+             .groupBy(*keys, "_minute").agg(
                  F.sum("_step").alias("_sum"), F.min("_run").alias("_low"),
                  F.count_if(F.col(ok)).alias("_ok"), F.max(time).alias("_last")))
-    before = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.withColumn("_low", F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.col("_low"))
-    state = hours.groupBy(*keys).agg(
+    before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.withColumn("_low", F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.col("_low"))
+    state = minutes.groupBy(*keys).agg(
         F.sum("_ok").alias("success_count"),
         (F.sum("_sum") - F.least(F.lit(0), F.min("_low"))).alias("failure_count"),
         F.max("_last").alias("last_used"))

@@ -109,8 +109,21 @@ register("x12_wikilinks", lambda s, d: export.wikilink_edges(noted(s, d)),
          with_articles("SELECT id AS src, 'Authors/' || author AS dst, 'Authors' AS kind FROM tagsets WHERE author <> '' UNION ALL "
                        "SELECT id, 'Accounts/' || account_name, 'Accounts' FROM tagsets WHERE account_name <> '' UNION ALL "
                        "SELECT id, 'Tags/' || replace(unnest(vault_tags[1:10]), '/', '-'), 'Tags' FROM tagsets", *NOTE_CTES))
+NL = "chr(10)"
+VAULT_NAME = "coalesce(nullif(left(" + strip_sql("regexp_replace(title, " + quote('[<>:"/\\\\|?*\\[\\]]') + ", '', 'g')") + ", 100), ''), 'untitled')"
+NOTE_SQL = " || ".join([
+    f"'---' || {NL} || 'title: ' || title || {NL} || 'url: ' || url || {NL}", f"coalesce('author: ' || author || {NL}, '')",
+    f"'account: ' || account_name || {NL} || 'tags:' || {NL}", f"array_to_string(list_transform(vault_tags, lambda t: '  - ' || t || {NL}), '')",
+    f"coalesce('published: ' || strftime(publish_time, '%Y-%m-%dT%H:%M:%S') || {NL} || 'date: ' || strftime(publish_time, '%Y-%m-%d') || {NL}, '')",
+    f"'quality:' || {NL} || '  grade: ' || grade || {NL} || '  score: ' || round(overall, 2)::VARCHAR || {NL}",
+    f"'  word_count: ' || word_count::VARCHAR || {NL} || '  reading_time: ' || reading_time::VARCHAR || {NL} || '---' || {NL} || {NL}",
+    f"'# ' || title || {NL} || {NL} || '## 📝 摘要' || {NL} || {NL} || left(content, 200) || '...' || {NL} || {NL} || '## 🔗 链接' || {NL} || {NL}",
+    f"'- **原文**: [' || url || '](' || url || ')' || {NL} || '- **作者**: [[Authors/' || coalesce(author, 'untitled') || ']]' || {NL}",
+    f"'- **来源**: [[Accounts/' || account_name || ']]' || {NL} || {NL} || '## 🏷️ 标签' || {NL} || {NL}",
+    f"array_to_string(list_transform(vault_tags, lambda t: '#' || t), ' ') || {NL}"])
 register("x13_vault_notes", lambda s, d: export.vault_notes(export.with_row_numbers(
-    noted(s, d).select("id", "title", "url", "author", "account_name", "publish_time", "content", "vault_tags", "grade", "overall", "word_count", "reading_time"))))
+    noted(s, d).select("id", "title", "url", "author", "account_name", "publish_time", "content", "vault_tags", "grade", "overall", "word_count", "reading_time"))),
+    with_articles(f"SELECT id, printf('%04d_%s.md', row_number() OVER (ORDER BY publish_time DESC NULLS LAST, id), {VAULT_NAME}) AS file_name, {NOTE_SQL} AS note FROM tagsets", *NOTE_CTES))
 register("x14_author_grades", lambda s, d: export.author_grades(quality.with_quality(articles(s, d))),
          with_articles("SELECT author, count(*) AS total_articles, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCD")
                        + " FROM scored WHERE author IS NOT NULL AND author NOT IN ('', 'Unknown') GROUP BY 1", *QUALITY_CTES))

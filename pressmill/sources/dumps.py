@@ -70,21 +70,17 @@ def api_items(pages):
     """Items of landed API pages with defaults.
 
     ``pages`` has ``data`` and ``page_no``.  A missing id becomes the running position
-    over all pages: the items on earlier pages (one number per page) plus the place
-    within the page.
+    over all pages, counted by ranges (see ``number_rows``).
     """
-    from pyspark.sql import Window
+    from pressmill.operators.numbering import number_rows
 
-    counted = pages.select("page_no", F.size("data").alias("n"))
-    before = counted.withColumn(
-        "offset", F.coalesce(F.sum("n").over(
-            Window.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     items = pages.selectExpr("page_no", "posexplode(data) AS (pos, item)")
+    items = number_rows(items, [F.col("page_no"), F.col("pos")], out="_no")
     blank = F.lit("")
-    return (items.join(before.drop("n"), "page_no")
-            .select(F.coalesce("item.id", F.col("offset") + F.col("pos") + 1).alias("id"),
-                    *[F.coalesce(f"item.attributes.{n}", blank).alias(n)
-                      for n in ("episode", "title", "author", "url", "time", "introduce")]))
+    return items.select(
+        F.coalesce("item.id", "_no").alias("id"),
+        *[F.coalesce(f"item.attributes.{n}", blank).alias(n)
+          for n in ("episode", "title", "author", "url", "time", "introduce")])
 
 
 def read_api_pages(spark, path):

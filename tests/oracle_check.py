@@ -9,10 +9,12 @@ import time
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
+DIGITS = int(os.environ.get("CHECK_DIGITS", "9"))
+
 
 def normal(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else f"{v:.{DIGITS}g}"
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, datetime.datetime):
@@ -20,7 +22,7 @@ def normal(v):
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(normal(x) for x in v) + "]"
     try:
-        return f"{float(v):.9g}" if not isinstance(v, str) else v
+        return f"{float(v):.{DIGITS}g}" if not isinstance(v, str) else v
     except (TypeError, ValueError):
         return str(v)
 
