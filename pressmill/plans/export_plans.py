@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
 from pressmill.operators import export, notes, quality, tags
-from pressmill.plans.analysis_plans import QUALITY_CTES, tagging_ctes
+from pressmill.plans.analysis_plans import ADVICE, POINTS, QUALITY_CTES, tagging_ctes
 from pressmill.plans.common import AS_OF, PROBE_LEXICON, articles, day_sql, plain_articles, quote, strip_sql, with_articles
 from pressmill.functions.text import SPACE
 from pressmill.session import new_shared_path
@@ -99,8 +99,38 @@ register("x2_tag_line",
          lambda s, d: quality.with_quality(tags.with_tags(articles(s, d), PROBE_LEXICON)).select("id", F.array_join(export.tag_line(), " ").alias("tags")),
          with_articles("SELECT id, array_to_string(list_concat(list_transform(tech_stack, lambda t: '#' || t), ['#难度_' || difficulty, '#' || content_type, '#质量等级_' || grade, "
                        "CASE WHEN word_count < 500 THEN '#短文' WHEN word_count < 1500 THEN '#中文' ELSE '#长文' END]), ' ') AS tags FROM noted", *NOTE_CTES[:-1]))
+NL = "chr(10)"
+
+
+def _score(c):
+    return f"printf('%.2f', round_even({c}, 2))"
+
+
+def _bullets(heading, items):
+    return f"CASE WHEN len({items}) > 0 THEN '#### {heading}' || {NL} || {NL} || '- ' || array_to_string({items}, {NL} || '- ') || {NL} || {NL} ELSE '' END"
+
+
+TAG_LINE = ("array_to_string(list_concat(list_transform(tech_stack, lambda t: '#' || t), ['#难度_' || difficulty, '#' || content_type, '#质量等级_' || grade, "
+            "CASE WHEN word_count < 500 THEN '#短文' WHEN word_count < 1500 THEN '#中文' ELSE '#长文' END]), ' ')")
+DOCUMENT_SQL = " || ".join([
+    f"'# ' || title || {NL} || {NL} || '## 元信息' || {NL} || {NL} || '- **作者**: ' || coalesce(author, '未知作者') || {NL} || '- **发布账号**: ' || account_name || {NL}",
+    f"'- **发布时间**: ' || coalesce(strftime(publish_time, '%Y-%m-%d %H:%M:%S'), '') || {NL} || '- **原文链接**: [' || url || '](' || url || ')' || {NL}",
+    f"'- **标签**: ' || {TAG_LINE} || {NL} || {NL} || '---' || {NL} || {NL} || '## 正文' || {NL} || {NL} || content || {NL} || {NL} || '---' || {NL} || {NL}",
+    f"'## 文章分析' || {NL} || {NL} || '### 质量评估' || {NL} || {NL} || '- **总体评分**: ' || {_score('overall')} || '/1.00' || {NL} || '- **质量等级**: ' || grade || {NL}",
+    f"'- **字数**: ' || word_count::VARCHAR || {NL} || '- **预计阅读时间**: ' || reading_time::VARCHAR || ' 分钟' || {NL} || {NL} || '#### 详细指标' || {NL} || {NL}",
+    f"'| 指标 | 分数 |' || {NL} || '|------|------|' || {NL}",
+    *[f"'| {label} | ' || {_score(c)} || ' |' || {NL}" for label, c in [
+        ("原创性", "originality"), ("技术深度", "technical_depth"), ("可读性", "readability"), ("结构化", "structure"), ("参与度", "engagement"), ("完整性", "completeness")]],
+    NL, _bullets("文章要点", "points"), _bullets("改进建议", "advice")])
+DOCUMENT_CTES = [
+    *tagging_ctes(fv.TAG_LEXICON), *QUALITY_CTES,
+    "noted AS (SELECT t.*, s.* EXCLUDE (id, url, title, content, author, account_name, publish_time, crawl_time, lt) FROM tagged t JOIN scored s USING (id))",
+    f"documented AS (SELECT *, {POINTS} AS points, {ADVICE} AS advice, row_number() OVER (ORDER BY publish_time DESC NULLS LAST, id) AS no FROM noted)",
+]
+PLAIN_NAME = "coalesce(nullif(left(" + strip_sql("regexp_replace(title, " + quote('[<>:"/\\\\|?*]') + ", '', 'g')") + ", 100), ''), 'untitled')"
 register("x3_documents",
-         lambda s, d: export.with_documents(export.with_row_numbers(articles(s, d)).transform(export.analysed)).select("no", "file_name", "markdown"))
+         lambda s, d: export.with_documents(export.with_row_numbers(articles(s, d)).transform(export.analysed)).select("no", "file_name", "markdown"),
+         with_articles(f"SELECT no, printf('%04d_%s.md', no, {PLAIN_NAME}) AS file_name, {DOCUMENT_SQL} AS markdown FROM documented", *DOCUMENT_CTES))
 register("x10_vault_tags",
          lambda s, d: noted(s, d).select("id", F.array_join("vault_tags", "|").alias("vault_tags")),
          with_articles("SELECT id, array_to_string(vault_tags, '|') AS vault_tags FROM tagsets", *NOTE_CTES))
@@ -109,7 +139,6 @@ register("x12_wikilinks", lambda s, d: export.wikilink_edges(noted(s, d)),
          with_articles("SELECT id AS src, 'Authors/' || author AS dst, 'Authors' AS kind FROM tagsets WHERE author <> '' UNION ALL "
                        "SELECT id, 'Accounts/' || account_name, 'Accounts' FROM tagsets WHERE account_name <> '' UNION ALL "
                        "SELECT id, 'Tags/' || replace(unnest(vault_tags[1:10]), '/', '-'), 'Tags' FROM tagsets", *NOTE_CTES))
-NL = "chr(10)"
 VAULT_NAME = "coalesce(nullif(left(" + strip_sql("regexp_replace(title, " + quote('[<>:"/\\\\|?*\\[\\]]') + ", '', 'g')") + ", 100), ''), 'untitled')"
 NOTE_SQL = " || ".join([
     f"'---' || {NL} || 'title: ' || title || {NL} || 'url: ' || url || {NL}", f"coalesce('author: ' || author || {NL}, '')",
