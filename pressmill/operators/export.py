@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pressmill import fixed_values as fv
 from pressmill.functions import dates
 from pressmill.functions.matching import exploded, mapped_values
+from pressmill.functions.numbers import round_score
 from pressmill.functions.text import file_name, list_text, nonempty, text_of, truncate_words
 from pressmill.operators.numbering import number_rows
 
@@ -48,7 +49,7 @@ def tag_line():
 
 
 def _two_digits(c):
-    return F.format_string("%.2f", F.bround(c, 2))
+    return F.format_string("%.2f", round_score(c))
 
 
 def markdown():
@@ -179,7 +180,7 @@ def front_matter():
         F.col("author"), F.col("account_name").alias("account"), F.col("vault_tags").alias("tags"),
         F.date_format("publish_time", "yyyy-MM-dd'T'HH:mm:ss").alias("published"),
         dates.day("publish_time").alias("date"),
-        F.struct("grade", F.bround("overall", 2).alias("score"), "word_count", "reading_time").alias("quality"))
+        F.struct("grade", round_score(F.col("overall")).alias("score"), "word_count", "reading_time").alias("quality"))
 
 
 def wikilink_edges(df, n=10):
@@ -205,7 +206,7 @@ def vault_notes(df, no="no"):
         F.array_join(F.transform("vault_tags", lambda t: F.concat(F.lit("  - "), t, F.lit("\n"))), ""),
         line("published", F.date_format("publish_time", "yyyy-MM-dd'T'HH:mm:ss")),
         line("date", dates.day("publish_time")), F.lit("quality:\n"), line("  grade", F.col("grade")),
-        line("  score", F.bround("overall", 2)), line("  word_count", F.col("word_count")),
+        line("  score", round_score(F.col("overall"))), line("  word_count", F.col("word_count")),
         line("  reading_time", F.col("reading_time")), F.lit("---\n\n"))
     url = F.coalesce("url", F.lit("#"))
     body = F.concat(

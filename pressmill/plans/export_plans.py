@@ -103,7 +103,7 @@ NL = "chr(10)"
 
 
 def _score(c):
-    return f"printf('%.2f', round_even({c}, 2))"
+    return f"printf('%.2f', {c})"
 
 
 def _bullets(heading, items):
@@ -144,7 +144,7 @@ NOTE_SQL = " || ".join([
     f"'---' || {NL} || 'title: ' || title || {NL} || 'url: ' || url || {NL}", f"coalesce('author: ' || author || {NL}, '')",
     f"'account: ' || account_name || {NL} || 'tags:' || {NL}", f"array_to_string(list_transform(vault_tags, lambda t: '  - ' || t || {NL}), '')",
     f"coalesce('published: ' || strftime(publish_time, '%Y-%m-%dT%H:%M:%S') || {NL} || 'date: ' || strftime(publish_time, '%Y-%m-%d') || {NL}, '')",
-    f"'quality:' || {NL} || '  grade: ' || grade || {NL} || '  score: ' || round(overall, 2)::VARCHAR || {NL}",
+    f"'quality:' || {NL} || '  grade: ' || grade || {NL} || '  score: ' || printf('%.2f', overall)::DOUBLE::VARCHAR || {NL}",
     f"'  word_count: ' || word_count::VARCHAR || {NL} || '  reading_time: ' || reading_time::VARCHAR || {NL} || '---' || {NL} || {NL}",
     f"'# ' || title || {NL} || {NL} || '## 📝 摘要' || {NL} || {NL} || left(content, 200) || '...' || {NL} || {NL} || '## 🔗 链接' || {NL} || {NL}",
     f"'- **原文**: [' || url || '](' || url || ')' || {NL} || '- **作者**: [[Authors/' || coalesce(author, 'untitled') || ']]' || {NL}",

@@ -131,6 +131,16 @@ def test_grade_and_minutes(spark):
     assert [r["reading_time"] for r in quality.with_quality(article(spark, rows=rows)).orderBy("id").collect()] == [1, 2, 2]
 
 
+def test_round_score(spark):
+    import random
+
+    from pressmill.functions.numbers import round_score
+    random.seed(1)
+    xs = [k / 1000 for k in range(1001)] + [random.random() for _ in range(500)] + [0.44499999999999995]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", round_score(F.col("x")).alias("r"))
+    assert [r for r in df.collect() if r["r"] != round(r["x"], 2)] == []
+
+
 def test_structure_and_paragraphs(spark):
     content = "# H\n\n\n- a\n1. b\n`x` ![i](u) ```c```\n\n \n\nend?"
     row = quality.with_metrics(article(spark, content=content)).first()
