@@ -40,3 +40,12 @@ def ranked(df, key, order, out="rank", extra=()):
     return (numbered.join(shifts, [key, "_slice"])
             .withColumn(out, F.col("_inside") + F.col("_shift"))
             .drop("_slice", "_inside", "_shift"))
+
+
+def keep_unmarked(marked, gone, twins):
+    """Rows of ``marked`` (with a column ``_mark``) without those that are ``gone``; of rows
+    that share a mark in ``twins``, one stays."""
+    rest = marked.join(gone.unionByName(twins), "_mark", "left_anti")
+    if twins.limit(1).count():
+        rest = rest.unionByName(marked.join(twins, "_mark", "left_semi").dropDuplicates(["_mark"]))
+    return rest.drop("_mark")

@@ -1,6 +1,8 @@
 """Registered queries of the operators in this folder, each over its whole table."""
 
-from pressmill.llm import huffman, packing
+from pyspark.sql import functions as F
+
+from pressmill.llm import consensus, cotrain, huffman, knn, langid, mixing, packing, quotient, rollups, simhash
 from pressmill.llm.common import documents
 from pressmill.llm.tokens import default_vocabulary
 
@@ -16,9 +18,100 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), default_vocabulary(), end_id=0, capacity=2048)
 
 
-QUERIES = {
-    "op1_token_files": op1_token_files,
-    "op2_best_fit_packing": op2_best_fit_packing,
-}
+def op3_token_rollups(spark, sf_dir):
+    """Token counts by source, language and tokenizer version after four batches.
+
+    All documents under the first version; all under the second; documents labelled toxic
+    deleted from both; documents of low quality revised to their distinct lines.  The second batch is sent again
+    and changes nothing.
+    """
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rollup = rollups.new_rollup(spark)
+    first, second = (rollups.counted(docs, v) for v in rollups.VERSIONS)
+    rollup.apply("first", first)
+    rollup.apply("second", second)
+    rollup.apply("second", second)
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    gone = docs.select("doc_id", "source", "lang").join(toxic, "doc_id", "left_semi")
+    versions = F.explode(F.array(*[F.lit(v) for v in rollups.VERSIONS]))
+    rollup.apply("toxic", gone.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", versions.alias("version"),
+                                      F.lit(0).alias("n_tokens")))
+    poor = labels.filter("quality = 0 AND toxic = 0").select("doc_id").distinct()
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    revised = docs.join(poor, "doc_id", "left_semi").select("doc_id", "source", "lang", lines.alias("text"))
+    changes = [rollups.counted(revised, v, "revise") for v in rollups.VERSIONS]
+    rollup.apply("distinct lines", changes[0].unionByName(changes[1]))
+    return rollup.totals()
+
+
+def op4_simhash(spark, sf_dir):
+    """Fingerprints of all documents and the components of near duplicates."""
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3).select(
+        "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_language(spark, sf_dir):
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, *langid.fit(docs))
+
+
+def op6_quality(spark, sf_dir):
+    """The quality of every document."""
+    docs = documents(spark, sf_dir)
+    return cotrain.score(docs, cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_top_k(spark, sf_dir):
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, scale=64, every=20)
 
-ORACLES = {}
+
+def op8_mixing(spark, sf_dir):
+    """How many words of every document the mix of sources takes."""
+    return mixing.mixed_sizes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_exact_dedup(spark, sf_dir):
+    """Groups of documents with equal text."""
+    return quotient.find_duplicates(documents(spark, sf_dir))
+
+
+def op10_main_text(spark, sf_dir):
+    """The main text of every page."""
+    return consensus.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op2_best_fit_packing, op3_token_rollups, op4_simhash, op5_language, op6_quality, op7_top_k,
+    op8_mixing, op9_exact_dedup, op10_main_text)}
+
+_SPACE = "[\\x20\\x09-\\x0D]+"
+_V2 = "\\p{L}+|\\p{N}|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]+"
+
+ORACLES = {
+    "op3_token_rollups": f"""
+WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND toxic = 0),
+kept AS (
+  SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM poor)
+      THEN array_to_string(list_distinct(string_split(text, chr(10))), chr(10)) ELSE text END AS text
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM toxic)),
+counted AS (
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'words-2', len(regexp_extract_all(coalesce(text, ''), '{_V2}')) FROM kept)
+SELECT source, lang, version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL""",
+    "op9_exact_dedup": f"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op7_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
