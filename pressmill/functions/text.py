@@ -27,6 +27,11 @@ def unicode_spaces(pattern):
     return pattern.replace(r"[^\s]", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+def unicode_words(pattern):
+    """Spell ``\\s`` and ``\\w`` of a pattern in Unicode."""
+    return unicode_spaces(pattern).replace(r"\w", f"[{WORD}]")
+
+
 def strip(c):
     """Remove Unicode white space at both ends (``trim`` removes blanks only)."""
     return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")

@@ -82,6 +82,18 @@ def is_error_title(c):
     return nonempty(c).isNull() | contains_one_of(c, fv.ERROR_TITLE_PARTS)
 
 
+def _without_dots(path):
+    """A path from the root with its ``.`` and ``..`` segments resolved, however many."""
+    names = F.slice(F.split(path, "/"), 2, 1_000_000_000)
+    last = F.element_at(names, -1)
+    folded = F.aggregate(
+        names, F.array().cast("array<string>"),
+        lambda kept, name: F.when(name == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when(name == ".", kept).otherwise(F.array_append(kept, name)))
+    return F.concat(F.lit("/"), F.array_join(folded, "/"),
+                    F.when(last.isin(".", "..") & (F.size(folded) > 0), "/").otherwise(""))
+
+
 def absolute_url(base, ref):
     """A reference made absolute against the page it stands on.
 
@@ -96,9 +108,7 @@ def absolute_url(base, ref):
     rest = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
     joined = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path)
     merged = F.when(ref_path.startswith("/"), ref_path).otherwise(joined)
-    tidy = F.regexp_replace(merged, r"/(?:\./)+", "/")
-    for _ in range(8):
-        tidy = F.regexp_replace(tidy, r"^/(?:\.\./)+|/(?!\.\./)[^/]+/\.\./", "/")
+    tidy = _without_dots(merged)
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))

@@ -25,10 +25,32 @@ def preview(df, length=200):
                      F.length(body).alias("content_length"))
 
 
-def page(df, account=None, limit=20, offset=0):
-    """One page of the article list (Q1); limit is kept within 1..100."""
+def page(df, account=None, limit=20, offset=0, after=None):
+    """One page of the article list (Q1); limit is kept within 1..100.
+
+    The page is found on ids and dates, then bodies are read for its ids only.  A deep
+    page is better named by the last row before it: ``after`` is (publish_time,
+    crawl_time, id), and no rows are sorted to be skipped.
+    """
     limit = max(1, min(limit, 100))
-    return preview(by_account(df, account)).orderBy(*newest_first()).offset(offset).limit(limit)
+    keys = by_account(df, account).select("id", "publish_time", "crawl_time")
+    if after is not None:
+        keys = keys.filter(_behind(*after))
+    keys = keys.orderBy(*newest_first()).offset(offset).limit(limit)
+    ids = [r["id"] for r in keys.collect()]   # at most 100
+    return preview(df.filter(F.col("id").isin(ids))).orderBy(*newest_first())
+
+
+def _behind(publish_time, crawl_time, article_id):
+    """Rows that come after a given one in the order of ``newest_first``."""
+    def later(column, value):
+        c = F.col(column)
+        if value is None:
+            return F.lit(False), c.isNull()
+        return c.isNull() | (c < F.lit(value)), c == F.lit(value)
+    first, same = later("publish_time", publish_time)
+    second, same_second = later("crawl_time", crawl_time)
+    return F.coalesce(first | (same & (second | (same_second & (F.col("id") < article_id)))), F.lit(False))
 
 
 def search_matches(df, query):

@@ -25,9 +25,6 @@ def structured(df):
     """
     df = df.withColumn("cleaned", clean_content(F.coalesce(F.col("content"), F.lit(""))))
     df = with_summary(df)
-    time = F.coalesce(F.col("publish_time").cast("string"), F.lit(""))
-    head = F.split_part(time, F.lit(" "), F.lit(1))
-    day = dates.parse_date(head, ["day", "chinese"])
     return df.select(
         "id",
         F.struct(
@@ -35,12 +32,19 @@ def structured(df):
             title_without_episode(F.coalesce(F.col("title"), F.lit(""))).alias("title"),
             F.col("author").alias("author"),
             F.coalesce(F.col("url"), F.lit("")).alias("url"),
-            F.coalesce(dates.day(day), time).alias("time"),
+            _date_of(F.col("publish_time")).alias("time"),
             F.col("introduce").alias("introduce"),
             F.col("cleaned").alias("full_content"),
         ).alias("attributes"))
 
 
+def _date_of(time):
+    """A time cut to its date where it begins with one, else as it is; empty for null."""
+    time = F.coalesce(time.cast("string"), F.lit(""))
+    day = dates.parse_date(F.split_part(time, F.lit(" "), F.lit(1)), ["day", "chinese"])
+    return F.coalesce(dates.day(day), time)
+
+
 def without_fields(structured_df, fields):
     """Leave fields out of ``attributes`` (E22, and the simplified dump of X15)."""
     return structured_df.withColumn("attributes", F.col("attributes").dropFields(*fields)) if fields else structured_df
@@ -56,9 +60,10 @@ def numbered_items(df, text="cleaned"):
     the item's link (the last one counts); the other lines form the introduction.
     """
     start = rf"(?dm)^[{SPACE_IN_LINE}]*\p{{Nd}}+[.、][{SPACE_IN_LINE}]*(?=[^{SPACE}])"
-    # U+0001 marks the starts; it cannot be part of an item's own text afterwards.
-    marked = F.regexp_replace(F.replace(F.col(text), F.lit("\x01"), F.lit("")), start, "\x01")
-    pieces = F.slice(F.split(marked, "\x01"), 2, ALL)
+    # Cut in front of every start; what stands before the first one is no item.
+    pieces = F.transform(F.slice(F.split(F.col(text), f"(?={start})"), 1, ALL), lambda p: F.when(
+        p.rlike(f"^(?:{start})"), F.regexp_replace(p, f"^(?:{start})", "")))
+    pieces = F.filter(pieces, lambda p: p.isNotNull())
     rows = df.select("*", F.posexplode_outer(pieces).alias("_no", "_item"))
     head = strip(F.split_part("_item", F.lit("\n"), F.lit(1)))
     by = rf"(?iu)^(.+?)[{SPACE}]+by[{SPACE}]+([\p{{L}}\p{{N}}_]+)"
@@ -93,7 +98,7 @@ def digest_export(df):
     any_digest = df.agg(F.max(marker)).scalar()
     # Summaries are made before the split, once per article.
     cleaned = with_summary(df.withColumn("cleaned", clean_content(F.coalesce(F.col("content"), F.lit("")))))
-    items = cleaned.withColumn("_searched", F.when(any_digest, F.col("cleaned"))).drop("content", "cleaned")
+    items = cleaned.withColumn("_searched", F.when(any_digest, F.col("cleaned"))).drop("content")
     whole = numbered_items(items, "_searched")
     is_item = F.col("item_no").isNotNull()
     title = F.coalesce(F.col("title"), F.lit(""))
@@ -102,7 +107,9 @@ def digest_export(df):
         F.when(is_item, F.col("item_title")).otherwise(title_without_episode(title)).alias("title"),
         F.when(is_item, F.col("item_author")).otherwise(F.col("author")).alias("author"),
         F.when(is_item, F.col("item_url")).otherwise(F.coalesce("url", F.lit(""))).alias("url"),
-        F.when(is_item, F.col("item_introduce")).otherwise(F.col("introduce")).alias("introduce"))
+        _date_of(F.col("publish_time")).alias("time"),
+        F.when(is_item, F.col("item_introduce")).otherwise(F.col("introduce")).alias("introduce"),
+        F.when(~is_item, F.col("cleaned")).alias("full_content"))
 
 
 # ---------------------------------------------------------------- collections
@@ -246,9 +253,9 @@ def union_dumps(*dumps):
     return out
 
 
-def renumber(df, order):
-    """Number rows 1..n by descending id."""
-    return number_rows(df, [F.col("id").desc_nulls_last(), *order], out="new_id")
+def renumber(df, key, order):
+    """Number rows 1..n by descending id (E14).  ``key`` identifies a row."""
+    return number_rows(df, key, ["id"], [F.col("id").desc_nulls_last(), *order], out="new_id")
 
 
 def merge_statistics(processed, strategy="url"):

@@ -6,7 +6,7 @@ from pressmill import fixed_values as fv
 from pressmill.functions import dates
 from pressmill.functions.matching import exploded, mapped_values
 from pressmill.functions.numbers import round_score
-from pressmill.functions.text import file_name, list_text, nonempty, text_of, truncate_words
+from pressmill.functions.text import clean_content, file_name, list_text, nonempty, text_of, truncate_words
 from pressmill.operators.numbering import number_rows
 
 
@@ -147,10 +147,12 @@ def group_key(by):
 def grouped_entries(df, by):
     """List entries numbered within their group, newest first.
 
-    Numbers come from ranges (see ``number_rows``), so a group may be of any size.
+    Numbers come from ranges (see ``number_rows``), so a group may be of any size; entries
+    are rendered behind them.
     """
-    slim = list_entries(df).select("id", "publish_time", group_key(by).alias("group"), "entry")
-    numbered = number_rows(slim, [F.col("publish_time").desc_nulls_last(), F.col("id")], out="no", group=["group"])
+    keyed = df.withColumn("group", group_key(by))
+    numbered = list_entries(number_rows(keyed, ["id"], ["publish_time"], [F.col("publish_time").desc_nulls_last(), F.col("id")],
+                                        out="no", group=["group"]))
     return numbered.select("group", "no", F.concat(F.col("no").cast("string"), F.lit(". "), F.col("entry")).alias("line"))
 
 
@@ -228,27 +230,37 @@ def author_grades(scored):
         *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCD"])
 
 
+def export_info(df, exported_at, account=None):
+    """Header of a JSON export (X15): number of articles, time, account."""
+    return df.agg(F.count("*").alias("total"), F.lit(exported_at).alias("export_time"), F.lit(account or "all").alias("account"))
+
+
 def write_dump(structured, path, fmt="json", simplified=False):
-    """Write articles as JSON Lines, CSV or text (X15); ``simplified`` leaves out full texts."""
+    """Write articles as JSON Lines or CSV (X15); ``simplified`` leaves out full texts."""
     from pressmill.operators.etl import without_fields
 
     if simplified:
         structured = without_fields(structured, ["full_content"])
     if fmt == "json":
         structured.write.mode("overwrite").json(path)
-    elif fmt == "csv":
-        (structured.select("id", "attributes.*").write.mode("overwrite")
-         .option("header", True).option("quote", '"').option("escape", '"').csv(path))
     else:
-        structured.select(text_block().alias("value")).write.mode("overwrite").text(path)
+        (structured.select("id", "attributes.*").write.mode("overwrite")
+         .option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def text_block():
-    """Plain-text form of a structured article."""
-    a = "attributes."
-    parts = [("Title", "title"), ("Author", "author"), ("Published", "time"), ("URL", "url")]
-    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(a + c, F.lit(""))) for label, c in parts]
-    return F.concat_ws("\n", *lines, F.lit("-" * 40), F.col(a + "full_content"), F.lit("=" * 80))
+def text_blocks(df, no="no"):
+    """Plain-text form of articles (X15); ``no`` numbers them."""
+    unknown = F.lit("Unknown")
+    fields = [("Title", F.coalesce("title", F.lit("No Title"))), ("Author", F.coalesce("author", unknown)),
+              ("Account", F.coalesce("account_name", unknown)),
+              ("Published", F.coalesce(F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss"), unknown)),
+              ("URL", F.coalesce("url", F.lit("")))]
+    lines = [F.concat(F.lit(f"{label}: "), c) for label, c in fields]
+    body = clean_content(F.coalesce(F.col("content"), F.lit("No content")))
+    return df.select(F.col(no), F.concat_ws(
+        "\n", F.concat(F.lit("Article "), F.col(no).cast("string")), *lines, F.lit("-" * 40), body,
+        F.lit(""), F.lit("=" * 80), F.lit("")).alias("value"))
 
 
 def write_report(df, path):
@@ -257,7 +269,8 @@ def write_report(df, path):
 
 
 def with_row_numbers(df):
-    """Add ``no``: place of an article by publication, newest first."""
-    return number_rows(df, [F.col("publish_time").desc_nulls_last(), F.col("id")], out="no")
+    """Add ``no``: place of an article by publication, newest first.  Number first, analyse
+    afterwards."""
+    return number_rows(df, ["id"], ["publish_time"], [F.col("publish_time").desc_nulls_last(), F.col("id")], out="no")
 
 

@@ -21,22 +21,20 @@ from pressmill.operators.links import unescape_basic
 # The parser travels to the workers with the job; they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Script variables of a page and the field they fill.
-SCRIPT_VARIABLES = {
-    "title": "msg_title", "description": "msg_desc", "link": "msg_link", "source_url": "msg_source_url",
-    "publish_time": "publish_time", "account_name": "user_name", "nickname": "nickname",
-    "account_avatar": "round_head_img", "original_avatar": "ori_head_img_url", "cdn_url": "msg_cdn_url",
-    "index": "idx",
-}
+_VAR = r"(?s)\bvar\s+(\w+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\d+))"
 
 
 def with_script_fields(pages):
-    """Add ``js``: values of known script variables, null where a page sets none."""
+    """Add ``js``: values of known script variables, null where a page sets none.
+
+    All assignments of a page are found in one pass; the first of a variable counts.
+    """
+    df = pages.withColumn("_vars", F.transform(F.regexp_extract_all("html", F.lit(_VAR), F.lit(0)), lambda v: F.struct(
+        F.regexp_extract(v, _VAR, 1).alias("name"),
+        F.concat(*[F.regexp_extract(v, _VAR, i) for i in (2, 3, 4)]).alias("value"))))
     def value(name):
-        quoted = rf"(?s)\bvar\s+{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\d+))"
-        found = F.col("html").rlike(quoted)
-        return F.when(found, F.concat(*[F.regexp_extract("html", quoted, i) for i in (1, 2, 3)]))
-    return pages.withColumn("js", F.struct(*[value(v).alias(k) for k, v in SCRIPT_VARIABLES.items()]))
+        return F.get(F.filter("_vars", lambda v: v["name"] == name), F.lit(0))["value"]
+    return df.withColumn("js", F.struct(*[value(v).alias(k) for k, v in fv.SCRIPT_VARIABLES.items()])).drop("_vars")
 
 
 def _opening(tag, attribute=None, value=None, token=False):
@@ -51,11 +49,11 @@ def _opening(tag, attribute=None, value=None, token=False):
 def _element_pattern(selector):
     """Pattern whose last group is the inner HTML (or the ``content`` of a meta tag).
 
-    Understands ``tag``, ``tag#id``, ``tag.class``, ``tag.class:text``, ``tag#id child``
-    and ``meta[name]``.
+    Understands ``tag``, ``tag#id``, ``tag.class``, ``tag.class:contains("text")``,
+    ``tag#id child`` and ``meta[property="name"]`` or ``meta[name="name"]``.
     """
     if selector.startswith("meta["):
-        name = selector[5:-1]
+        name = selector[5:-1].split("=", 1)[1].strip('"')
         return (rf"(?is)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*[\"']{name}[\"'])"
                 r"[^>]*\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1)
     child = None
@@ -63,7 +61,8 @@ def _element_pattern(selector):
         selector, child = selector.split(" ")
     text = None
     if ":" in selector:
-        selector, text = selector.split(":")
+        selector, text = selector.split(":", 1)
+        text = text.removeprefix("contains(").removesuffix(")").strip('"')
     if "#" in selector:
         tag, value = selector.split("#")
         opening = _opening(tag, "id", value)
@@ -213,7 +212,7 @@ def has_element(selector, html="html"):
         pattern = _opening(None, "class", selector[1:], token=True)
     elif selector.startswith("["):
         attribute, value = selector[1:-1].split("=")
-        pattern = _opening(None, attribute, value)
+        pattern = _opening(None, attribute, value.strip('"'))
     else:
         pattern = _opening(selector)
     return F.col(html).rlike("(?is)" + pattern)
@@ -237,7 +236,7 @@ def extract_articles(pages, title=None, content=None, author=None, account=None,
         "account_name": page_account(account), "publish_time": page_time(time),
         "images": F.array_distinct(F.transform("image_refs", lambda r: absolute_url(F.col("url"), r))),
     })
-    og_image = first_match(F.col("html"), *_element_pattern("meta[og:image]"))
+    og_image = first_match(F.col("html"), *_element_pattern('meta[property="og:image"]'))
     df = df.withColumn("cover_image", F.coalesce(
         nonempty(F.col("js.cdn_url")), og_image, F.try_element_at("images", F.lit(1))))
     usable = F.coalesce(F.col("title") != "", F.lit(False)) & F.coalesce(F.col("text") != "", F.lit(False))

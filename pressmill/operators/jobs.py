@@ -3,20 +3,31 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pressmill import schema
+
 MAX_FAILURES = 5
 
 
-def batch_outcomes(attempts, batch="batch", ok="ok", time="ts"):
+def batch_outcomes(attempts, batch="batch", ok="ok", time="ts", error="error", tie="seq"):
     """One job row per ingest batch: totals, times, status.
 
-    A batch counts as failed when nothing of it was saved.
+    Articles that were not saved are counted; only an exception (a message in ``error``)
+    makes a job fail, and the first one is kept.
     """
+    first = F.min(F.when(F.col(error).isNotNull(), F.struct(time, tie, F.col(error).alias("message"))))
     return attempts.groupBy(batch).agg(
         F.count("*").alias("total_articles"),
         F.count_if(F.col(ok)).alias("crawled_articles"),
         F.count_if(~F.col(ok)).alias("failed_articles"),
-        F.min(time).alias("start_time"), F.max(time).alias("end_time"),
-    ).withColumn("status", F.when(F.col("crawled_articles") > 0, "completed").otherwise("failed"))
+        F.min(time).alias("start_time"), F.max(time).alias("end_time"), first["message"].alias("error_message"),
+    ).withColumn("status", F.when(F.col("error_message").isNull(), "completed").otherwise("failed"))
+
+
+def crawl_jobs(attempts, job_id, **columns):
+    """Job rows in the columns of ``crawl_jobs``; the batch is the account."""
+    jobs = batch_outcomes(attempts, **columns).withColumnsRenamed({columns.get("batch", "batch"): "account_name"})
+    jobs = jobs.withColumns({"id": job_id, "created_at": F.col("start_time"), "updated_at": F.col("end_time")})
+    return jobs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.CRAWL_JOBS])
 
 
 def jobs_by_status(jobs, status=None, limit=100, created="created_at"):

@@ -3,11 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pressmill import fixed_values as fv
 from pressmill.functions.text import SPACE, first_match, strip
+from pressmill.functions.urls import is_history_link
 
 _ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-_JS_LISTS = {"related_article_list": "related_articles", "author_articles": "author_articles",
-             "history_articles": "history_articles"}
 _LINK_LIST = "array<struct<url:string,title:string>>"
 
 
@@ -18,33 +18,61 @@ def unescape_basic(c):
     return c
 
 
-def content_links(pages, source="content_link"):
-    """Anchors of every page in order: url, title, source, pos (L1)."""
+def content_links(pages, source="content_link", keep=is_history_link):
+    """Anchors to articles, of every page in order: url, title, source, list, pos (L1).
+
+    ``keep`` is the test a URL has to pass (L3); None keeps every anchor.
+    """
     anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
     rows = pages.select("page_id", F.posexplode(anchors).alias("pos", "_a"))
     text = F.regexp_replace(F.regexp_extract("_a", _ANCHOR, 2), "<[^>]*>", "")
-    return rows.select(
-        "page_id", "pos", unescape_basic(F.regexp_extract("_a", _ANCHOR, 1)).alias("url"),
+    links = rows.select(
+        "page_id", F.lit(0).alias("list"), "pos", unescape_basic(F.regexp_extract("_a", _ANCHOR, 1)).alias("url"),
         unescape_basic(text).alias("title"), F.lit(source).alias("source"))
+    return links.filter(keep(F.col("url"))) if keep else links
 
 
 def script_links(pages):
-    """Links in lists that page scripts assign, source ``js_<list>`` (L2)."""
+    """Links in lists that page scripts assign, source ``js_<list>`` (L2).
+
+    ``list`` is the number of the list, ``pos`` the place in it.  The literal is read from
+    its opening bracket by the JSON reader, which stops where the list ends, so no sign
+    inside a title can cut it.
+    """
     parts = []
-    for i, (variable, name) in enumerate(_JS_LISTS.items()):
-        literal = F.regexp_extract("html", rf"(?s)\b{variable}\s*=\s*(\[.*?\])\s*;", 1)
+    for i, (variable, name) in enumerate(fv.SCRIPT_LISTS.items()):
+        literal = F.regexp_extract("html", rf"(?s)\b{variable}\s*=\s*(\[.*?)(?:</script|\z)", 1)
         items = F.from_json(literal, _LINK_LIST, {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"})
         parts.append(pages.filter(F.contains("html", F.lit(variable))).select(
             "page_id", F.posexplode(items).alias("pos", "_l")).select(
-            "page_id", (F.col("pos") + i * 100000).alias("pos"), F.col("_l.url").alias("url"),
+            "page_id", F.lit(i).alias("list"), "pos", F.col("_l.url").alias("url"),
             F.coalesce("_l.title", F.lit("")).alias("title"), F.lit(f"js_{name}").alias("source")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = recommended_links(pages, len(parts))
+    for p in reversed(parts):
+        out = p.unionByName(out)
     return out.filter("url IS NOT NULL")
 
 
-def first_per_url(*sources, order=("page_id", "pos")):
+# An element that recommends, with all up to the end of the first element of its kind.
+_RECOMMEND = r"(?is)<(\w+)\b[^>]*\bdata-role\s*=\s*[\"']?recommend[\"'\s>].*?</\1\s*>"
+
+
+def recommended_links(pages, number=0):
+    """The first article link of every element that recommends (L2, fourth list)."""
+    elements = F.regexp_extract_all("html", F.lit(_RECOMMEND), F.lit(0))
+    rows = pages.select("page_id", F.posexplode(elements).alias("pos", "_e"))
+    anchors = F.filter(F.regexp_extract_all("_e", F.lit(_ANCHOR), F.lit(0)), lambda a: F.contains(
+        F.regexp_extract(a, _ANCHOR, 1), F.lit(fv.ARTICLE_HOST)))
+    rows = rows.withColumn("_a", F.get(anchors, F.lit(0))).filter("_a IS NOT NULL")
+    def text(c):
+        return unescape_basic(F.regexp_replace(c, "<[^>]*>", ""))
+    own = text(F.regexp_extract("_a", _ANCHOR, 2))
+    return rows.select(
+        "page_id", F.lit(number).alias("list"), "pos", unescape_basic(F.regexp_extract("_a", _ANCHOR, 1)).alias("url"),
+        F.when(own != "", own).otherwise(text(F.col("_e"))).alias("title"), F.lit("js_recommendations").alias("source"))
+
+
+def first_per_url(*sources, order=("page_id", "list", "pos")):
     """Union of link sources; a URL keeps its first source."""
     out = None
     for i, s in enumerate(sources):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import dates
 from pressmill.functions.matching import exploded
+from pressmill.session import once
 
 
 def _newest():
@@ -45,6 +46,7 @@ def related_by_author(notes, n=5):
 
 def related_by_first_tag(notes, n=5, tags="vault_tags"):
     """Newest other articles that carry an article's first tag."""
+    notes = once(notes.select("id", "publish_time", tags))   # tagging and scoring run once
     tagged = exploded(notes, ["id", "publish_time"], tags, "tag")
     # The first tag is taken from the array as an expression of the same projection.
     first = notes.select("id", F.explode_outer(F.slice(tags, 1, 1)).alias("tag"))
@@ -83,9 +85,11 @@ def calendar(notes, as_of=None, days=None):
     return rows.groupBy(dates.day("publish_time").alias("day")).agg(F.count("*").alias("cnt"))
 
 
-def latest(notes, limit=20):
-    """Newest articles with grade."""
-    return notes.select("id", "title", "author", "publish_time", "grade").orderBy(*_newest()).limit(limit)
+def latest(notes, limit=20, score=None):
+    """Newest articles with grade (D7).  ``score`` grades articles that aren't graded yet,
+    after the cut."""
+    newest = notes.orderBy(*_newest()).limit(limit)
+    return (score(newest) if score else newest).select("id", "title", "author", "publish_time", "grade")
 
 
 def best(notes, grade="A", limit=10):

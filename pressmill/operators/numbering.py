@@ -2,8 +2,8 @@
 
 ``row_number()`` over an unpartitioned (or one hot) window sorts everything in one
 task.  Here rows are range-partitioned by the sort keys, numbered inside their range,
-and shifted by the sizes of the ranges before.  Ranges come from a sample, so the
-ranged rows are checkpointed: both uses below must see the same ranges.
+and shifted by the sizes of the ranges before.  Only ids and sort keys are numbered: the
+sampling of ranges reads them twice, and they are what the checkpoint holds.
 """
 
 from pyspark.sql import Window
@@ -12,28 +12,37 @@ from pyspark.sql import functions as F
 from pressmill.session import ensure_checkpoint_dir
 
 
-def number_rows(df, order, out="row_no", group=(), partitions=None):
-    """Add 1..n in the given order, restarting for every group.
+def numbers(df, key, columns, order, out="row_no", group=()):
+    """``key`` and ``out``: 1..n in the given order, restarting for every group.
 
-    ``order`` holds sort columns and should end in a unique one.
+    ``key`` names columns that identify a row, ``columns`` those that ``order`` reads;
+    ``order`` should end in a unique one.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    group = list(group)
+    group, key = list(group), list(key)
+    slim = df.select(*dict.fromkeys([*key, *group, *columns]))
     keys = [F.col(g).asc_nulls_first() for g in group] + list(order)
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ranged = (ranged.sortWithinPartitions(*keys)
-              .withColumn("_range", F.spark_partition_id())
-              .withColumn("_place", F.monotonically_increasing_id())
+    # Ranges come from a sample, so both uses below must see the same ones.
+    ranged = (slim.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .select(*key, *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)],
+                      F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place"))
               .checkpoint())
-    chunks = (ranged.groupBy("_range", *group)
+    groups = [f"_group_{i}" for i in range(len(group))]
+    chunks = (ranged.groupBy("_range", *groups)
               .agg(F.count("*").alias("_n"), F.min("_place").alias("_first")))
     # At most one row per range for one group: the window below stays small.
-    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0)))
+    before = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0)))
     before = before.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if not groups:
+        chunks = F.broadcast(chunks)   # one row per range
     same = F.col("r._range") == F.col("c._range")
-    for g in group:
+    for g in groups:
         same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}"))
-    joined = ranged.alias("r").join(chunks.alias("c"), same)
     number = (F.col("r._place") - F.col("c._first") + F.col("c._before") + 1).alias(out)
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], number)
+    return ranged.alias("r").join(chunks.alias("c"), same).select(*[F.col(f"r.{k}") for k in key], number)
+
+
+def number_rows(df, key, columns, order, out="row_no", group=()):
+    """``df`` with its numbers, joined by ``key``; whole rows are shuffled once."""
+    return df.join(numbers(df, key, columns, order, out, group), list(key))

@@ -224,9 +224,12 @@ def quality_summary(scored):
         F.avg("reading_time").alias("average_reading_time"))
 
 
-def quality_listing(scored, limit=50):
-    """First articles by id with three key points and the number of suggestions."""
-    first = scored.orderBy("id").limit(limit)
+def quality_listing(articles, limit=50):
+    """First articles by id with three key points and the number of suggestions.
+
+    Only these are scored.
+    """
+    first = with_quality(articles.orderBy("id").limit(limit))
     return with_suggestions(with_key_points(first, 3)).select(
         "id", "grade", "overall", "word_count", "reading_time", "key_points",
         F.size("suggestions").alias("improvement_count"), *METRICS)

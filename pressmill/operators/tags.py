@@ -1,7 +1,5 @@
 """Rule-based tagging: technology categories, difficulty, content type."""
 
-import re
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +7,7 @@ from pressmill import fixed_values as fv
 from pressmill.functions import dates
 from pressmill.functions.matching import (
     count_present, string_array, with_cjk_flag, with_whole_words)
-from pressmill.functions.text import SPACE, WORD, text_of
-from pressmill.sources.articles import crawled_within
+from pressmill.functions.text import text_of, unicode_words
 
 TAG_TYPE = ("array<struct<name:string,category:string,confidence:double,"
             "frequency:int,related_keywords:array<string>>>")
@@ -49,19 +46,13 @@ def category_score(name, lexicon=None):
     return F.get(sums, F.size(f"hits_{name}"))
 
 
-def _difficulty_pattern(sequence):
-    """Word sequence with any white space between; ``*`` is one word (not cut at its end)."""
-    parts = [f"[{WORD}]+" if p == "*" else re.escape(p) for p in sequence.split(" ")]
-    return f"[{SPACE}]+".join(parts)
-
-
 def _level_score(level, text):
-    """One per substring, two per word sequence that occurs."""
-    needles, sequences = fv.DIFFICULTY[level]
+    """One per substring, two per pattern that occurs."""
+    needles, patterns = fv.DIFFICULTY[level]
     score = count_present("_lower", needles, "_cjk")
-    for seq in sequences:
-        first = seq.split(" ")[0]
-        hit = F.contains(text, F.lit(first)) & text.rlike(_difficulty_pattern(seq))
+    for pattern in patterns:
+        first = pattern.split("\\s")[0]
+        hit = F.contains(text, F.lit(first)) & text.rlike(unicode_words(pattern))
         score = score + hit.cast("int") * 2
     return score
 
@@ -177,9 +168,9 @@ def tag_statistics(tagged, n=10):
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def tag_preview(tagged, limit=50):
-    """Tagging results of the first articles by id."""
-    return tagged.orderBy("id").limit(limit).select(
+def tag_preview(articles, limit=50, lexicon=None):
+    """Tagging results of the first articles by id (G9); only these are tagged."""
+    return with_tags(articles.orderBy("id").limit(limit), lexicon).select(
         "id", "main_category", "difficulty", "tech_stack",
         F.bround("tag_confidence", 3).alias("tag_confidence"), "tags")
 
@@ -236,7 +227,3 @@ def tag_trend_summary(tagged):
     ).select("most_popular_category", "total_unique_tags", (F.col("_all") / total).alias("average_tags_per_article"))
 
 
-def in_window(df, as_of, days=30):
-    return crawled_within(df, as_of, days)
-
-

@@ -7,6 +7,7 @@ from pressmill import fixed_values as fv
 from pressmill.functions import dates
 from pressmill.functions.matching import code_shapes, exploded, with_whole_words
 from pressmill.functions.text import contains_any_case, text_of
+from pressmill.session import once
 from pressmill.sources.articles import crawled_within
 
 
@@ -60,12 +61,6 @@ def daily_keywords(df, as_of, days=30, lexicon=None, shapes=True):
             .groupBy("day", "keyword").agg(F.count("*").alias("cnt")))
 
 
-def daily_keywords_as_map(daily):
-    """Map form of the daily distribution: one row per day."""
-    return daily.groupBy("day").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("keyword", "cnt")))).alias("keywords"))
-
-
 def _known_author(df):
     return df.filter(F.col("author").isNotNull() & ~F.col("author").isin("", "Unknown"))
 
@@ -73,10 +68,14 @@ def _known_author(df):
 def author_keyword_counts(df, as_of, days=30, lexicon=None, shapes=True):
     """Rows per author and keyword, plus one per author with a null keyword.
 
-    The null row carries the author's own figures, so the texts are analysed once.
+    The null row carries the author's own figures.  Who reads the rows more than once keeps
+    them (``once``), so that texts are analysed once.
     Grouping by both columns spreads a prolific author over many tasks.
     """
-    base = _known_author(_window_articles(df, as_of, days))
+    return _pairs(_known_author(_window_articles(df, as_of, days)), lexicon, shapes)
+
+
+def _pairs(base, lexicon, shapes):
     found = with_keywords(base, lexicon, shapes).select(
         "author", "id", F.length("content").alias("_len"), "keywords")
     rows = found.select("author", "id", "_len", F.explode(
@@ -133,7 +132,7 @@ def author_top_keywords(pairs, n=5):
 
 def author_report(df, as_of, days=30, limit=15, lexicon=None, shapes=True):
     """Authors by influence with active month and three leading keywords."""
-    pairs = author_keyword_counts(df, as_of, days, lexicon, shapes)
+    pairs = once(author_keyword_counts(df, as_of, days, lexicon, shapes))
     top = author_stats(pairs, days).orderBy(F.desc("influence_score"), "first_id").limit(limit)
     leading = (author_top_keywords(pairs, 3).groupBy("author").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))),
@@ -224,8 +223,10 @@ def trend_summary(df, as_of, days=30, lexicon=None, shapes=True):
     Each part is one row, read as a scalar subquery.
     """
     window = _window_articles(df, as_of, days)
-    lead_keyword = top_keywords(df, as_of, days, 1, lexicon, shapes).agg(F.max("keyword").alias("v"))
-    stats = author_stats(author_keyword_counts(df, as_of, days, lexicon, shapes), days)
+    pairs = once(_pairs(window, lexicon, shapes))   # of all authors, unknown ones too
+    lead_keyword = (pairs.filter("keyword IS NOT NULL").groupBy("keyword").agg(F.sum("cnt").alias("cnt"))
+                    .orderBy(F.desc("cnt"), "keyword").limit(1).agg(F.max("keyword").alias("v")))
+    stats = author_stats(_known_author(pairs), days)
     lead_author = (stats.orderBy(F.desc("influence_score"), "first_id").limit(1)
                    .agg(F.max("author").alias("v")))
     daily = daily_statistics(period_counts(hourly_counts(df, as_of, days)))

@@ -26,10 +26,10 @@ TEXT = "lower(title || ' ' || content)"
 
 
 def level_sql(level):
-    needles, sequences = fv.DIFFICULTY[level]
-    def pattern(seq):
-        return f"[{SPACE}]+".join(f"[{WORD}]+" if w == "*" else w for w in seq.split(" "))
-    patterns = " + ".join(f"2 * regexp_matches(lt, {quote(pattern(q))})::INT" for q in sequences)
+    needles, patterns = fv.DIFFICULTY[level]
+    def spelled(pattern):
+        return pattern.replace(r"\s", f"[{SPACE}]").replace(r"\w", f"[{WORD}]")
+    patterns = " + ".join(f"2 * regexp_matches(lt, {quote(spelled(q))})::INT" for q in patterns)
     return f"{present_sql('lt', needles)} + {patterns}"
 
 
@@ -117,6 +117,12 @@ for label, lexicon in (("", fv.TAG_LEXICON), ("_probe", PROBE_LEXICON)):
                            "ORDER BY count(*) DESC, name) AS rank FROM tag_rows GROUP BY 1, 2) WHERE rank <= 10", *CTES, TAG_ROWS))
 
 CTES = tagging_ctes(fv.TAG_LEXICON)
+register("g9_preview",
+         lambda s, d: tags.tag_preview(articles(s, d)).select(
+             "id", "main_category", "difficulty", F.array_join("tech_stack", "|").alias("tech_stack"),
+             F.array_join(F.transform("tags", lambda t: t["name"]), "|").alias("tags")),
+         with_articles("SELECT id, main_category, difficulty, array_to_string(tech_stack, '|') AS tech_stack, array_to_string(list_transform(tags, lambda t: t.name), '|') AS tags "
+                       "FROM tagged", *tagging_ctes(fv.TAG_LEXICON, "id IN (SELECT id FROM articles ORDER BY id LIMIT 50)")))
 register("g3_difficulty",
          lambda s, d: _tagged(s, d).select("id", "difficulty", "difficulty_confidence"),
          with_articles("SELECT id, difficulty, difficulty_confidence FROM tagged", *CTES))
@@ -230,25 +236,24 @@ register("c11_suggestions",
          with_articles(f"SELECT id, array_to_string({ADVICE}, '|') AS suggestions FROM scored", *QUALITY_CTES))
 
 
-def _rounded(df):
+def rounded(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-register("c12_quality_summary",
-         lambda s, d: _rounded(quality.quality_summary(_scored(s, d))),
-         with_articles("SELECT count(*) AS total_articles, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCD") + ", "
+QUALITY_SUMMARY_SQL = with_articles("SELECT count(*) AS total_articles, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCD") + ", "
                        + ", ".join(f"round(avg({m}), 6) AS avg_{m}" for m in ["overall", *quality.METRICS]) + ", "
                        "round(count(*) FILTER (grade IN ('A', 'B')) / count(*)::DOUBLE * 100, 6) AS high_quality_rate, "
                        "round(count(*) FILTER (grade = 'D') / count(*)::DOUBLE * 100, 6) AS needs_improvement_rate, "
-                       "round(avg(word_count), 6) AS average_word_count, round(avg(reading_time), 6) AS average_reading_time FROM scored", *QUALITY_CTES))
+                       "round(avg(word_count), 6) AS average_word_count, round(avg(reading_time), 6) AS average_reading_time FROM scored", *QUALITY_CTES)
+register("c12_quality_summary", lambda s, d: rounded(quality.quality_summary(_scored(s, d))), QUALITY_SUMMARY_SQL)
 register("c13_quality_listing",
-         lambda s, d: quality.quality_listing(_scored(s, d)).select(
+         lambda s, d: quality.quality_listing(articles(s, d)).select(
              "id", "grade", F.round("overall", 9).alias("overall"), "word_count", "reading_time",
              F.array_join("key_points", "\n").alias("key_points"), "improvement_count"),
          with_articles(f"SELECT id, grade, round(overall, 9) AS overall, word_count, reading_time, array_to_string(({POINTS})[1:3], chr(10)) AS key_points, "
                        f"len({ADVICE}) AS improvement_count FROM scored ORDER BY id LIMIT 50", *QUALITY_CTES))
 register("c14_quality_insights",
-         lambda s, d: _rounded(quality.quality_insights(_scored(s, d), 0.4)),
+         lambda s, d: rounded(quality.quality_insights(_scored(s, d), 0.4)),
          with_articles("SELECT count(*) AS sample_count, round(avg(word_count), 6) AS average_word_count, "
                        "round(avg((structure > 0.7e0)::INT), 6) AS structured_share, array_to_string(list_filter(["
                        f"CASE WHEN avg(word_count) > 1500 THEN {quote(fv.INSIGHT_LONG)} END, CASE WHEN avg((structure > 0.7e0)::INT) > 0.6e0 THEN "

@@ -52,6 +52,8 @@ register("q3b_inverted_index",
          with_articles("SELECT word, count(*) AS articles FROM (SELECT id, unnest(list_distinct(string_split_regex("
                        "lower(title || ' ' || content), '[^\\p{L}\\p{N}_]+'))) AS word FROM articles) "
                        "WHERE word <> '' GROUP BY word"))
+register("q3b_index_lookup",
+         lambda s, d: browse.index_lookup(browse.inverted_index(articles(s, d)), "Apache worthless avec"), ORACLES["q3b_fulltext"])
 register("q4_by_url",
          lambda s, d: browse.by_url(plain_articles(s, d), "https://example.com/a/90").select("id", "url", "title"),
          with_articles("SELECT id, url, title FROM articles WHERE url = 'https://example.com/a/90'"))
@@ -93,6 +95,9 @@ register("q11_account_authors",
 register("q14_sorted_by_title",
          lambda s, d: browse.sorted_for_list(articles(s, d), "title").select("id", "title", "author"),
          with_articles("SELECT id, title, author FROM articles ORDER BY title, id"))
+register("q14_sorted_by_author",
+         lambda s, d: browse.sorted_for_list(plain_articles(s, d), "author").select("id", "author"),
+         with_articles("SELECT id, author FROM articles ORDER BY author NULLS FIRST, id"))
 register("q14_sorted_by_date",
          lambda s, d: browse.sorted_for_list(plain_articles(s, d), "date").select("id", "publish_time"),
          with_articles("SELECT id, publish_time FROM articles ORDER BY publish_time DESC NULLS LAST, id"))
@@ -112,10 +117,10 @@ def top_sql(lexicon, limit=20):
 
 
 register("t1_keywords",
-         lambda s, d: trends.with_keywords(articles(s, d), fv.TREND_KEYWORDS + PROBE_WORDS[:6]).select(
+         lambda s, d: trends.with_keywords(articles(s, d), fv.TREND_KEYWORDS + PROBE_WORDS).select(
              "id", F.array_join(F.array_sort("keywords"), "|").alias("keywords")),
          with_articles("SELECT id, array_to_string(list_sort(keywords), '|') AS keywords FROM found",
-                       keywords_cte(fv.TREND_KEYWORDS + PROBE_WORDS[:6])))
+                       keywords_cte(fv.TREND_KEYWORDS + PROBE_WORDS)))
 register("t2_top_keywords", lambda s, d: trends.top_keywords(articles(s, d), AS_OF), top_sql(fv.TREND_KEYWORDS))
 register("t2_top_keywords_probe",
          lambda s, d: trends.top_keywords(articles(s, d), AS_OF, lexicon=PROBE_WORDS), top_sql(PROBE_WORDS))

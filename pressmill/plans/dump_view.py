@@ -31,6 +31,7 @@ CASE doc_id % 4 WHEN 0 THEN text || {NL} || '点击下方' || {NL} || '阅读原
 DIGEST_COLUMNS = f"""
 doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '极客日报 #' || {N} ELSE {HEAD} END AS title,
 'https://example.com/' || {N} AS url, source AS author,
+CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '2024-1-5 10:20:30' ELSE '2022年1月5日' END AS time,
 CASE WHEN doc_id % 4 = 0 THEN text ELSE '1. Opening by Ann' || {NL} || replace(text, '. ',
   '.' || {NL} || ' 2、 Middle part （Bob）' || {NL} || {NL} || 'https://example.com/i' || {NL} || '3.Third item' || {NL}) END AS content
 """
@@ -45,9 +46,9 @@ replace(replace(text, '. ', '.' || {NL} || 'Read https://example.com/' || {N} ||
 
 
 def documents(spark, sf_dir):
-    from pressmill.sources.articles import spread
+    from pressmill.sources.articles import dealt
 
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def _select(df, columns):

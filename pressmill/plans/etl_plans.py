@@ -72,6 +72,16 @@ register("s1_dump_headers",
          "SELECT 'dump-' || (doc_id // 100)::VARCHAR || '.json' AS file, 'API' AS source, 'Unknown' AS export_time, count(*)::INT AS article_count FROM documents GROUP BY 1")
 
 
+def _dump_files(s, d):
+    """Write whole dumps, one file each, and read them by pattern."""
+    path = new_shared_path(s, "dump-files")
+    _nested(s, d).write.partitionBy("file").text(path)
+    return dumps.dump_articles(dumps.read_dump_files(s, f"{path}/*", "part-*"))
+
+
+register("s1_read_dump_files", lambda s, d: _fields(dumps.normalise(_dump_files(s, d))), ORACLES["s1_read_dumps"])
+
+
 def _json_lines(s, d):
     """Write the flat dump as JSON Lines to the shared folder and read it back."""
     path = new_shared_path(s, "dump")
@@ -86,7 +96,7 @@ register("s2_read_json_lines", _json_lines,
 def _api_pages(s, d):
     """Landed API pages of 100 items; every third item has lost its id."""
     item = F.struct(F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"), F.struct(
-        "title", "url", "author", F.left("content", F.lit(50)).alias("introduce"), "episode", "time").alias("attributes"))
+        "title", "url", "author", F.col("content").alias("introduce"), "episode", "time").alias("attributes"))
     pages = (dv.raw_dump(s, d).groupBy(F.floor(F.col("id") / 100).alias("page_no"))
              .agg(F.sort_array(F.collect_list(F.struct("id", item.alias("item")))).alias("rows")))
     text = pages.select("page_no", F.to_json(F.struct(F.transform("rows", lambda r: r["item"]).alias("data"))).alias("value"))
@@ -96,7 +106,21 @@ def _api_pages(s, d):
 register("s4_api_items",
          lambda s, d: dumps.api_items(_api_pages(s, d)).select("id", "episode", "title", "author", "url", "time", "introduce"),
          with_dump("SELECT CASE WHEN id % 3 <> 0 THEN id ELSE row_number() OVER (ORDER BY id) END AS id, episode, title, coalesce(author, '') AS author, url, time, "
-                   "left(content, 50) AS introduce FROM raw_dump"))
+                   "content AS introduce FROM raw_dump"))
+
+
+def _page_files(s, d):
+    """Write landed API pages as files and read them back."""
+    path = new_shared_path(s, "api-pages")
+    page = F.struct(F.col("data"), F.struct(F.struct(F.col("page_no").alias("page")).alias("pagination")).alias("meta"))
+    _api_pages(s, d).select("page_no", F.to_json(page).alias("value")).withColumn("number", F.col("page_no")).select(
+        "number", "value").write.partitionBy("number").text(path)
+    return dumps.read_api_pages(s, f"{path}/*")
+
+
+register("s4_read_api_pages",
+         lambda s, d: dumps.api_items(_page_files(s, d)).select("id", "episode", "title", "author", "url", "time", "introduce"),
+         ORACLES["s4_api_items"])
 register("e8_normalise", lambda s, d: _fields(_normalised(s, d)),
          with_dump("SELECT id, title, url, author, introduce, full_content, episode, time FROM normalised", NORMALISED))
 
@@ -183,10 +207,11 @@ register("e6_numbered_items",
          "WITH " + ",\n".join(ITEM_CTES) + f"\nSELECT id, item_no::BIGINT AS item_no, {strip_sql('ta.t')} AS item_title, ta.a AS item_author, item_url, item_introduce FROM items")
 DIGEST_SUMMARY = SUMMARY.replace("FROM cleaned)", "FROM cleaned WHERE id NOT IN (SELECT id FROM items))", 1)
 register("e6_digest_export",
-         lambda s, d: etl.digest_export(dv.digests(s, d)).select("id", "item_no", "episode", "title", "author", "url", "introduce"),
+         lambda s, d: etl.digest_export(dv.digests(s, d).withColumn("publish_time", F.col("time"))).select(
+             "id", "item_no", "episode", "title", "author", "url", "time", "introduce", "full_content"),
          "WITH " + ",\n".join([*ITEM_CTES, DIGEST_SUMMARY]) +
-         f"\nSELECT i.id, i.item_no::BIGINT AS item_no, {episode_sql('d.title')} AS episode, {strip_sql('ta.t')} AS title, ta.a AS author, item_url AS url, item_introduce AS introduce "
-         f"FROM items i JOIN digests d ON i.id = d.id UNION ALL SELECT id, 0, {episode_sql('title')}, {bare_title_sql('title')}, author, url, introduce FROM summed")
+         f"\nSELECT i.id, i.item_no::BIGINT AS item_no, {episode_sql('d.title')} AS episode, {strip_sql('ta.t')} AS title, ta.a AS author, item_url AS url, {DATE_ONLY} AS time, item_introduce AS introduce, NULL AS full_content "
+         f"FROM items i JOIN digests d ON i.id = d.id UNION ALL SELECT id, 0, {episode_sql('title')}, {bare_title_sql('title')}, author, url, {DATE_ONLY}, introduce, full_content FROM summed")
 
 URL = quote(f"https?://[^{SP}]+")
 
@@ -277,7 +302,7 @@ for strategy in etl.STRATEGIES:
              lambda s, d, x=strategy: etl.dedup(etl.merged_layout(_processed(s, d)), x, ORDER).select("id", "file_no", "url", "title"),
              with_dump("SELECT id, file_no, url, title FROM deduped", *PROCESSED, deduped_cte(strategy)))
 register("e14_renumber",
-         lambda s, d: etl.renumber(etl.dedup(etl.merged_layout(_processed(s, d)), "url", ORDER).select("id", "file_no", "url"), [F.col("file_no")])
+         lambda s, d: etl.renumber(etl.dedup(etl.merged_layout(_processed(s, d)), "url", ORDER).select("id", "file_no", "url"), ["id", "file_no"], [F.col("file_no")])
          .select("new_id", "id", "file_no", "url"),
          with_dump("SELECT row_number() OVER (ORDER BY id DESC, file_no) AS new_id, id, file_no, url FROM deduped", *PROCESSED, deduped_cte("url")))
 register("e15_merge_statistics",
@@ -285,6 +310,34 @@ register("e15_merge_statistics",
          with_dump("SELECT (SELECT count(*) FROM usable) AS processed_total, count(*) AS merged_total, (SELECT count(*) FROM usable) - count(*) AS duplicates_removed, 0 AS articles_split, "
                    "(SELECT count(*) FROM processed WHERE bad) AS bad_data_filtered, (SELECT count(*) FROM processed WHERE NOT bad AND time_filled) AS time_fields_filled FROM deduped",
                    *PROCESSED, deduped_cte("url")))
+
+
+def _split_processed(s, d):
+    """A dump of collections, merged with the default: splitting on."""
+    rows = dv.collections(s, d)
+    nothing = F.lit("")
+    flat = rows.select(
+        "id", F.lit(None).cast(schema.ATTRIBUTES).alias("attributes"), "title", "url", "author", F.col("content").alias("introduce"),
+        nothing.alias("full_content"), nothing.alias("episode"), F.when(F.col("id") % 5 == 0, "").otherwise("2024-01-05").alias("time"),
+        F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("publish_time"))
+    return etl.process_dump(etl.union_dumps(dumps.normalise(flat)), AS_OF)
+
+
+SPLIT_CTES = [
+    *COLLECTION_CTES,
+    f"split_rows AS (SELECT id, i AS sub_pos, true AS split, t AS title, u AS url FROM subs WHERE t <> '' UNION ALL "
+    f"SELECT id, 0, false, {strip_sql('title')}, {strip_sql('url')} FROM collections WHERE id NOT IN (SELECT id FROM subs WHERE t <> ''))",
+    "split_usable AS (SELECT *, id % 5 = 0 AS filled FROM split_rows WHERE length(title) >= 2)",
+]
+register("e10_usable_rows_split",
+         lambda s, d: etl.merged_layout(_split_processed(s, d)).select("id", "title", "url", "time"),
+         "WITH " + ",\n".join(SPLIT_CTES) + f"\nSELECT id, title, url, CASE WHEN filled THEN {quote(AS_OF)} ELSE '2024-01-05' END AS time FROM split_usable")
+register("e13_dedup_url_split",
+         lambda s, d: etl.dedup(etl.merged_layout(_split_processed(s, d)), "url", ["file_no", "id", "sub_pos"]).select("id", "url", "title"),
+         "WITH " + ",\n".join(SPLIT_CTES) + "\nSELECT id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id, sub_pos) AS rn FROM split_usable) WHERE rn = 1")
+register("e15_merge_statistics_split", lambda s, d: etl.merge_statistics(_split_processed(s, d)),
+         "WITH " + ",\n".join(SPLIT_CTES) + "\nSELECT count(*) AS processed_total, count(DISTINCT url) AS merged_total, count(*) - count(DISTINCT url) AS duplicates_removed, "
+         "(SELECT count(*) FILTER (split) FROM split_rows) AS articles_split, (SELECT count(*) FROM split_rows) - count(*) AS bad_data_filtered, count(*) FILTER (filled) AS time_fields_filled FROM split_usable")
 register("e16_top_authors", lambda s, d: etl.top_authors(_normalised(s, d)),
          with_dump("SELECT author, count(*) AS cnt FROM normalised GROUP BY 1 ORDER BY cnt DESC, author LIMIT 5", NORMALISED))
 register("e16_years", lambda s, d: etl.years(_normalised(s, d)),

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
 from pressmill.operators import export, notes, quality, tags
-from pressmill.plans.analysis_plans import ADVICE, POINTS, QUALITY_CTES, tagging_ctes
+from pressmill.operators.etl import structured
+from pressmill.plans.analysis_plans import ADVICE, POINTS, QUALITY_CTES, QUALITY_SUMMARY_SQL, rounded, tagging_ctes
 from pressmill.plans.common import AS_OF, PROBE_LEXICON, articles, day_sql, plain_articles, quote, strip_sql, with_articles
+from pressmill.plans.etl_plans import SUMMARY, bare_title_sql, clean_sql, episode_sql
 from pressmill.functions.text import SPACE
 from pressmill.session import new_shared_path
 
@@ -39,19 +41,6 @@ def _written(s, df, column):
     return s.read.parquet(path)
 
 
-register("x4_write_by_category",
-         lambda s, d: _written(s, export.by_category(export.with_categories(articles(s, d)).select("id", "content", "categories")), "category")
-         .groupBy("category").agg(F.count("*").alias("cnt"), F.sum(F.length("content")).alias("chars")),
-         with_articles("SELECT replace(category, '/', '_') AS category, count(*) AS cnt, sum(length(content))::BIGINT AS chars FROM "
-                       "(SELECT content, unnest(categories) AS category FROM cats) GROUP BY 1", CATS))
-register("x5_write_by_month",
-         lambda s, d: _written(s, articles(s, d).select("id", "content", export.month_bucket().alias("bucket")), "bucket")
-         .groupBy(F.col("bucket").cast("string").alias("bucket")).agg(F.count("*").alias("cnt"), F.sum(F.length("content")).alias("chars")),
-         with_articles("SELECT coalesce(strftime(publish_time, '%Y-%m'), 'unknown') AS bucket, count(*) AS cnt, sum(length(content))::BIGINT AS chars FROM articles GROUP BY 1"))
-register("x6_write_by_author",
-         lambda s, d: _written(s, articles(s, d).select("id", "content", export.author_folder().alias("folder")), "folder")
-         .groupBy("folder").agg(F.count("*").alias("cnt"), F.sum(F.length("content")).alias("chars")),
-         with_articles("SELECT coalesce(author, '未知作者') AS folder, count(*) AS cnt, sum(length(content))::BIGINT AS chars FROM articles GROUP BY 1"))
 register("x7_index",
          lambda s, d: export.index_tables(articles(s, d)),
          with_articles("SELECT 'category' AS part, category AS name, count(*) AS cnt FROM (SELECT unnest(categories) AS category FROM cats) GROUP BY 2 UNION ALL "
@@ -81,9 +70,13 @@ def analysed(s, d):
     return export.analysed(articles(s, d))
 
 
-def noted(s, d):
+def noted_rows(rows):
     """Articles with tagging, quality and vault tags."""
-    return export.vault_tags(quality.with_quality(tags.with_tags(articles(s, d), PROBE_LEXICON)))
+    return export.vault_tags(quality.with_quality(tags.with_tags(rows, PROBE_LEXICON)))
+
+
+def noted(s, d):
+    return noted_rows(articles(s, d))
 
 
 JOINED = "noted AS (SELECT t.*, s.overall, s.grade, s.word_count, s.reading_time FROM tagged t JOIN scored s USING (id))"
@@ -131,10 +124,44 @@ PLAIN_NAME = "coalesce(nullif(left(" + strip_sql("regexp_replace(title, " + quot
 register("x3_documents",
          lambda s, d: export.with_documents(export.with_row_numbers(articles(s, d)).transform(export.analysed)).select("no", "file_name", "markdown"),
          with_articles(f"SELECT no, printf('%04d_%s.md', no, {PLAIN_NAME}) AS file_name, {DOCUMENT_SQL} AS markdown FROM documented", *DOCUMENT_CTES))
+
+
+def _documents(s, d):
+    return export.with_documents(export.with_row_numbers(articles(s, d)).transform(export.analysed))
+
+
+def _folders(s, rows, column):
+    """Write documents into folders by a column and measure each folder."""
+    return (_written(s, rows.select("file_name", "markdown", column), column)
+            .groupBy(F.col(column).cast("string").alias(column))
+            .agg(F.count("*").alias("cnt"), F.sum(F.length("markdown")).alias("chars"), F.min("file_name").alias("first_file")))
+
+
+def folder_sql(key, source):
+    return with_articles(
+        f"SELECT {key}, count(*) AS cnt, sum(length(markdown))::BIGINT AS chars, min(file_name) AS first_file FROM (SELECT {source}, "
+        f"printf('%04d_%s.md', no, {PLAIN_NAME}) AS file_name, {DOCUMENT_SQL} AS markdown FROM documented) GROUP BY 1", *DOCUMENT_CTES)
+
+
+register("x4_write_by_category",
+         lambda s, d: _folders(s, export.by_category(export.with_categories(_documents(s, d)).select("file_name", "markdown", "categories")), "category"),
+         folder_sql("replace(category, '/', '_') AS category",
+                                     f"unnest(CASE WHEN len({mapped_sql('lt', fv.EXPORT_CATEGORIES)}) = 0 THEN [{quote(fv.EXPORT_DEFAULT_CATEGORY)}] "
+                                     f"ELSE {mapped_sql('lt', fv.EXPORT_CATEGORIES)} END) AS category"))
+register("x5_write_by_month",
+         lambda s, d: _folders(s, _documents(s, d).withColumn("bucket", export.month_bucket()), "bucket"),
+         folder_sql("coalesce(strftime(publish_time, '%Y-%m'), 'unknown') AS bucket", "publish_time"))
+register("x6_write_by_author",
+         lambda s, d: _folders(s, _documents(s, d).withColumn("folder", export.author_folder()), "folder"),
+         folder_sql("coalesce(author, '未知作者') AS folder", "author"))
 register("x10_vault_tags",
          lambda s, d: noted(s, d).select("id", F.array_join("vault_tags", "|").alias("vault_tags")),
          with_articles("SELECT id, array_to_string(vault_tags, '|') AS vault_tags FROM tagsets", *NOTE_CTES))
-register("x11_front_matter", lambda s, d: noted(s, d).select("id", F.to_json(export.front_matter()).alias("front_matter")))
+register("x11_front_matter",
+         lambda s, d: noted(s, d).select("id", export.front_matter().alias("m")).select("id", "m.*").select(
+             "id", "title", "url", "author", "account", F.array_join("tags", "|").alias("tags"), "published", "date", "quality.*"),
+         with_articles("SELECT id, title, url, author, account_name AS account, array_to_string(vault_tags, '|') AS tags, strftime(publish_time, '%Y-%m-%dT%H:%M:%S') AS published, "
+                       "strftime(publish_time, '%Y-%m-%d') AS date, grade, printf('%.2f', overall)::DOUBLE AS score, word_count, reading_time FROM tagsets", *NOTE_CTES))
 register("x12_wikilinks", lambda s, d: export.wikilink_edges(noted(s, d)),
          with_articles("SELECT id AS src, 'Authors/' || author AS dst, 'Authors' AS kind FROM tagsets WHERE author <> '' UNION ALL "
                        "SELECT id, 'Accounts/' || account_name, 'Accounts' FROM tagsets WHERE account_name <> '' UNION ALL "
@@ -150,28 +177,57 @@ NOTE_SQL = " || ".join([
     f"'- **原文**: [' || url || '](' || url || ')' || {NL} || '- **作者**: [[Authors/' || coalesce(author, 'untitled') || ']]' || {NL}",
     f"'- **来源**: [[Accounts/' || account_name || ']]' || {NL} || {NL} || '## 🏷️ 标签' || {NL} || {NL}",
     f"array_to_string(list_transform(vault_tags, lambda t: '#' || t), ' ') || {NL}"])
-register("x13_vault_notes", lambda s, d: export.vault_notes(export.with_row_numbers(
-    noted(s, d).select("id", "title", "url", "author", "account_name", "publish_time", "content", "vault_tags", "grade", "overall", "word_count", "reading_time"))),
+register("x13_vault_notes", lambda s, d: export.vault_notes(
+    noted_rows(export.with_row_numbers(articles(s, d)))),
     with_articles(f"SELECT id, printf('%04d_%s.md', row_number() OVER (ORDER BY publish_time DESC NULLS LAST, id), {VAULT_NAME}) AS file_name, {NOTE_SQL} AS note FROM tagsets", *NOTE_CTES))
 register("x14_author_grades", lambda s, d: export.author_grades(quality.with_quality(articles(s, d))),
          with_articles("SELECT author, count(*) AS total_articles, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS grade_{g.lower()}" for g in "ABCD")
                        + " FROM scored WHERE author IS NOT NULL AND author NOT IN ('', 'Unknown') GROUP BY 1", *QUALITY_CTES))
 
 
-def _dump_roundtrip(s, d, fmt, simplified=False):
-    from pressmill.operators.etl import structured
+DUMP_CTES = [
+    f"cleaned AS (SELECT *, strftime(publish_time, '%Y-%m-%d') AS day, {clean_sql('content')} AS full_content FROM articles)", SUMMARY]
+DUMP_FIELDS = f"id, {episode_sql('title')} AS episode, {bare_title_sql('title')} AS title, author, url, coalesce(day, '') AS time, introduce"
+
 
+def _dump_roundtrip(s, d, fmt, simplified=False):
+    """Write structured articles and read every field back."""
     path = new_shared_path(s, f"dump-{fmt}")
     export.write_dump(structured(articles(s, d)), path, fmt, simplified)
+    fields = ["episode", "title", "author", "url", "time", "introduce", "full_content"]
     if fmt == "csv":
-        return s.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).select(
-            F.col("id").cast("bigint").alias("id"), "url", "author")
-    return s.read.json(path, schema="id long, attributes struct<url:string,author:string,full_content:string>").select(
-        "id", "attributes.url", "attributes.author", F.col("attributes.full_content").isNull().alias("simplified"))
-
-
-register("x15_json_dump", lambda s, d: _dump_roundtrip(s, d, "json", True), with_articles("SELECT id, url, author, true AS simplified FROM articles"))
-register("x15_csv_dump", lambda s, d: _dump_roundtrip(s, d, "csv"), with_articles("SELECT id, url, author FROM articles"))
+        flat = s.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option(
+            "emptyValue", "").csv(path, schema="id long, " + ", ".join(f"{f} string" for f in fields))
+        # A null and an empty field look alike in CSV.
+        return flat.select("id", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
+    nested = "struct<" + ",".join(f"{f}:string" for f in fields) + ">"
+    return s.read.json(path, schema=f"id long, attributes {nested}").select("id", "attributes.*")
+
+
+register("x15_json_dump", lambda s, d: _dump_roundtrip(s, d, "json", True),
+         with_articles(f"SELECT {DUMP_FIELDS}, NULL::VARCHAR AS full_content FROM summed", *DUMP_CTES))
+register("x15_json_full", lambda s, d: _dump_roundtrip(s, d, "json"),
+         with_articles(f"SELECT {DUMP_FIELDS}, full_content FROM summed", *DUMP_CTES))
+register("x15_csv_dump", lambda s, d: _dump_roundtrip(s, d, "csv"),
+         with_articles(f"SELECT {DUMP_FIELDS.replace('author, url', 'coalesce(author, chr(0)[1:0]) AS author, url')}, full_content FROM summed", *DUMP_CTES))
+register("x15_export_info", lambda s, d: export.export_info(plain_articles(s, d), AS_OF),
+         f"SELECT count(*) AS total, {quote(AS_OF)} AS export_time, 'all' AS account FROM documents")
+register("x15_text_blocks", lambda s, d: export.text_blocks(export.with_row_numbers(articles(s, d))),
+         with_articles(
+             f"SELECT no, 'Article ' || no::VARCHAR || {NL} || 'Title: ' || title || {NL} || 'Author: ' || coalesce(author, 'Unknown') || {NL} || 'Account: ' || account_name || {NL} || "
+             f"'Published: ' || coalesce(strftime(publish_time, '%Y-%m-%d %H:%M:%S'), 'Unknown') || {NL} || 'URL: ' || url || {NL} || repeat('-', 40) || {NL} || full_content || {NL} || {NL} || "
+             f"repeat('=', 80) || {NL} AS value FROM (SELECT *, row_number() OVER (ORDER BY publish_time DESC NULLS LAST, id) AS no FROM cleaned)", *DUMP_CTES[:1]))
+
+
+def _report(s, d):
+    """Save the quality summary as JSON and read it back."""
+    path = new_shared_path(s, "report")
+    summary = rounded(quality.quality_summary(quality.with_quality(articles(s, d))))
+    export.write_report(summary, path)
+    return s.read.schema(summary.schema).json(path)
+
+
+register("x16_report", _report, QUALITY_SUMMARY_SQL)
 
 # ------------------------------------------------------------------ note queries
 
@@ -197,12 +253,14 @@ register("d6_calendar", lambda s, d: notes.calendar(light(s, d)),
          with_articles(f"SELECT {day_sql('publish_time')} AS day, count(*) AS cnt FROM articles WHERE publish_time IS NOT NULL GROUP BY 1"))
 register("d6_last_30_days", lambda s, d: notes.calendar(light(s, d), AS_OF, 30),
          with_articles(f"SELECT {day_sql('publish_time')} AS day, count(*) AS cnt FROM articles WHERE publish_time >= TIMESTAMP '2024-01-02' GROUP BY 1"))
-register("d7_latest", lambda s, d: notes.latest(quality.with_quality(articles(s, d))),
+register("d7_latest", lambda s, d: notes.latest(articles(s, d), score=quality.with_quality),
          with_articles(f"SELECT id, title, author, publish_time, grade FROM scored ORDER BY {NEWEST} LIMIT 20", *QUALITY_CTES))
 register("d8_best", lambda s, d: notes.best(quality.with_quality(articles(s, d)), "C").select("id", "title", "author", "publish_time", F.round("overall", 9).alias("overall"), "grade"),
          with_articles("SELECT id, title, author, publish_time, round(overall, 9) AS overall, grade FROM scored WHERE grade = 'C' ORDER BY scored.overall DESC, id DESC LIMIT 10", *QUALITY_CTES))
 register("d9_tech_tags", lambda s, d: notes.tag_counts(noted(s, d), containing="tech/"),
          with_articles("SELECT tag, count(*) AS cnt FROM (SELECT unnest(vault_tags) AS tag FROM tagsets) WHERE contains(tag, 'tech/') GROUP BY 1", *NOTE_CTES))
+register("d9_with_language_tag", lambda s, d: notes.with_tag(noted(s, d), "lang/"),
+         with_articles("SELECT id, unnest(vault_tags) AS tag FROM tagsets WHERE len(list_filter(vault_tags, lambda t: contains(t, 'lang/'))) > 0", *NOTE_CTES))
 register("d10_of_author", lambda s, d: notes.of_author(quality.with_quality(articles(s, d)), "src3").withColumn("overall", F.round("overall", 9)),
          with_articles(f"SELECT id, {day_sql('publish_time')} AS day, grade, round(overall, 9) AS overall FROM scored WHERE author = 'src3'", *QUALITY_CTES))
 register("d10_author_tags", lambda s, d: notes.author_tags(noted(s, d)),

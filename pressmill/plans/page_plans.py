@@ -8,7 +8,7 @@ from pressmill.functions.text import SPACE
 from pressmill.operators import html, links
 from pressmill.plans import dump_view as dv
 from pressmill.plans.common import quote, strip_sql
-from pressmill.sources.articles import spread
+from pressmill.sources.articles import dealt
 from pressmill.sources.pages import read_pages
 
 QUERIES, ORACLES = {}, {}
@@ -21,7 +21,7 @@ def register(name, query, sql=None):
 
 
 def pages(s, d):
-    return spread(read_pages(s, d), "page_id")
+    return dealt(read_pages(s, d), "page_id")
 
 
 # Pages of the given table dressed as article pages: named elements, a nested container,
@@ -96,19 +96,36 @@ A = quote('(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["\'][^"\']*["\'][^>]*>.*?</a>')
 LINKS = (f"links AS (SELECT page_id, pos, {unescape_sql(f'regexp_extract(a, {quote(chr(104) + 'ref=' + chr(34) + '([^' + chr(34) + ']*)')}, 1)')} AS url, "
          f"{unescape_sql(f'regexp_replace(a, {quote('<[^>]*>')}, {quote('')}, {quote('g')})')} AS title FROM (SELECT page_id, generate_subscripts(xs, 1) - 1 AS pos, unnest(xs) AS a "
          f"FROM (SELECT page_id, regexp_extract_all(html, {A}) AS xs FROM pages)))")
-register("l1_content_links", lambda s, d: links.content_links(pages(s, d)),
+register("l1_anchors", lambda s, d: links.content_links(pages(s, d), keep=None).drop("list"),
          f"WITH {LINKS} SELECT page_id, pos, url, title, 'content_link' AS source FROM links")
+# Every third page's anchors lead to articles; some of these the rule refuses.
+LINKED = """replace(html, '<a href="/', CASE page_id % 3 WHEN 0 THEN '<a href="https://mp.weixin.qq.com/s/' WHEN 1 THEN '<a href="https://mp.weixin.qq.com/s?scene=1&amp;x=' ELSE '<a href="/' END)"""
+KEPT_LINKS = (f"kept_links AS (SELECT page_id, pos, url, title FROM ({LINKS.split(' AS ', 1)[1].replace('FROM pages)', f'FROM (SELECT page_id, {LINKED} AS html FROM pages))')[1:-1]}) "
+              "WHERE contains(url, 'mp.weixin.qq.com') AND (contains(url, '/s/') OR contains(url, '/s?')) AND NOT regexp_matches(url, 'action=profile|action=follow|scene=|__biz=|tempkey='))")
+
+
+def _linked(s, d):
+    return pages(s, d).select("page_id", F.expr(LINKED).alias("html"))
+
+
+register("l1_content_links", lambda s, d: links.content_links(_linked(s, d)).drop("list"),
+         f"WITH {KEPT_LINKS} SELECT page_id, pos, url, title, 'content_link' AS source FROM kept_links")
+
+# Pages whose scripts list the page's own URL, under a title that looks like the list's
+# end, and whose last element recommends an article.
+LISTED = """html || '<script>var related_article_list = [{url: "' || url || '", title: "see [' || CAST(page_id AS STRING) || ']; more"}, {"url": "' || url || '?x"}]; var x = [1];</script>'
+ || '<script>var author_articles = [{url: "' || url || '?y", title: "Y"}];</script>'
+ || '<p data-role="recommend"><a href="https://example.org/">no</a><a href="https://mp.weixin.qq.com/s/' || CAST(page_id AS STRING) || '">Go <b>on</b></a></p>'"""
+LISTS = ("lists AS (SELECT page_id, 0 AS list, 0 AS pos, url, 'see [' || page_id::VARCHAR || ']; more' AS title, 'js_related_articles' AS source FROM pages UNION ALL "
+         "SELECT page_id, 0, 1, url || '?x', '', 'js_related_articles' FROM pages UNION ALL SELECT page_id, 1, 0, url || '?y', 'Y', 'js_author_articles' FROM pages UNION ALL "
+         "SELECT page_id, 3, 0, 'https://mp.weixin.qq.com/s/' || page_id::VARCHAR, 'Go on', 'js_recommendations' FROM pages)")
 
 
 def _with_lists(s, d):
-    """Pages whose scripts assign a list made of the page's own URL."""
-    return pages(s, d).select("page_id", "url", F.concat(
-        "html", F.lit("<script>var related_article_list = [{url: '"), "url", F.lit("', title: 'R'}, {\"url\": \"https://example.com/s/x\"}];</script>")).alias("html"))
+    return pages(s, d).select("page_id", "url", F.expr(LISTED).alias("html"))
 
 
-register("l2_script_links", lambda s, d: links.script_links(_with_lists(s, d)),
-         "SELECT page_id, 0 AS pos, url, 'R' AS title, 'js_related_articles' AS source FROM pages UNION ALL "
-         "SELECT page_id, 1, 'https://example.com/s/x', '', 'js_related_articles' FROM pages")
+register("l2_script_links", lambda s, d: links.script_links(_with_lists(s, d)), f"WITH {LISTS} SELECT * FROM lists")
 # The page's URL as an article link in several shapes.
 SHAPED = ("page_id, CASE page_id % 6 WHEN 0 THEN 'https://mp.weixin.qq.com/s/' || substr(url, 10) WHEN 1 THEN 'https://mp.weixin.qq.com/s?x=' || url "
           "WHEN 2 THEN 'https://mp.weixin.qq.com/s/a?scene=' || CAST(page_id AS STRING) WHEN 3 THEN 'https://mp.weixin.qq.com/s/b?__biz=' || url "
@@ -127,10 +144,9 @@ register("l4_discovery_links", lambda s, d: _shaped(s, d).select("page_id", urls
          f"SELECT page_id, {HOST} AND (contains(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/s/') OR contains(regexp_extract(url, '[?]([^#]*)', 1), '/s?')) "
          f"AND NOT regexp_matches(url, 'action=profile|action=follow|__biz=') AS ok FROM (SELECT {SHAPED} FROM pages)")
 register("l5_first_per_url",
-         lambda s, d: links.first_per_url(links.script_links(_with_lists(s, d)), links.content_links(pages(s, d))).select("url", "title", "source", "page_id"),
-         f"WITH {LINKS}, every_link AS (SELECT page_id, 0 AS rk, 0 AS pos, url, 'R' AS title, 'js_related_articles' AS source FROM pages UNION ALL "
-         "SELECT page_id, 0, 1, 'https://example.com/s/x', '', 'js_related_articles' FROM pages UNION ALL SELECT page_id, 1, pos, url, title, 'content_link' FROM links) "
-         "SELECT url, title, source, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rk, page_id, pos) AS rn FROM every_link) WHERE rn = 1")
+         lambda s, d: links.first_per_url(links.script_links(_with_lists(s, d)), links.content_links(_linked(s, d))).select("url", "title", "source", "page_id"),
+         f"WITH {KEPT_LINKS}, {LISTS}, every_link AS (SELECT 0 AS rk, * FROM lists UNION ALL SELECT 1, page_id, 0, pos, url, title, 'content_link' FROM kept_links) "
+         "SELECT url, title, source, page_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rk, page_id, list, pos) AS rn FROM every_link) WHERE rn = 1")
 SERIES = ("series AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN head || ' #' || n WHEN 1 THEN head || ' (' || n || ')' WHEN 2 THEN head || '第' || n || '期' "
           "WHEN 3 THEN head || ' vol.' || n WHEN 4 THEN 'No ' || n ELSE head END AS title FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 40) AS head, CAST(doc_id AS STRING) AS n FROM documents))")
 

@@ -1,14 +1,8 @@
 """All registered queries and their oracles."""
 
-import importlib
+from pressmill.plans import analysis_plans, browse_plans, etl_plans, export_plans, page_plans, stream_plans
 
 QUERIES, ORACLES = {}, {}
-for _name in ("browse_plans", "analysis_plans", "etl_plans", "page_plans", "export_plans", "stream_plans"):
-    try:
-        _module = importlib.import_module(f"pressmill.plans.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"pressmill.plans.{_name}":
-            raise
-        continue
+for _module in (browse_plans, analysis_plans, etl_plans, page_plans, export_plans, stream_plans):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

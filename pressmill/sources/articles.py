@@ -2,33 +2,30 @@
 
 from pyspark.sql import functions as F
 
-from pressmill import schema
 from pressmill.functions.dates import days_before
 
 
-def read_articles(spark, path):
-    """Stored articles (Parquet)."""
-    return spark.read.schema(schema.ARTICLES).parquet(path)
+READ_PARTITIONS = "pressmill.read.partitions"
 
 
-def spread(df, key):
-    """Use every core for a small input of few splits (a file of one row group).
+def dealt(df, key):
+    """The input as it is, or dealt into as many partitions as the caller has set.
 
-    Splits are bounded in size, so at most a few per core are shuffled here; an input
-    with more splits than cores is left as it is.
+    A file of one row group is one split.  Who reads such files (tests, a laptop) sets
+    ``pressmill.read.partitions``; tables of many splits need nothing.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def articles_from_documents(spark, sf_dir, for_text=True):
     """Articles derived from ``documents``: title is the first line, dates follow the id.
 
-    ``for_text`` says that whole texts are going to be analysed (see ``spread``).
+    ``for_text`` says that whole texts are going to be analysed (see ``dealt``).
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     if for_text:
-        docs = spread(docs, "doc_id")
+        docs = dealt(docs, "doc_id")
     return docs.selectExpr(
         "doc_id AS id",
         "concat('https://example.com/a/', CAST((doc_id * 9) DIV 10 AS STRING)) AS url",

@@ -75,7 +75,7 @@ def api_items(pages):
     from pressmill.operators.numbering import number_rows
 
     items = pages.selectExpr("page_no", "posexplode(data) AS (pos, item)")
-    items = number_rows(items, [F.col("page_no"), F.col("pos")], out="_no")
+    items = number_rows(items, ["page_no", "pos"], [], [F.col("page_no"), F.col("pos")], out="_no")
     blank = F.lit("")
     return items.select(
         F.coalesce("item.id", "_no").alias("id"),

@@ -6,12 +6,13 @@ from pressmill.functions import dates
 from pressmill.operators.etl import insert_if_absent
 
 
-def ingest_stream(stream, store_path, checkpoint, order, prepare=None, partitions=None):
+def ingest_stream(stream, store_path, checkpoint, order, prepare=None):
     """Append articles with new URLs to a Parquet store as they arrive (STR1).
 
-    ``dropDuplicatesWithinWatermark`` forgets URLs after the watermark, so every batch
-    is also anti-joined with the store: a URL enters it once.  A batch repeated after a
-    failure finds its own rows and adds nothing.
+    Save or skip by URL, however late an article is: of a batch the first row per URL
+    counts, and the batch is anti-joined with the store, so a URL enters it once.  No state
+    is kept between batches.  A batch repeated after a failure finds its own rows and
+    adds nothing.
     """
     def append(batch, _batch_id):
         spark = batch.sparkSession
@@ -25,31 +26,29 @@ def ingest_stream(stream, store_path, checkpoint, order, prepare=None, partition
         new = insert_if_absent(store, rows, order(rows)).select(*rows.columns)
         new.write.mode("append").parquet(store_path)
 
-    unique = stream.withWatermark("crawl_time", "1 day").dropDuplicatesWithinWatermark(["url"])
-    return (unique.writeStream.foreachBatch(append)
+    return (stream.writeStream.foreachBatch(append)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def daily_counts(stream, time, *keys, watermark="1 day"):
-    """Counts per day and key of a stream (STR2)."""
-    return (stream.withWatermark(time, watermark)
-            .groupBy(F.window(time, "1 day"), *keys).agg(F.count("*").alias("cnt"))
-            .select(dates.day(F.col("window.start")).alias("day"), *keys, "cnt"))
+def daily_counts(rows, time, *keys):
+    """Counts per day and key of a batch or a table (STR2)."""
+    return rows.groupBy(dates.day(time).alias("day"), *keys).agg(F.count("*").alias("cnt"))
 
 
-def keep_latest(counts, path, checkpoint):
-    """Write the current counts of a stream, one Parquet folder per batch below ``path``.
+def keep_counts(stream, count, path, checkpoint):
+    """Write the counts of every batch of a stream, one Parquet folder per batch below ``path``.
 
-    A folder is complete before the next begins, so readers never meet half a result.
+    ``count`` maps the rows of a batch to additive counts.  Batches hold their own rows
+    only, so there is no state to keep and no row is too late; a batch repeated after a
+    failure replaces its folder.
     """
-    def snapshot(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return (counts.writeStream.outputMode("complete").foreachBatch(snapshot)
+    def write(batch, batch_id):
+        count(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_latest(spark, path):
-    """Counts of the newest batch."""
+def read_counts(spark, path, *keys):
+    """Sums over all batches."""
     every = spark.read.option("basePath", path).parquet(path)
-    newest = every.agg(F.max("batch")).scalar()
-    return every.filter(F.col("batch") == newest).drop("batch")
+    return every.groupBy("day", *keys).agg(F.sum("cnt").alias("cnt"))

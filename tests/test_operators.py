@@ -199,13 +199,87 @@ def test_collection(spark):
 
 def test_numbering_of_a_hot_group(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"))
-    got = number_rows(df, [F.col("id").desc()], out="no", group=["g"], partitions=7)
+    got = number_rows(df, ["id"], [], [F.col("id").desc()], out="no", group=["g"])
     hot = [r["no"] for r in got.filter("g = 'hot'").orderBy(F.desc("id")).collect()]
     assert hot == list(range(1, 1001)) and got.filter("g <> 'hot' AND no <> 1").count() == 0
-    flat = number_rows(df, [F.col("id").desc()], out="no", partitions=7)
+    flat = number_rows(df, ["id"], [], [F.col("id").desc()], out="no")
     assert flat.filter("no <> 3000 - id").count() == 0
 
 
+def test_numbering_leaves_other_columns_alone(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(v):
+        seen.add(1)
+        return v
+    df = spark.range(100).withColumn("body", F.udf(costly, "long")("id"))
+    assert number_rows(df, ["id"], [], [F.col("id")], out="no").agg(F.sum("body"), F.max("no")).first()[:] == (4950, 100)
+    assert seen.value == 100
+
+
+def test_many_parent_segments(spark):
+    base = "https://h.com/" + "/".join("abcdefghijklmn") + "/page"
+    here = F.lit(base)
+    assert values(spark, ["../" * 12 + "i.png", "../" * 30 + "i.png", "./x/../y/", "z/.."], lambda c: urls.absolute_url(here, c)) == [
+        "https://h.com/a/b/i.png", "https://h.com/i.png", base[:-4] + "y/", base[:-4]]
+
+
+def test_link_lists(spark):
+    page = """<p data-role="recommend"><a href="https://mp.weixin.qq.com/s/r">R</a></p><a href="https://other.org/s/a">no</a>
+    <a href="https://mp.weixin.qq.com/s/a">yes</a><script>var related_article_list = [{url: "u1", title: "x [1]; y"}, {url: 'u2'}]; var t = [];</script>"""
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [r[:] for r in links.script_links(df).select("list", "pos", "url", "title", "source").orderBy("list", "pos").collect()] == [
+        (0, 0, "u1", "x [1]; y", "js_related_articles"), (0, 1, "u2", "", "js_related_articles"),
+        (3, 0, "https://mp.weixin.qq.com/s/r", "R", "js_recommendations")]
+    assert [r["title"] for r in links.content_links(df).orderBy("pos").collect()] == ["R", "yes"]
+
+
+def test_late_article_is_stored(spark, tmp_path):
+    from pressmill.streaming import ingest
+
+    kind = "url string, id long, crawl_time timestamp_ntz"
+    for day, url in ((20, "a"), (21, "b"), (1, "late"), (22, "a")):
+        row = spark.createDataFrame([(url, day, dt.datetime(2024, 1, day))], kind)
+        row.write.mode("append").parquet(f"{tmp_path}/landed")
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/landed")
+        ingest.ingest_stream(stream, f"{tmp_path}/store", f"{tmp_path}/checkpoint", lambda rows: ["id"]).awaitTermination()
+    assert sorted((r["url"], r["id"]) for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [("a", 20), ("b", 21), ("late", 1)]
+
+
+def test_page_after_a_row(spark):
+    from pressmill.operators import browse
+
+    day = dt.datetime(2024, 1, 5)
+    rows = [{"id": i, "publish_time": None if i % 4 == 0 else day + dt.timedelta(days=i % 3)} for i in range(1, 21)]
+    df = article(spark, rows=rows)
+    every = browse.page(df, limit=100).collect()
+    last = every[6]
+    got = browse.page(df, limit=5, after=(last["publish_time"], last["crawl_time"], last["id"])).collect()
+    assert [r["id"] for r in got] == [r["id"] for r in every[7:12]]
+    last = every[17]
+    assert [r["id"] for r in browse.page(df, after=(last["publish_time"], last["crawl_time"], last["id"])).collect()] == [r["id"] for r in every[18:]]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pressmill.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    def session(master):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[2]"))
+
+
+def test_jobs_fail_by_exceptions_only(spark):
+    rows = [("none saved", 1, False, None), ("broken", 1, True, None), ("broken", 3, True, "second"), ("broken", 2, False, "first")]
+    df = spark.createDataFrame(rows, "batch string, seq long, ok boolean, error string").withColumn("ts", F.col("seq"))
+    got = {r["batch"]: (r["status"], r["error_message"], r["crawled_articles"]) for r in jobs.batch_outcomes(df).collect()}
+    assert got == {"none saved": ("completed", None, 0), "broken": ("failed", "first", 2)}
+
+
 def test_endpoints(spark):
     rows = [("h", 1, i, ok) for i, ok in enumerate([False, True, True, True])] + [("k", 1, i, False) for i in range(6)]
     df = spark.createDataFrame(rows, "host string, port int, seq int, ok boolean").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,seq)"))
