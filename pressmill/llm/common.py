@@ -1,11 +1,36 @@
 """What the operators share: inputs, stored intermediate tables, ranks inside hot groups."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import pressmill
 from pressmill.session import new_shared_path
 
 
+def with_package(df):
+    """``df``, after its session has sent this package to the workers, once.
+
+    Functions that run in Python workers import it there; Spark's file server carries it.
+    """
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_pressmill_sent", False):
+        top = os.path.dirname(os.path.abspath(pressmill.__file__))
+        path = os.path.join(tempfile.mkdtemp(), "pressmill-package.zip")
+        with zipfile.ZipFile(path, "w") as package:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        package.write(full, os.path.relpath(full, os.path.dirname(top)))
+        context.addPyFile(path)
+        context._pressmill_sent = True
+    return df
+
+
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import stored
+from pressmill.llm.common import stored, with_package
 
 SHARE = 0.1
 HELD_VOTES = 20_000
@@ -240,7 +240,7 @@ def host_of(url):
 
 def host_paths(pages, share=SHARE):
     """host, paths: the winning paths of every host, by votes."""
-    votes = (pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long")
+    votes = (with_package(pages).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long")
              .groupBy("host", "path").agg(F.sum("votes").alias("votes")))
     all_of = votes.groupBy("host").agg(F.sum("votes").alias("all"))
     winners = votes.join(all_of, "host").filter(F.col("votes") >= share * F.col("all"))
@@ -261,7 +261,7 @@ def _extracted(batches):
 def main_texts(pages, share=SHARE):
     """page_id, url, text, n_chars: one row per page."""
     paths = stored(host_paths(pages, share), "host-paths")
-    columns = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    columns = with_package(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                            F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     return columns.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pressmill.llm.common import with_package
+
 LABELLED = 4_000
 POOL = 6_000
 ROUNDS = 4
@@ -239,7 +241,7 @@ def sample(docs, labels, labelled=LABELLED, pool=POOL):
 def fit(docs, labels, labelled=LABELLED, pool=POOL):
     """A model, or None where labels don't hold both qualities."""
     chosen = F.broadcast(sample(docs, labels, labelled, pool))     # bounded by the parameters
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(chosen, "doc_id")
+    rows = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(chosen, "doc_id")
     views = rows.select("doc_id", "label", "weight", "text", "source", "lang", "n_chars").mapInArrow(
         _views, "doc_id long, label double, weight double, content binary, meta array<int>").toArrow()
     table = [(np.frombuffer(c, np.float16), m, np.nan if y is None else y, w, i % ASIDE == 0, i)
@@ -267,7 +269,7 @@ def _scored(model):
 
 def score(docs, model):
     """doc_id, content_score, meta_score, score, accepted: one row per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInArrow(
+    return with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).mapInArrow(
         _scored(model), "doc_id long, content_score double, meta_score double, score double, accepted boolean")
 
 
@@ -280,4 +282,4 @@ def keep_good(docs, model):
         plain = [[None if pd.isna(v) else v for v in s] for s in (text, source, lang, n_chars)]
         return pd.Series(model.scores(*plain)[2] >= ACCEPT)
 
-    return docs.filter(F.pandas_udf(accepted, "boolean")(*_columns(docs)))
+    return with_package(docs).filter(F.pandas_udf(accepted, "boolean")(*_columns(docs)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import stored
+from pressmill.llm.common import stored, with_package
 
 PIVOTS = 8
 DATA_BLOCK = 4096
@@ -184,7 +184,7 @@ def top_k(vectors, k=20, scale=64, every=20, pivots=PIVOTS, id_col="vec_id", vec
     x = F.col(vector)
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     key = F.col(id_col).cast("long")
-    clean = vectors.filter(sound).select(
+    clean = with_package(vectors).filter(sound).select(
         F.monotonically_increasing_id().alias("row"), key.alias("vec_id"),
         F.coalesce(key % every == 0, F.lit(False)).alias("query"), x.cast("array<double>").alias("x"))
     width = max(vectors.filter(sound).agg(F.max(F.size(x))).first()[0] or 0, 1)

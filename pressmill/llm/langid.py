@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pressmill.llm.common import with_package
+
 HIDDEN = 8
 SPAN = 64
 PER_LANGUAGE = 400
@@ -261,6 +263,6 @@ def fit(docs, per_language=PER_LANGUAGE, windows=WINDOWS, steps=STEPS):
 
 def predict(docs, net, languages):
     """doc_id, held_out, lang_pred, score: one row per document."""
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
+    columns = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                           F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return columns.mapInArrow(_predict(net, languages), "doc_id long, held_out boolean, lang_pred string, score double")

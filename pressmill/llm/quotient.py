@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import keep_unmarked, slices, stored
+from pressmill.llm.common import keep_unmarked, slices, stored, with_package
 
 SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 8
@@ -120,7 +120,7 @@ def merged_filters(fingerprints):
     There are as many segments as shuffles have partitions, rounded up to a power of two,
     so that the fingerprints of one segment fit a task.
     """
-    segment_bits = max(slices(fingerprints.sparkSession) - 1, 0).bit_length()
+    segment_bits = max(slices(with_package(fingerprints).sparkSession) - 1, 0).bit_length()
     parts = fingerprints.mapInArrow(_segment_filters(segment_bits), "segment int, filter binary")
 
     def merge(key, table):
@@ -144,7 +144,7 @@ def _repeated(batches):
 
 def repeated_fingerprints(filters):
     """fp, n: fingerprints that filters have counted more than once."""
-    return filters.select("segment", "filter").mapInArrow(_repeated, "fp long, n long")
+    return with_package(filters).select("segment", "filter").mapInArrow(_repeated, "fp long, n long")
 
 
 # ------------------------------------------------------------------ duplicates
