@@ -30,13 +30,15 @@ from pressmill.llm.common import with_package
 LABELLED = 4_000
 POOL = 6_000
 ROUNDS = 4
+RIDGE = 3e-4
 SURE = 0.95        # least confidence of a pseudo-label
 GIVEN = 400        # most pseudo-labels that a view gives in a round, per quality
 ASIDE = 4          # one labelled row in so many is kept for calibration
-ACCEPT = 0.5
+ACCEPT = 0.25      # least probability of good quality; only what is clearly poor goes
 TRIGRAMS = 1024
 META = 256 + 32 + 16 + 16 + 16 + 8
 WORD_FIGURES = 10
+FEW_BYTES, FEW_WORDS = 300, 20     # figures of short texts are drawn to nothing by these
 
 
 # ------------------------------------------------------------------ the views
@@ -48,13 +50,13 @@ def content_view(text):
     out = np.zeros(TRIGRAMS + WORD_FIGURES, np.float32)
     if len(b) >= 3:
         code = (b[:-2] * 8191 + b[1:-1] * 131 + b[2:] * 31) % 65_521 % TRIGRAMS
-        out[:TRIGRAMS] = np.sqrt(np.bincount(code, minlength=TRIGRAMS) / len(code))
+        out[:TRIGRAMS] = np.sqrt(np.bincount(code, minlength=TRIGRAMS) / (len(code) + FEW_BYTES))
     words = data.split()
     if words:
         counts = Counter(words)
         n, distinct = len(words), len(counts)
-        commonest = max(counts.values()) / n
-        runs = sum(a == c for a, c in zip(words, words[1:])) / n
+        commonest = (max(counts.values()) - 1) / (n + FEW_WORDS)
+        runs = sum(a == c for a, c in zip(words, words[1:])) / (n + FEW_WORDS)
         capitals = np.count_nonzero((b >= 65) & (b <= 90)) / len(b)
         signs = np.count_nonzero((b >= 33) & (b <= 64)) / len(b)
         others = np.count_nonzero(((b >= 91) & (b <= 96)) | ((b >= 123) & (b <= 126))) / len(b)
@@ -128,7 +130,7 @@ def co_train(content, meta, y, weight, pool_content, pool_meta, rounds=ROUNDS, s
         for (own, pool), labels in zip(views, extra):
             has = ~np.isnan(labels)
             x = np.concatenate([own, pool[has]])
-            fitted.append(fit_logistic(x, np.r_[y, labels[has]], np.r_[weight, np.full(has.sum(), weight.mean() / 2)], 1e-4))
+            fitted.append(fit_logistic(x, np.r_[y, labels[has]], np.r_[weight, np.full(has.sum(), weight.mean() / 2)], RIDGE))
         if turn == rounds or not len(pool_content):
             break
         for giver in (0, 1):
