@@ -160,6 +160,7 @@ WORD_PRINTS, SHINGLE_PRINTS = [f"w{i}" for i in range(4)], [f"s{i}" for i in ran
 PRINTS = WORD_PRINTS + SHINGLE_PRINTS
 WIDE = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in PRINTS)
 PART = 24                  # bits of a segment; two in each of w0 to w3
+WILD = 3                   # neighbouring bits that are deleted together
 WORDS_APART = 42           # of 256 bits
 SHINGLES_APART = 92        # of 512 bits; texts of similarity 0.8 differ in 78, of 0.7 in 98
 GROUP = 50
@@ -224,27 +225,29 @@ def _apart(columns):
 def similar_pairs(classes, group=GROUP):
     """Verified pairs (a, b) of ``classes`` (node and the fingerprints of a text).
 
-    The word fingerprint is cut into eight segments, indexed with each bit deleted in turn.
-    Texts that share nine tenths of their words differ in at most one bit of some segment
-    in over 97 of 100 cases.  A pair meets once per segment: at the differing bit, or at bit 0 of
+    The word fingerprint is cut into eight segments, indexed with each group of ``WILD``
+    bits deleted in turn.  Texts that share nine tenths of their words differ in at most one bit of some segment
+    in over 97 of 100 cases.  A pair meets once per segment: at the differing group, or at group 0 of
     equal segments.  In a signature that more than ``group`` texts share, each is
     compared with the smallest only, so that work stays in proportion; what hangs together
     through others meets in other signatures.
     """
     segments = F.array(*[F.shiftrightunsigned(f"w{i}", k * 32).bitwiseAND(F.lit((1 << PART) - 1)) for i in range(4) for k in (0, 1)])
+    groups = PART // WILD
     one = classes.select("node", F.posexplode(segments).alias("segment", "part")).select(
-        "node", "segment", "part", F.explode(F.sequence(F.lit(0), F.lit(PART - 1))).alias("bit"))
-    mask = F.expr("shiftleft(1L, bit)")
+        "node", "segment", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"))
+    mask = F.expr(f"shiftleft({(1 << WILD) - 1}L, place * {WILD})")
     index = stored(one.select(
-        ((F.col("segment") * PART + F.col("bit")).cast("long") * F.lit(1 << PART) + F.col("part").bitwiseAND(F.bitwise_not(mask))).alias("signature"),
-        "node", (F.col("part").bitwiseAND(mask) != 0).alias("one"), (F.col("bit") == 0).alias("first")), "signatures")
+        ((F.col("segment") * groups + F.col("place")).cast("long") * F.lit(1 << PART)
+         + F.col("part").bitwiseAND(F.bitwise_not(mask))).alias("signature"),
+        "node", F.col("part").bitwiseAND(mask).cast("int").alias("own"), (F.col("place") == 0).alias("first")), "signatures")
     counts = index.groupBy("signature").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     counts = stored(counts, "shared-signatures")
     # Signatures that nothing shares are most of all.
     few = index.join(counts.filter(F.col("n") <= group).select("signature"), "signature", "left_semi")
     few = stored(few, "shared-index")
     x, y = few.alias("x"), few.alias("y")
-    differ = F.col("x.one") != F.col("y.one")
+    differ = F.col("x.own") != F.col("y.own")
     pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node"))
                    & (differ | F.col("x.first"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     stars = index.join(counts.filter(F.col("n") > group), "signature").filter("node <> hub").select(
