@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import slices, stored
-from pressmill.llm.tokens import ChunkEncoder
+from pressmill.llm.common import slices, stored, with_package
+from pressmill.llm.tokens import encoder_for
 from pressmill.session import new_shared_path
 
 LONGEST = 16       # bits of the longest code word; 2 ** LONGEST entries decode it
@@ -190,7 +190,7 @@ def crc32_joined(pieces):
 
 def _encoded(vocabulary, end_id, dtype):
     def run(batches):
-        encoder = ChunkEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         end = np.asarray([] if end_id is None else [end_id], dtype="<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
@@ -289,7 +289,7 @@ def write_token_files(docs, path, vocabulary, end_id=None, text="text"):
     """Encode ``docs`` (doc_id, text) and write ``path``/blocks and ``path``/code."""
     from tokenizers import Tokenizer
 
-    spark = docs.sparkSession
+    spark = with_package(docs).sparkSession
     size = max(max(Tokenizer.from_file(vocabulary).get_vocab().values()), end_id or 0) + 1
     dtype = "<u2" if size <= 65_536 else "<u4"
     ids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -356,7 +356,7 @@ def _decoded(lengths, with_ids):
 def read_pieces(spark, path, with_ids=False):
     """Pieces of documents from the files: place in the block, length, CRC-32, and the ids
     (little-endian unsigned 32-bit) if wanted."""
-    blocks = spark.read.parquet(f"{path}/blocks").select(
+    blocks = with_package(spark.read.parquet(f"{path}/blocks")).select(
         "part", "block", "doc_ids", "rows", "pieces", "piece_counts", "counts", "checkpoints", "payload")
     return blocks.mapInArrow(_decoded(_read_code(spark, path), with_ids),
                              PIECE_TYPE + (", ids binary" if with_ids else ""))
@@ -378,7 +378,7 @@ def read_documents(spark, path):
     starts = headers.select("part", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("block_start"))
     starts = starts.join(parts, "part").select(
         "part", "block", (F.col("part_start") + F.col("block_start")).alias("block_start"))
-    pieces = read_pieces(spark, path).join(starts, ["part", "block"]).withColumn(
+    pieces = stored(read_pieces(spark, path), "pieces").join(starts, ["part", "block"]).withColumn(
         "start", F.col("block_start") + F.col("place"))
     whole = pieces.filter("pieces = 1").select("doc_id", "start", F.col("n").cast("long").alias("n_tokens"),
                                                F.col("crc").alias("ids_crc32"))

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import ranked, stored
-from pressmill.llm.tokens import ChunkEncoder
+from pressmill.llm.common import ranked, stored, with_package
+from pressmill.llm.tokens import encoder_for
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ def _pieces(vocabulary, end_id, capacity, with_ids):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches):
-        encoder = ChunkEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         end = np.asarray([] if end_id is None else [end_id], dtype="<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -56,7 +56,7 @@ def _pieces(vocabulary, end_id, capacity, with_ids):
 def cut_into_pieces(docs, vocabulary, end_id=0, capacity=CAPACITY, with_ids=False):
     """Pieces of at most ``capacity`` ids of every whole text; ``ids`` (little-endian
     unsigned 32-bit) if wanted."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _pieces(vocabulary, end_id, capacity, with_ids), PIECES + (", ids binary" if with_ids else ""))
 
 

@@ -2,13 +2,14 @@
 
 A text is cut at ASCII blanks.  The vocabulary's rules never join what stands on both
 sides of white space, nor a letter and the marks behind it, so the ids of a text are the
-ids of its pieces in a row, and pieces repeat: each task keeps the ids of those it has
+ids of its pieces in a row, and pieces repeat: each worker keeps the ids of those it has
 met.  New words go to the library together, as one text, and are told apart by the tokens
 that end a word.  The memory has two generations, the older of which is dropped when the
 younger is full: that costs time and never changes an id.  Texts that hold the string of a
 special token, or letters whose lower case or normal form is not plain, take slower ways.
 """
 
+import functools
 import re
 
 import numpy as np
@@ -17,7 +18,7 @@ import numpy as np
 NOT_PLAIN = re.compile("[^\x00-\x7f\xa1-\xff\u2010-\u2027]")
 MARKS_BEHIND = re.compile("(?<=[a-z\xdf-\xf6\xf8-\xff])([.,;:!?*#$%&|]+)(?= |$)")
 LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 END_OF_WORD = "</w>"
 
 
@@ -42,7 +43,7 @@ class Kept:
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; one per task."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path):
         from tokenizers import Tokenizer
@@ -117,6 +118,12 @@ class ChunkEncoder:
         return b"".join(found)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path):
+    """The encoder of this worker process: tasks that follow each other share what it has met."""
+    return ChunkEncoder(path)
+
+
 def default_vocabulary():
     """The vocabulary that the queries use."""
     import public_tokenizers
