@@ -124,7 +124,8 @@ def thresholds(slim, state, most=MOST):
     """Add ``cut`` to ``state``: documents whose excess is at least that get one copy more."""
     docs = slim.join(state, "key").withColumn("excess", _excess(F.col("doc_id"), most)).withColumn(
         "whole", F.floor(_rate(most)))
-    base = docs.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("base"))
+    # Stored, so that its size is known and documents aren't dealt by source to meet it.
+    base = stored(docs.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("base")), "mix-base")
     able = docs.filter(F.col("whole") < most)
 
     def cut(rows, low, width, need, names):
