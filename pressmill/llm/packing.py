@@ -27,6 +27,7 @@ from pressmill.llm.common import ranked, stored, with_package
 from pressmill.llm.tokens import encoder_for
 
 CAPACITY = 2048
+STRETCH = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 INTERVALS = ("round int, size int, low long, high long, gap int, gap_low long, gap_high long, each int, "
              "sequence long")
@@ -153,9 +154,12 @@ def pack(pieces, capacity=CAPACITY):
         opened = [i for i in found if i[8] is not None]
         if opened:
             first, last = opened[0][8], opened[-1][8] + opened[-1][6]
-            new, i = spark.range(first, last).alias("n"), here.filter("sequence IS NOT NULL").alias("i")
+            # Met by stretches of ids, so that it is an equality join.
+            stretch = F.expr(f"explode(sequence(sequence DIV {STRETCH}, (sequence + gap_high - 1) DIV {STRETCH}))")
+            i = spark.createDataFrame(opened, INTERVALS).withColumn("stretch", stretch).alias("i")
+            new = spark.range(first, last).withColumn("stretch", F.expr(f"id DIV {STRETCH}")).alias("n")
             at = F.col("n.id") - F.col("i.sequence")
-            parts.append(new.join(i, (at >= 0) & (at < F.col("i.gap_high")))
+            parts.append(new.join(i, (F.col("n.stretch") == F.col("i.stretch")) & (at >= 0) & (at < F.col("i.gap_high")))
                          .select(F.col("n.id").alias("sequence_id"), F.lit(number).alias("round"),
                                  F.lit(capacity).alias("gap"), at.alias("rank"), F.lit(False).alias("taken"),
                                  _filled("i.gap", "i.size", "i.low", "i.high", "i.each", at).cast("int").alias("room")))
