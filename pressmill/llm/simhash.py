@@ -16,8 +16,8 @@ the other, so all fingerprints within two bits of a point hang together as soon
 within one bit of it.  That costs 2 081 rows for a fingerprint, whatever the crowd.
 
 ``keep_one_each`` finds similar texts, not only near fingerprints: texts whose five-word
-shingles agree by 0.8 differ in about ten of 64 bits.  It takes wider fingerprints of the same make, finds
-pairs by the same variants over segments of the words' fingerprint, and verifies them by both.
+shingles agree by 0.8 differ in about ten of 64 bits.  It joins the prefixes of their sets of
+shingles, which finds all such pairs, and verifies them by the sets.
 
 Null and empty texts, and texts of white space, have fingerprint zero and are linked like all
 others.  Documents with equal fingerprints form a class, counted inside the tasks;
@@ -156,123 +156,199 @@ def hex_digits(fp):
 
 # ------------------------------------------------------------------ similar texts
 
-WORD_PRINTS, SHINGLE_PRINTS = [f"w{i}" for i in range(4)], [f"s{i}" for i in range(8)]
-PRINTS = WORD_PRINTS + SHINGLE_PRINTS
-WIDE = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in PRINTS)
-PART = 24                  # bits of a segment; two in each of w0 to w3
-WILD = 3                   # neighbouring bits that are deleted together
-WORDS_APART = 42           # of 256 bits
-SHINGLES_APART = 92        # of 512 bits; texts of similarity 0.8 differ in 78, of 0.7 in 98
-GROUP = 50
-
-
-def _vote(hashes, longs):
-    """64 bits for each of ``longs``: those that over half of the hashes, mixed anew each time, have set."""
-    out = []
-    with np.errstate(over="ignore"):
-        for k in range(1, longs + 1):
-            votes = np.zeros(64, dtype=np.int64)
-            for at in range(0, len(hashes), HASHED_AT_ONCE):
-                x = hashes[at:at + HASHED_AT_ONCE] + np.uint64(k * 0x9E3779B97F4A7C15 % 2 ** 64)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1)
-                votes += bits.sum(0, dtype=np.uint16 if len(x) < 65_536 else np.int64)
-            out.append(int(np.packbits(votes * 2 > len(hashes)).view("<i8")[0]))
-    return out
-
-
-def wide_fingerprint(text, words=5):
-    """256 bits of the different words of a text and 512 of its different shingles."""
+BITMAP = [f"b{i}" for i in range(8)]
+WIDE = "doc_id long, text_hash long, node long, n long, " + ", ".join(f"{c} long" for c in BITMAP) + ", prefix array<long>"
+GROUP = 50                 # groups of more texts are linked over hubs before their pairs are made
+SAMPLE = 10_000            # documents, about, whose shingles are counted for the order of shingles
+COMMON = 100_000           # most shingles that the order puts last
+COMMON_FROM = 3            # documents of the sample that a common shingle is in
+
+
+def shingle_set(text, words=5):
+    """Hashes of the different shingles of a text, sorted; a text of fewer words is one shingle."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * len(PRINTS)
+        return np.empty(0, np.uint64)
     line = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     last = ends[min(words, len(tokens)) - 1:].tolist()
     first = [0, *(ends[:-1] + 1).tolist()][:len(last)]
     digest = xxhash.xxh64_intdigest
-    own = np.asarray([digest(t) for t in dict.fromkeys(tokens)], dtype=np.uint64)
-    shingles = np.unique(np.asarray([digest(line[a:b]) for a, b in zip(first, last)], dtype=np.uint64))
-    return _vote(own, len(WORD_PRINTS)) + _vote(shingles, len(SHINGLE_PRINTS))
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(first, last)), np.uint64, len(last)))
+
+
+def _prefix(own, common):
+    """The shingles of which texts that are similar by 0.8 share one at least.
+
+    Rare shingles come first, by hash; those of ``common`` (sorted hashes and their places) last.
+    """
+    n = len(own)
+    if n and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        known = common[0][at] == own
+        if known.any():
+            own = own[np.lexsort((own, np.where(known, common[1][at] + 1, 0)))]
+    return own[:n - (4 * n + 4) // 5 + 1] if n else own
 
 
-def _wide(words):
+def _bitmap(own):
+    """Parities of the counts in 512 parts: two sets differ in as many elements as bits at least."""
+    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _wide(words, common):
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 cut = batch.slice(at, 512)
-                prints = [wide_fingerprint(t.as_py(), words) for t in cut.column(2)]
+                sets = [shingle_set(t.as_py(), words) for t in cut.column(2)]
+                nodes = np.asarray([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                bits = np.asarray([_bitmap(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column(0), cut.column(1), *(pa.array(c, pa.int64()) for c in zip(*prints))],
-                    ["doc_id", "text_hash", *PRINTS])
+                    [cut.column(0), cut.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()),
+                     *(pa.array(c) for c in bits.T.copy()),
+                     pa.array([_prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "node", "n", *BITMAP, "prefix"])
     return run
 
 
-def _text_hash(text):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def _sets(words):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                cut = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column(0), pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in cut.column(1)],
+                                             pa.list_(pa.int64()))], ["node", "shingles"])
+    return run
 
 
-def _apart(columns):
-    total = F.lit(0)
-    for c in columns:
-        total = total + F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
-    return total
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def similar_pairs(classes, group=GROUP):
-    """Verified pairs (a, b) of ``classes`` (node and the fingerprints of a text).
+def common_shingles(columns, words, sample=SAMPLE, most=COMMON):
+    """Sorted hashes of shingles that many documents hold, and their places by count.
 
-    The word fingerprint is cut into eight segments, indexed with each group of ``WILD``
-    bits deleted in turn.  Texts that share nine tenths of their words differ in at most one bit of some segment
-    in over 97 of 100 cases.  A pair meets once per segment: at the differing group, or at group 0 of
-    equal segments.  In a signature that more than ``group`` texts share, each is
-    compared with the smallest only, so that work stays in proportion; what hangs together
-    through others meets in other signatures.
+    They only order the shingles, so pairs don't depend on the sample; its documents and ``most`` bound them.
+    """
+    rows = columns.count()
+    some = columns if rows <= sample else columns.sample(sample / rows, seed=SEED)
+    counted = (some.select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(_sets(words), "node long, shingles array<long>")
+               .select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+               .filter(F.col("n") >= COMMON_FROM).orderBy(F.col("n").desc(), "shingle").limit(most).toArrow())
+    hashes = counted.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    counts = counted.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    places = np.empty(len(hashes), np.int64)
+    places[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+    return hashes[order], places[order]
+
+
+def _may_be_similar(x, y):
+    """What similarity 0.8 takes, by sizes and bitmaps: no similar pair is lost."""
+    bits = F.lit(0)
+    for c in BITMAP:
+        bits = bits + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * bits <= n + m)
+
+
+def _pairs_inside(members, also=None):
+    x, y = members.alias("x"), members.alias("y")
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & _may_be_similar("x", "y")
+    return x.join(y, on if also is None else on & also).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _pairs_with_hubs(members, order):
+    """Each member of a group with the one that is last in ``order``, if their labels differ."""
+    hubs = members.groupBy("shingle").agg(F.max_by(F.struct("node", "n", *BITMAP, "label"), order).alias("hub"))
+    hubs = hubs.select("shingle", "hub.*")
+    on = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") != F.col("y.node"))
+          & (F.col("x.label") != F.col("y.label")) & _may_be_similar("x", "y"))
+    return members.alias("x").join(hubs.alias("y"), on).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _similar(pairs, sets):
+    """Those pairs whose sets agree by 0.8, counted."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b"))
+    shared = F.size(F.array_intersect("own", "other"))
+    return both.filter(9 * shared >= 4 * (F.size("own") + F.size("other"))).select("a", "b")
+
+
+def similar_edges(classes, sets_of, group=GROUP):
+    """Pairs (a, b) of ``classes`` similar by 0.8, whose components are those of all such pairs.
+
+    ``classes`` has node, n, the bitmap and the prefix of each set; ``sets_of`` gives node and shingles for a
+    table of nodes.  Similar sets share a shingle of their prefixes, so each shingle has
+    a group; groups of the same texts are one.  Pairs of a group are filtered by size and bitmap and
+    verified by their sets.  In groups of more than ``group`` texts each is first compared with
+    the one that shares most, then with one by chance in each group; then all pairs
+    that aren't yet in one component follow, so nothing is left out.
     """
-    segments = F.array(*[F.shiftrightunsigned(f"w{i}", k * 32).bitwiseAND(F.lit((1 << PART) - 1)) for i in range(4) for k in (0, 1)])
-    groups = PART // WILD
-    one = classes.select("node", F.posexplode(segments).alias("segment", "part")).select(
-        "node", "segment", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"))
-    mask = F.expr(f"shiftleft({(1 << WILD) - 1}L, place * {WILD})")
-    index = stored(one.select(
-        ((F.col("segment") * groups + F.col("place")).cast("long") * F.lit(1 << PART)
-         + F.col("part").bitwiseAND(F.bitwise_not(mask))).alias("signature"),
-        "node", F.col("part").bitwiseAND(mask).cast("int").alias("own"), (F.col("place") == 0).alias("first")), "signatures")
-    counts = index.groupBy("signature").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    counts = stored(counts, "shared-signatures")
-    # Signatures that nothing shares are most of all.
-    few = index.join(counts.filter(F.col("n") <= group).select("signature"), "signature", "left_semi")
-    few = stored(few, "shared-index")
-    x, y = few.alias("x"), few.alias("y")
-    differ = F.col("x.own") != F.col("y.own")
-    pairs = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") < F.col("y.node"))
-                   & (differ | F.col("x.first"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    stars = index.join(counts.filter(F.col("n") > group), "signature").filter("node <> hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b"))
-    candidates = stored(pairs.unionByName(stars).distinct(), "candidates")
-    return (candidates.join(classes.alias("x"), F.col("a") == F.col("x.node"))
-            .join(classes.alias("y"), F.col("b") == F.col("y.node"))
-            .filter((_apart(WORD_PRINTS) <= WORDS_APART) & (_apart(SHINGLE_PRINTS) <= SHINGLES_APART)).select("a", "b"))
+    index = stored(classes.select("node", F.explode("prefix").alias("shingle")), "prefixes")
+    shared = index.groupBy("shingle").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two")).filter("size > 1")
+    groups = stored(shared.groupBy("size", "one", "two").agg(F.min("shingle").alias("shingle")), "groups")
+    members = index.join(groups.select("shingle", "size"), "shingle").join(classes.select("node", "n", *BITMAP), "node")
+    members = stored(members.withColumn("label", F.col("node")), "members")
+    pairs = _pairs_inside(members.filter(F.col("size") <= group))
+    large = members.filter(F.col("size") > group)
+    if not large.limit(1).count():
+        pairs = stored(pairs, "candidates")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return stored(_similar(pairs, sets), "similar")
+    weights = large.groupBy("node").agg(F.sum("size").alias("weight"))
+    stars = _pairs_with_hubs(large.join(weights, "node"), F.struct("weight", "node"))
+    pairs = stored(pairs.unionByName(stars).distinct(), "candidates")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct())
+    edges = stored(_similar(pairs, sets), "similar")
+
+    def labelled():
+        roots = components(edges).withColumnRenamed("root", "_root")
+        found = large.join(roots, "node", "left").withColumn("label", F.coalesce("_root", "label")).drop("_root")
+        return stored(found, "labelled")
+
+    by_chance = _pairs_with_hubs(labelled(), F.xxhash64("node", "shingle"))
+    edges = edges.unionByName(stored(_similar(stored(by_chance, "candidates"), sets), "similar"))
+    rest = labelled()
+    split = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    rest = stored(rest.join(split, "shingle", "left_semi"), "split-groups")
+    rest = stored(_pairs_inside(rest, F.col("x.label") != F.col("y.label")), "candidates")
+    return edges.unionByName(stored(_similar(rest, sets), "similar"))
 
 
 def keep_one_each(docs, words=5, group=GROUP, text="text"):
     """Of near duplicates by shingles of ``words`` words, the row with the smallest doc_id; columns unchanged.
 
-    Texts count as near duplicates from a similarity of about 0.8, as their wide
-    fingerprints tell it.  In a component without any doc_id the smallest text hash stays; of
+    Texts are near duplicates if their sets of shingles agree by 0.8 (shared of all) or
+    others join them.  In a component without any doc_id the smallest text hash stays; of
     rows with equal doc_id and text one stays.
     """
     columns = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
-    slim = columns.mapInArrow(_wide(words), WIDE).withColumn("node", F.xxhash64(*PRINTS))
-    slim = stored(slim, "wide-fingerprints")
-    classes = stored(slim.groupBy("node").agg(*[F.first(c).alias(c) for c in PRINTS]), "fingerprint-classes")
-    roots = stored(components(similar_pairs(classes, group)), "roots")
+    wide = stored(columns.mapInArrow(_wide(words, common_shingles(columns, words)), WIDE), "shingle-prefixes")
+    slim = wide.select("doc_id", "text_hash", "node")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     # Rows of a class first, inside the tasks; then classes of a component.
-    firsts = slim.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"))
+    classes = wide.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *BITMAP, "prefix")])
+    classes = stored(classes, "shingle-classes")
+
+    def sets_of(nodes):
+        wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("keep.doc_id").alias("_id"), F.col("keep.text_hash").alias("_hash"))
+        found = columns.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        sets = found.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>")
+        return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    roots = stored(components(similar_edges(classes, sets_of, group)), "roots")
+    firsts = classes.select("node", "keep", "rows")
     rooted = firsts.join(roots, "node", "left").select("node", "keep", "rows", F.coalesce("root", "node").alias("root"))
     keeps = rooted.groupBy("root").agg(F.min("keep").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
     keepers = stored(rooted.select("node", "root").join(keeps, "root").select("node", "best"), "keepers")

@@ -285,6 +285,47 @@ def test_one_of_each_component_stays(spark, docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is not None, i)) == [None, 1, 2, 4, 5, 8, 9, 10]
 
 
+def plain_kept(texts):
+    """doc_ids that stay of {doc_id: text}, by the similarity of all pairs."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))}
+    ids = sorted(sets)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
+            if 5 * len(both := sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]) - len(both))]
+    roots = plain_components(ids, near)
+    return sorted(set(roots.values()))
+
+
+def changed(words, places, tag):
+    out = list(words)
+    for k in places:
+        out[k] = f"{tag}x{k}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("group", [50, 4])
+def test_families_stay_by_one(spark, group):
+    rng = np.random.default_rng(8)
+    texts = {}
+    # Copies that are similar to an original, but not to each other.
+    first = [f"w{k}" for k in range(400)]
+    for i in range(160):
+        texts[i] = changed(first, rng.choice(80, 8, replace=False) * 5, i)
+    texts[900] = " ".join(first)
+    # Documents over a vocabulary of 30 words, some with a near copy, and a line that all share.
+    for i in range(1000, 1120):
+        words = ["the", "very", "same", "line", "in", "all", "of", "them"] + [f"v{k}" for k in rng.integers(0, 30, 150)]
+        texts[i] = " ".join(words)
+        if i % 4 == 0:
+            texts[i + 1000] = changed(words, rng.choice(150, int(rng.integers(1, 6)), replace=False), i)
+    df = docs_of(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    want = plain_kept(texts)
+    assert 0 in want and sum(i < 1000 for i in want) == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_one_each(df, group=group).collect()) == want
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
