@@ -45,7 +45,8 @@ UNWANTED = frozenset("ad ads adv advert advertisement advertising adsense adslot
                      "sidebar signup skip social sponsor sponsored sponsors subscribe toolbar topbar widget widgets".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--.*?-->|<[!?/][^>]*>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -62,11 +63,15 @@ class _Element:
 def _named(attributes):
     found = {}
     if "=" in attributes or "hidden" in attributes:
-        for name, a, b, c in _NAMED.findall(attributes):
-            found[name.lower()] = a or b or c
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            found.setdefault(name.lower(), a or b or c)
     return found
 
 
+def _hidden(names):
+    return "hidden" in names or names.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(names.get("style", "")))
+
+
 def _unwanted(names, in_article):
     words = set(w.lower() for w in _PARTS.findall(f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}"))
     if in_article:
@@ -161,7 +166,7 @@ def containers_of(page):
         if not dropped:
             names = _named(attributes)
             inside = "/article" in path or "/main" in path
-            dropped = (name in DROPPED or name == "header" and not inside or "hidden" in names
+            dropped = (name in DROPPED or name == "header" and not inside or name not in ("html", "body") and _hidden(names)
                        or name not in ("html", "body", "article", "main") and bool(names) and _unwanted(names, inside))
             if name in BLOCKS:
                 classes = sorted(re.sub(r"\d+", "#", c) for c in names.get("class", "").split())

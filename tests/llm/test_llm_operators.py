@@ -556,6 +556,22 @@ def test_main_text_of_given_pages(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+LONG_P = "<p>An article goes on with many words, sentence after sentence.</p>"
+LONG_T = "An article goes on with many words, sentence after sentence."
+
+
+@pytest.mark.parametrize("page", [
+    f'<body style="overflow:hidden"><div>{LONG_P}</div></body>', f'<div aria-hidden="false">{LONG_P}</div>', f'<div data-x="hidden">{LONG_P}</div>',
+    f'<div data-id="comments" title="class=ad">{LONG_P}</div>', f"<body hidden><div>{LONG_P}</div>",
+    f'<div>{LONG_P}<p hidden>no</p><p aria-hidden="true">no</p><p style="color:red; display: none">no</p></div>'])
+def test_only_whole_attributes_hide(page):
+    assert consensus.extract(page) == LONG_T
+
+
+def test_links_are_not_unwanted_by_their_address():
+    assert consensus.extract('<div><p>Read <a href="/p?id=ad-5">this</a> as well, please, all of you.</p></div>') == "Read this as well, please, all of you."
+
+
 # ------------------------------------------------------------------ shared
 
 def test_ranks_of_a_hot_group(spark):
