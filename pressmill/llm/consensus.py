@@ -9,7 +9,7 @@
    path with most votes that holds text on the page, or else the page's own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-are left out, by tag or by the words of class and id.  Character references are decoded,
+are left out, by tag or by the words of class and id; forms and such words don't leave out what holds most of a page.  Character references are decoded,
 white space inside a block becomes one space, blocks are joined by a blank line.  Null or empty html
 gives the empty text.  Pages without url, or with a url without host, share the empty host.  Repeated rows
 give repeated results.  An empty input gives no rows; extra columns are not read.
@@ -25,6 +25,7 @@ from pressmill.llm.common import stored, with_package
 
 SHARE = 0.1
 HELD_VOTES = 20_000
+UNWANTED_TRUST = 0.5
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre "
@@ -52,10 +53,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "score", "link", "parent", "blocks")
+    __slots__ = ("tag", "path", "dropped", "score", "link", "parent", "blocks", "suspect", "trust")
 
-    def __init__(self, tag, path, dropped, parent):
+    def __init__(self, tag, path, dropped, parent, suspect=None, trust=1.0):
         self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
+        self.suspect, self.trust = suspect, trust
         self.score = self.link = 0.0
         self.blocks = []
 
@@ -79,11 +81,14 @@ def _unwanted(names, in_article):
     return bool(words & UNWANTED)
 
 
-def containers_of(page):
+def containers_of(page, kept=frozenset()):
     """Containers of a page in page order, each with path, score and its own blocks.
 
     A container's blocks are (number, text); a block belongs to all containers around it.
+    Forms and elements with unwanted words are left out, but not those that begin at one of ``kept``:
+    one that holds most running text of a page without article or main elsewhere is read, at half its score.
     """
+    left_out, running, whole = {}, 0, False
     root = _Element("", "", False, None)
     stack, found, piece, number, links = [root], [], [], 0, 0
     linked = 0
@@ -96,7 +101,7 @@ def containers_of(page):
             box = stack[-1]
             while box.parent is not None and box.tag not in CONTAINERS:
                 box = box.parent
-            free = max(len(text) - linked, 0) * (1.0 if len(text) >= 25 else 0.25)
+            free = max(len(text) - linked, 0) * (1.0 if len(text) >= 25 else 0.25) * box.trust
             box.score += free
             if box.parent is not None:
                 above = box.parent
@@ -117,9 +122,18 @@ def containers_of(page):
             # What looks like a tag that the page ends in is none of the text.
             cut = re.compile(r"<[a-zA-Z/!?][^>]*\Z").search(page, at)
             stop = cut.start() if cut else end
-        if stop > at and not stack[-1].dropped:
+        top = stack[-1]
+        if stop - at >= 25 and not links and (not top.dropped or top.suspect is not None):
+            length = len(page[at:stop].strip())
+            if length >= 25 and top.dropped:
+                left_out[top.suspect] = left_out.get(top.suspect, 0) + length
+            elif length >= 25:
+                running += length
+        if stop > at and not top.dropped:
             text = page[at:stop]
             piece.append(text)
+            if not whole and ("/article" in top.path or "/main" in top.path) and text.strip():
+                whole = bool(_WHOLE.match(top.path))
             if links:
                 linked += len(text)
         if tag is None:
@@ -162,16 +176,23 @@ def containers_of(page):
                 links -= sum(e.tag == "a" for e in stack[depth:])
                 del stack[depth:]
         above = stack[-1]
-        path, dropped = above.path, above.dropped
+        path, dropped, suspect, trust = above.path, above.dropped, above.suspect, above.trust
         if not dropped:
             names = _named(attributes)
             inside = "/article" in path or "/main" in path
-            dropped = (name in DROPPED or name == "header" and not inside or name not in ("html", "body") and _hidden(names)
-                       or name not in ("html", "body", "article", "main") and bool(names) and _unwanted(names, inside))
+            dropped = (name in DROPPED and name != "form" or name == "header" and not inside
+                       or name not in ("html", "body") and _hidden(names))
+            if not dropped and (name == "form" or name not in ("html", "body", "article", "main") and bool(names) and _unwanted(names, inside)):
+                if tag.start() in kept:
+                    trust = UNWANTED_TRUST
+                else:
+                    dropped, suspect = True, tag.start()
             if name in BLOCKS:
                 classes = sorted(re.sub(r"\d+", "#", c) for c in names.get("class", "").split())
                 path = f"{path}/{'.'.join([name, *classes])}"
-        element = _Element(name, path, dropped, above)
+        elif suspect is not None and (name in DROPPED and name != "form" or name == "header" or _hidden(_named(attributes))):
+            suspect = None     # not counted, as it is left out in any case
+        element = _Element(name, path, dropped, above, suspect, trust)
         if name == "a":
             links += 1
         if name in CONTAINERS and not dropped:
@@ -179,6 +200,10 @@ def containers_of(page):
         stack.append(element)
     if not stack[-1].dropped:
         end_block()
+    if left_out and not whole:
+        most = max(left_out, key=left_out.get)
+        if 2 * left_out[most] > running + sum(left_out.values()):
+            return containers_of(page, kept | {most})
     return found or [root]
 
 

@@ -572,6 +572,19 @@ def test_links_are_not_unwanted_by_their_address():
     assert consensus.extract('<div><p>Read <a href="/p?id=ad-5">this</a> as well, please, all of you.</p></div>') == "Read this as well, please, all of you."
 
 
+@pytest.mark.parametrize("opening, closing", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="main no-ads">', "</div>"), ('<div class="elementor-widget"><div class="widget">', "</div></div>"),
+    ('<div class="layout with-header">', "</div>"), ('<form action="/"><div>', "</div></form>")])
+def test_unwanted_words_do_not_drop_a_whole_page(opening, closing):
+    menu = '<nav>Home and other pages of this site, all of them</nav><div class="ad">Buy now, buy a lot, buy everything</div>'
+    assert consensus.extract(f"<body>{opening}{menu}{LONG_P * 3}{closing}</body>") == "\n\n".join([LONG_T] * 3)
+
+
+def test_long_comments_do_not_displace_an_article():
+    comments = '<div class="comments">' + "<p>A reader wrote a long comment here, and more of it.</p>" * 9 + "</div>"
+    assert consensus.extract(f"<article>{LONG_P}</article>{comments}") == LONG_T
+
+
 # ------------------------------------------------------------------ shared
 
 def test_ranks_of_a_hot_group(spark):
