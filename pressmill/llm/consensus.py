@@ -6,7 +6,7 @@
 2. Votes are summed inside tasks, then by host and path.  A path that has at least
    ``SHARE`` of the votes of its host wins; a host has at most 1 / SHARE winners.
 3. Every page is parsed again and the containers at the winning path are extracted: the
-   path with most votes that holds text on the page, or else the page's own best container.
+   winning path that is best on the page, or scores most there, or else the page's own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
 are left out, by tag or by the words of class and id; forms and such words don't leave out what holds most of a page.  Character references are decoded,
@@ -53,12 +53,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "score", "link", "parent", "blocks", "suspect", "trust")
+    __slots__ = ("tag", "path", "dropped", "score", "link", "parent", "blocks", "running", "suspect", "trust")
 
     def __init__(self, tag, path, dropped, parent, suspect=None, trust=1.0):
         self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
         self.suspect, self.trust = suspect, trust
-        self.score = self.link = 0.0
+        self.score = self.link = self.running = 0.0
         self.blocks = []
 
 
@@ -108,7 +108,10 @@ def containers_of(page, kept=frozenset()):
                 while above.parent is not None and above.tag not in CONTAINERS:
                     above = above.parent
                 above.score += free / 2
+            # Running text of more words than links.
+            whole_free = free if len(text) >= 25 and 2 * linked <= len(text) else 0.0
             while box is not None:
+                box.running += whole_free
                 box.blocks.append((number, text))
                 box = box.parent
             number += 1
@@ -211,13 +214,29 @@ _WHOLE = re.compile(r"^(.*/(?:article|main)(?:\.[^/]*)?)(?:/|$)")
 
 
 def best_path(boxes):
-    """The path whose containers score most; an article or main around it stands for it."""
-    scores = {}
+    """The path whose containers score most; an article or main around it stands for it.
+
+    So does the container around it that holds running text at other paths too; one further
+    out only if a fifth of its running text is elsewhere.
+    """
+    scores, running = {}, {}
     for box in boxes:
         scores[box.path] = scores.get(box.path, 0.0) + box.score
+        running[box.path] = running.get(box.path, 0.0) + box.running
     path = max(sorted(scores), key=scores.get)
+    score = scores[path]
     around = _WHOLE.match(path)
-    return (around[1] if around else path), scores[path]
+    if around:
+        return around[1], score
+    above, nearest = path.rpartition("/")[0], True
+    while above:
+        if above in running:
+            more = running[above] - running[path]
+            if more > (0 if nearest else running[above] / 5):
+                path = above
+            nearest = False
+        above = above.rpartition("/")[0]
+    return path, score
 
 
 def text_at(boxes, path):
@@ -234,11 +253,19 @@ def extract(page, paths=()):
     if not page:
         return ""
     boxes = containers_of(page)
-    for path in paths:
+    own = best_path(boxes)[0]
+    if own in paths:
+        return text_at(boxes, own)
+    # By the score on this page; paths of equal score by votes.
+    scores = dict.fromkeys(paths, 0.0)
+    for box in boxes:
+        if box.path in scores:
+            scores[box.path] += box.score
+    for path in sorted(scores, key=scores.get, reverse=True):
         text = text_at(boxes, path)
         if text:
             return text
-    return text_at(boxes, best_path(boxes)[0])
+    return text_at(boxes, own)
 
 
 def _votes(batches):

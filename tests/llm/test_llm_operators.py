@@ -585,6 +585,19 @@ def test_long_comments_do_not_displace_an_article():
     assert consensus.extract(f"<article>{LONG_P}</article>{comments}") == LONG_T
 
 
+@pytest.mark.parametrize("one, two", [("lead", "body"), ("title", "text")])
+def test_articles_in_two_unlike_containers_stay_whole(one, two):
+    head = "A head that says what this article is about"
+    links = '<div class="more">' + '<a href="/x">Another story of this site, to be read elsewhere</a>' * 3 + "</div>"
+    page = f'<body><div class="page"><div class="{one}">{head}</div><div class="{two}">{LONG_P * 5}</div></div>{links}</body>'
+    assert consensus.extract(page) == "\n\n".join([head] + [LONG_T] * 5)
+
+
+def test_pages_follow_the_layout_they_have():
+    page = f'<body><div class="a"><p>A teaser.</p></div><div class="b">{LONG_P * 3}</div></body>'
+    assert consensus.extract(page, ("/body/div.a", "/body/div.b")) == "\n\n".join([LONG_T] * 3)
+
+
 # ------------------------------------------------------------------ shared
 
 def test_ranks_of_a_hot_group(spark):
