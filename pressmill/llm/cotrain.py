@@ -244,7 +244,10 @@ def fit(docs, labels, labelled=LABELLED, pool=POOL):
     """A model, or None where labels don't hold both qualities."""
     chosen = F.broadcast(sample(docs, labels, labelled, pool))     # bounded by the parameters
     rows = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_columns(docs)).join(chosen, "doc_id")
-    views = rows.select("doc_id", "label", "weight", "text", "source", "lang", "n_chars").mapInArrow(
+    # One row per doc_id, that of the smallest text hash, reduced inside the tasks.
+    least = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text", "source", "lang", "n_chars", "label", "weight"))
+    rows = rows.groupBy("doc_id").agg(least.alias("row"))
+    views = rows.select("doc_id", "row.label", "row.weight", "row.text", "row.source", "row.lang", "row.n_chars").mapInArrow(
         _views, "doc_id long, label double, weight double, content binary, meta array<int>").toArrow()
     table = [(np.frombuffer(c, np.float16), m, np.nan if y is None else y, w, i % ASIDE == 0, i)
              for i, y, w, c, m in zip(*(views.column(k).to_pylist() for k in ("doc_id", "label", "weight", "content", "meta")))]

@@ -395,6 +395,13 @@ def test_quality_of_odd_rows(spark, docs, none):
     assert cotrain.fit(none, labels) is None and cotrain.score(none, model).count() == 0
 
 
+def test_repeated_ids_count_once_in_the_sample(spark, monkeypatch):
+    rows = [(1, f"Text {k} of one id", "en", "a") for k in range(200)] + [(i, f"Words of document {i}", "en", "a") for i in range(2, 9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "doc_id long, quality int")
+    monkeypatch.setattr(cotrain, "fit_views", len)
+    assert cotrain.fit(docs_of(spark, rows), labels) == 8
+
+
 # ------------------------------------------------------------------ 7: top-k
 
 def plain_top_k(rows, k, every):
