@@ -253,9 +253,13 @@ def union_dumps(*dumps):
     return out
 
 
-def renumber(df, key, order):
-    """Number rows 1..n by descending id (E14).  ``key`` identifies a row."""
-    return number_rows(df, key, ["id"], [F.col("id").desc_nulls_last(), *order], out="new_id")
+def renumber(df, order):
+    """Number rows 1..n by descending id, then by ``order``.
+
+    Rows without id come last; rows that share an id, as the parts of a split collection do, each
+    have a number of their own.
+    """
+    return number_rows(df, [F.col("id").desc_nulls_last(), *order], out="new_id")
 
 
 def merge_statistics(processed, strategy="url"):

@@ -151,7 +151,7 @@ def grouped_entries(df, by):
     are rendered behind them.
     """
     keyed = df.withColumn("group", group_key(by))
-    numbered = list_entries(number_rows(keyed, ["id"], ["publish_time"], [F.col("publish_time").desc_nulls_last(), F.col("id")],
+    numbered = list_entries(number_rows(keyed, [F.col("publish_time").desc_nulls_last(), F.col("id")],
                                         out="no", group=["group"]))
     return numbered.select("group", "no", F.concat(F.col("no").cast("string"), F.lit(". "), F.col("entry")).alias("line"))
 
@@ -271,6 +271,6 @@ def write_report(df, path):
 def with_row_numbers(df):
     """Add ``no``: place of an article by publication, newest first.  Number first, analyse
     afterwards."""
-    return number_rows(df, ["id"], ["publish_time"], [F.col("publish_time").desc_nulls_last(), F.col("id")], out="no")
+    return number_rows(df, [F.col("publish_time").desc_nulls_last(), F.col("id")], out="no")
 
 

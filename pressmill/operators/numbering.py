@@ -1,48 +1,63 @@
 """Consecutive numbers over data of any size.
 
 ``row_number()`` over an unpartitioned (or one hot) window sorts everything in one
-task.  Here rows are range-partitioned by the sort keys, numbered inside their range,
-and shifted by the sizes of the ranges before.  Only ids and sort keys are numbered: the
-sampling of ranges reads them twice, and they are what the checkpoint holds.
+task.  Here rows are range-partitioned by the sort keys and stored, each with its place
+inside its range; places are then shifted by the sizes of the ranges before.  The rows carry their
+numbers themselves: nothing is joined back by a key, so null and repeated keys are numbered like
+all others, and rows are ranged once.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressmill.session import ensure_checkpoint_dir
+from pressmill.session import new_shared_path
 
+RANGE = 33   # monotonically_increasing_id() holds the partition above this bit
 
-def numbers(df, key, columns, order, out="row_no", group=()):
-    """``key`` and ``out``: 1..n in the given order, restarting for every group.
 
-    ``key`` names columns that identify a row, ``columns`` those that ``order`` reads;
-    ``order`` should end in a unique one.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    group, key = list(group), list(key)
-    slim = df.select(*dict.fromkeys([*key, *group, *columns]))
-    keys = [F.col(g).asc_nulls_first() for g in group] + list(order)
-    # Ranges come from a sample, so both uses below must see the same ones.
-    ranged = (slim.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .select(*key, *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)],
-                      F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place"))
-              .checkpoint())
-    groups = [f"_group_{i}" for i in range(len(group))]
-    chunks = (ranged.groupBy("_range", *groups)
-              .agg(F.count("*").alias("_n"), F.min("_place").alias("_first")))
-    # At most one row per range for one group: the window below stays small.
-    before = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0)))
-    before = before.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    if not groups:
-        chunks = F.broadcast(chunks)   # one row per range
-    same = F.col("r._range") == F.col("c._range")
-    for g in groups:
-        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"c.{g}"))
-    number = (F.col("r._place") - F.col("c._first") + F.col("c._before") + 1).alias(out)
-    return ranged.alias("r").join(chunks.alias("c"), same).select(*[F.col(f"r.{k}") for k in key], number)
+def _fresh(df, name):
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
+def number_rows(df, order, out="row_no", group=()):
+    """``df`` with 1..n in ``order``, restarting for every value of the columns ``group``.
 
-def number_rows(df, key, columns, order, out="row_no", group=()):
-    """``df`` with its numbers, joined by ``key``; whole rows are shuffled once."""
-    return df.join(numbers(df, key, columns, order, out, group), list(key))
+    Rows that are equal in ``order`` are told apart by a hash of all their columns; of rows equal
+    in everything, either may come first.  The hash also spreads such rows over ranges,
+    so ``order`` need not be unique.  An empty table gives no rows.
+    """
+    spark, group = df.sparkSession, list(group)
+    place, part = _fresh(df, "_place"), _fresh(df, "_range")
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()
+                and "variant" not in f.dataType.simpleString()]
+    keys = [F.col(f"`{g}`").asc_nulls_first() for g in group] + list(order) + [F.xxhash64(*hashable)]
+    # The sampling of ranges reads its input once more: what is costly to compute, or may come out
+    # in another way, is stored first.
+    path = new_shared_path(spark, "unnumbered")
+    df.write.option("compression", "zstd").parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    # All uses below must see the same ranges, so these are stored too.
+    path = new_shared_path(spark, "numbered")
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .withColumn(place, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path))
+    schema = df.withColumn(place, F.lit(0).cast("long")).schema
+    ranged = spark.read.schema(schema).parquet(path).withColumn(part, F.shiftright(place, RANGE))
+    aliased = [F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group)]
+    names = [f"g{i}" for i in range(len(group))]
+    chunks = (ranged.select(F.col(part).alias("part"), F.col(place).alias("place"), *aliased).groupBy("part", *names)
+              .agg(F.count("*").alias("n"), F.min("place").alias("first")))
+    # At most one row per range for one group: the window stays small.
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    if not group:
+        chunks = F.broadcast(chunks)   # one row per range
+    same = F.col(f"r.{part}") == F.col("c.part")
+    for g, name in zip(group, names):
+        same = same & F.col(f"r.`{g}`").eqNullSafe(F.col(f"c.{name}"))
+    number = (F.col(f"r.{place}") - F.col("c.first") + F.col("c.before") + 1).alias(out)
+    carried = [F.col(f"r.`{c}`") for c in df.columns if c != out]
+    return ranged.alias("r").join(chunks.alias("c"), same).select(*carried, number)

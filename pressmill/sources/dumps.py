@@ -69,13 +69,15 @@ def normalise(df):
 def api_items(pages):
     """Items of landed API pages with defaults.
 
-    ``pages`` has ``data`` and ``page_no``.  A missing id becomes the running position
-    over all pages, counted by ranges (see ``number_rows``).
+    ``pages`` has ``data`` and ``page_no``, and ``file`` where pages were read from files.  A missing id
+    becomes the running position over all pages, counted by ranges (see ``number_rows``); pages
+    without a number come last, in the order of their files.  Items that are null give no row.
     """
     from pressmill.operators.numbering import number_rows
 
-    items = pages.selectExpr("page_no", "posexplode(data) AS (pos, item)")
-    items = number_rows(items, ["page_no", "pos"], [], [F.col("page_no"), F.col("pos")], out="_no")
+    file = F.col("file") if "file" in pages.columns else F.lit(None).cast("string").alias("file")
+    items = pages.select("page_no", file, F.posexplode("data").alias("pos", "item")).filter("item IS NOT NULL")
+    items = number_rows(items, [F.col("page_no").asc_nulls_last(), F.col("file").asc_nulls_first(), F.col("pos")], out="_no")
     blank = F.lit("")
     return items.select(
         F.coalesce("item.id", "_no").alias("id"),
@@ -84,5 +86,13 @@ def api_items(pages):
 
 
 def read_api_pages(spark, path):
+    """Landed API pages, one JSON document per file.
+
+    The answers of the API need not name their page: then ``page_no`` is the last number in the name
+    of the file (``page-0012.json``), and null where there is none; ``file`` orders those.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    number = F.regexp_extract(name, r"([0-9]{1,18})[^0-9]*$", 1)
     return (spark.read.schema(schema.API_PAGE).json(path, multiLine=True)
-            .withColumn("page_no", F.col("meta.pagination.page")))
+            .select("*", F.col("_metadata.file_path").alias("file"),
+                    F.coalesce("meta.pagination.page", F.nullif(number, F.lit("")).cast("long")).alias("page_no")))

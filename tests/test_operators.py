@@ -199,10 +199,10 @@ def test_collection(spark):
 
 def test_numbering_of_a_hot_group(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"))
-    got = number_rows(df, ["id"], [], [F.col("id").desc()], out="no", group=["g"])
+    got = number_rows(df, [F.col("id").desc()], out="no", group=["g"])
     hot = [r["no"] for r in got.filter("g = 'hot'").orderBy(F.desc("id")).collect()]
     assert hot == list(range(1, 1001)) and got.filter("g <> 'hot' AND no <> 1").count() == 0
-    flat = number_rows(df, ["id"], [], [F.col("id").desc()], out="no")
+    flat = number_rows(df, [F.col("id").desc()], out="no")
     assert flat.filter("no <> 3000 - id").count() == 0
 
 
@@ -213,10 +213,36 @@ def test_numbering_leaves_other_columns_alone(spark):
         seen.add(1)
         return v
     df = spark.range(100).withColumn("body", F.udf(costly, "long")("id"))
-    assert number_rows(df, ["id"], [], [F.col("id")], out="no").agg(F.sum("body"), F.max("no")).first()[:] == (4950, 100)
+    assert number_rows(df, [F.col("id")], out="no").agg(F.sum("body"), F.max("no")).first()[:] == (4950, 100)
     assert seen.value == 100
 
 
+def test_numbering_of_null_and_repeated_keys(spark):
+    rows = [(1, "a"), (None, "b"), (2, "c"), (2, "d"), (None, "e"), (2, "c")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "id long, t string, _place int")
+    got = number_rows(df, [F.col("id").asc_nulls_last()], out="no").orderBy("no").collect()
+    assert sorted(r["no"] for r in got) == [1, 2, 3, 4, 5, 6] and {r["_place"] for r in got} == {7}
+    assert [r["id"] for r in got] == [1, 2, 2, 2, None, None]
+    assert sorted((r["id"] or 0, r["t"]) for r in got) == sorted((i or 0, t) for i, t in rows)
+    by_id = number_rows(df, [F.col("t")], out="no", group=["id"]).collect()
+    assert sorted((r["id"] or 0, r["no"]) for r in by_id) == [(0, 1), (0, 2), (1, 1), (2, 1), (2, 2), (2, 3)]
+    assert number_rows(df.filter("false"), [F.col("id")]).count() == 0
+
+
+def test_split_parts_have_numbers_of_their_own(spark):
+    df = spark.createDataFrame([(9, 0, "x"), (9, 0, "y"), (None, 0, "z"), (12, 1, "w")], "id long, file_no int, url string")
+    got = etl.renumber(df, [F.col("file_no"), F.col("url")]).orderBy("new_id").collect()
+    assert [(r["new_id"], r["url"]) for r in got] == [(1, "w"), (2, "x"), (3, "y"), (4, "z")]
+
+
+def test_landed_pages_without_a_page_number(spark, tmp_path):
+    page = '{"data": [%s, %s], "meta": {"pagination": {"pageCount": 3, "total": 250}}}'
+    (tmp_path / "page-10.json").write_text(page % ('{"id": 7, "attributes": {"title": "G"}}', '{"attributes": {"title": "H"}}'))
+    (tmp_path / "page-2.json").write_text(page % ('{"attributes": {"title": "A"}}', '{"id": null, "attributes": {"title": "B", "url": "u"}}'))
+    rows = dumps.api_items(dumps.read_api_pages(spark, str(tmp_path))).collect()
+    assert sorted((r["id"], r["title"], r["url"]) for r in rows) == [(1, "A", ""), (2, "B", "u"), (4, "H", ""), (7, "G", "")]
+
+
 def test_many_parent_segments(spark):
     base = "https://h.com/" + "/".join("abcdefghijklmn") + "/page"
     here = F.lit(base)
