@@ -4,6 +4,7 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,11 +36,11 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df, label, compression="zstd"):
+def stored(df, label, compression="zstd", partition_by=()):
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and
-    gives the next steps a known size."""
+    gives the next steps a known size.  Folders by ``partition_by`` can be read alone."""
     path = new_shared_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +75,64 @@ def keep_unmarked(marked, gone, twins):
     if twins.limit(1).count():
         rest = rest.unionByName(marked.join(twins, "_mark", "left_semi").dropDuplicates(["_mark"]))
     return rest.drop("_mark")
+
+
+# ------------------------------------------------------------------ membership filters
+
+MOST_BITS = 1 << 27        # bits of a membership filter at most: 16 MB
+BUCKET = 32_768            # bits of one bucket of Spark's bitmaps
+BITS_PER_KEY = 16
+
+
+def bits_for(n):
+    """Bits of a filter of ``n`` keys: a power of two, within a bound whatever the number."""
+    return min(MOST_BITS, max(BUCKET, 1 << max(BITS_PER_KEY * n - 1, 1).bit_length()))
+
+
+def bitmaps(keys, bits):
+    """bucket, bitmap: the filter of a column of longs.  At most ``bits / BUCKET`` rows of 4 kB each."""
+    bit = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1   # Spark's bitmaps count from one
+    return (keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")))
+
+
+def filter_bits(keys, bits):
+    """The same filter as one array of bytes in the driver, ``bits / 8`` of them."""
+    out = np.zeros(bits // 8, np.uint8)
+    for row in bitmaps(keys, bits).collect():   # bounded by the size of the filter
+        first = (row["bucket"] - 1) * (BUCKET // 8)
+        out[first:first + BUCKET // 8] = np.frombuffer(row["bitmap"], np.uint8)
+    return out
+
+
+def may_be_in(filter_bytes, hashes):
+    """Which of some unsigned 64-bit hashes a filter may hold; none that it holds is missed."""
+    at = hashes & np.uint64(8 * len(filter_bytes) - 1)
+    return (filter_bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def fresh(df, name):
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_by_keys(df, key, keys):
+    """Rows of ``df`` whose ``key`` (a column of longs) cannot be among ``keys``, and the others.
+
+    ``keys`` is a stored table of one column of longs.  The filter that is broadcast has at most ``MOST_BITS``
+    bits however many keys there are; beyond that more rows pass as possible ones, none is lost.
+    So a join with the keys needs to shuffle only the rows that may meet one.
+    """
+    bits = bits_for(keys.count())
+    bucket, bitmap, hit = fresh(df, "_bucket"), fresh(df, "_bitmap"), fresh(df, "_hit")
+    filters = F.broadcast(bitmaps(keys, bits).select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
+    at = key.bitwiseAND(F.lit(bits - 1))
+    place = F.shiftright(at, 3).bitwiseAND(F.lit(BUCKET // 8 - 1)).cast("int") + 1
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), place, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    told = df.withColumn(bucket, F.shiftright(at, 15) + 1).join(filters, bucket, "left").withColumn(hit, F.coalesce(is_set, F.lit(False)))
+    told = told.select(*[F.col(f"`{c}`") for c in df.columns], hit)
+    return told.filter(~F.col(hit)).drop(hit), told.filter(F.col(hit)).drop(hit)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pressmill.llm import consensus, cotrain, huffman, knn, langid, mixing, packing, quotient, rollups, simhash
+from pressmill.llm import (
+    collocations, consensus, cotrain, huffman, knn, langid, mixing, packing, quotient, relative, resampling, rollups, simhash)
 from pressmill.llm.common import documents
 from pressmill.llm.tokens import default_vocabulary
 
@@ -83,9 +84,25 @@ def op10_main_text(spark, sf_dir):
     return consensus.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_resampling(spark, sf_dir):
+    """Documents drawn by how much they resemble the benchmark texts."""
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark, sf_dir):
+    """The best phrases of every language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_substring_dedup(spark, sf_dir):
+    """What is left of all documents without passages of 20 words that occurred before."""
+    return relative.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_best_fit_packing, op3_token_rollups, op4_simhash, op5_language, op6_quality, op7_top_k,
-    op8_mixing, op9_exact_dedup, op10_main_text)}
+    op8_mixing, op9_exact_dedup, op10_main_text, op11_resampling, op12_collocations, op13_substring_dedup)}
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _V2 = "\\p{L}+|\\p{N}|[^\\x20\\x09-\\x0D\\p{L}\\p{N}]+"
@@ -114,4 +131,33 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op12_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k AS words, phrase, count(*) AS f FROM runs GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM cand, (SELECT unnest([1, 2, 3]) AS k) WHERE k < words),
+cost AS (SELECT c.lang, c.phrase, c.a, k, h.f AS l, t.f AS r, (2000000::HUGEINT * c.a // (h.f + t.f))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM cost QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cand g WHERE g.lang = b.lang AND len(g.w) > len(string_split(b.phrase, ' '))
+  AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * g.a >= 80 * b.a)),
+ranked AS (SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM kept JOIN total ON total.lang = kept.lang)
+SELECT * FROM ranked WHERE rank <= 2000""",
+    "op13_substring_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS s FROM w),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 20))))) AS g FROM later GROUP BY doc_id),
+left_over AS (SELECT w.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+  CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END AS kept
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM left_over""",
 }
