@@ -34,16 +34,16 @@ from pressmill.llm.common import filter_bits, slices, stored, with_package
 
 THRESHOLD = 30
 LONGEST = 4
-SHARDS = 3
+SHARDS = 2
 TOP = 2000
 SHARE = 80                 # a longer phrase with this percentage of the count displaces a shorter one
 SCALE = 2_000_000
 SLOTS = 1 << 24
-CHUNK = 1 << 20            # words counted at once
+CHUNK = 1 << 19            # words counted at once
 NEVER = 127                # "has not reached the threshold"; steps are smaller
 RUNS = 128                 # added while a counter runs
 MARK = b"\xff"             # stands between pieces; no UTF-8 text holds this byte
-COUNTS = "lang string, phrase string, words int, n long"
+COUNTS = "lang string, phrase string, n long"
 COUNTER = "lang string, phrase string, words int, first int, reached int, n long"
 _MIX = np.uint64(0xFF51AFD7ED558CCD)   # an odd factor
 
@@ -75,19 +75,15 @@ def _then(first, second):
 
 
 class Numbers(dict):
-    """Numbers of words in the order they are met, with their hashes; 0 is the mark."""
-
-    def __init__(self, lang):
-        import xxhash
+    """Numbers of words in the order they are met; 0 is the mark."""
 
+    def __init__(self):
         super().__init__({MARK: 0})
-        self.seed = xxhash.xxh64_intdigest(lang.encode())
-        self.digest, self.words, self.hashes = xxhash.xxh64_intdigest, [MARK], [0]
+        self.words = [MARK]
 
     def __missing__(self, word):
         number = self[word] = len(self.words)
         self.words.append(word)
-        self.hashes.append(self.digest(word, self.seed))
         return number
 
 
@@ -103,44 +99,42 @@ def phrase_hash(lang, phrase):
     return int(out[0])
 
 
-def _looked_for(state, hashes, step, shards, begins):
-    """Whether phrases count in this step: looked for since ``begins``, or with a running counter."""
-    runs = state[(hashes & np.uint64(len(state) - 1)).astype(np.int64)] >= RUNS
-    return runs | ((begins <= step) & (step < begins + shards))
-
-
-def _reached(state, hashes):
-    """Step in which phrases reached the threshold, or ``NEVER``."""
-    return (state[(hashes & np.uint64(len(state) - 1)).astype(np.int64)] & 127).astype(np.int16)
+def _told(state, hashes):
+    """Of phrases: the step in which they reached the threshold (or ``NEVER``), and whether a counter runs."""
+    found = state[(hashes & np.uint64(len(state) - 1)).view(np.int64)]
+    return found & 127, found >= RUNS
 
 
-def count_chunk(ids, numbers, state, step, shards, longest):
-    """(words, phrases, counts) of one chunk of word numbers of one language, by length.
+def count_chunk(ids, words, hashes, state, step, shards, longest):
+    """(length, phrases, counts) of one chunk of word numbers of one language; in the first cycle the empty
+    phrase counts all words.  ``words`` and ``hashes`` are those of the numbers.
 
     Pieces of ``ids`` are parted by the mark, number 0; it ends with one.
     """
-    hashes = np.asarray(numbers.hashes, np.uint64)
-    reached = _reached(state, hashes)
+    reached, runs = _told(state, hashes)
     reached[0] = NEVER
     counts = np.bincount(ids, minlength=len(hashes))
     if step < shards:
+        yield 0, [b""], counts[1:].sum(keepdims=True)
         take = np.flatnonzero(counts[1:]) + 1
     else:
-        runs = state[(hashes & np.uint64(len(state) - 1)).astype(np.int64)] >= RUNS
         runs[0] = False
         take = np.flatnonzero(runs & (counts > 0))
-    yield 1, [numbers.words[i] for i in take.tolist()], counts[take]
-    # at: where phrases of the length before start, all of whose parts reached the threshold; told: the step.
-    at = np.flatnonzero(reached[ids] < NEVER)
-    told, own = reached[ids[at]], hashes[ids[at]]
+    yield 1, [words[i] for i in take.tolist()], counts[take]
+    # at: where phrases of the length before start that reached the threshold; told: in which step.
+    by_place, every = reached[ids], hashes[ids]
+    at = np.flatnonzero(by_place < NEVER)
+    told, own = by_place[at], every[at]
     for n in range(2, longest + 1):
         if len(at) < 2:
             return
         next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
         begins = np.maximum(told[next_to], told[next_to + 1]) + 1
-        at, own = at[next_to], own[next_to]
-        own = _then(own, hashes[ids[at + n - 1]])
-        seen = np.flatnonzero(_looked_for(state, own, step, shards, begins))
+        at = at[next_to]
+        own = _then(own[next_to], every[at + n - 1])
+        told, runs = _told(state, own)
+        # Looked for during one cycle from ``begins`` on, and while a counter runs.
+        seen = np.flatnonzero(runs | ((begins <= step) & (begins + shards > step)))
         if len(seen):
             starts = at[seen]
             key = ids[starts]
@@ -149,55 +143,82 @@ def count_chunk(ids, numbers, state, step, shards, longest):
                     key = np.unique(key, return_inverse=True)[1]
                 key = (key << 32) | ids[starts + k]
             _, first, found = np.unique(key, return_index=True, return_counts=True)
-            words = numbers.words
-            spans = ids[starts[first][:, None] + np.arange(n)].tolist()
-            yield n, [b" ".join([words[i] for i in span]) for span in spans], found
-        told = _reached(state, own)
+            word = words.__getitem__
+            parts = [map(word, ids[starts[first] + k].tolist()) for k in range(n)]
+            yield n, list(map(b" ".join, zip(*parts))), found
         keep = np.flatnonzero(told < NEVER)
         at, own, told = at[keep], own[keep], told[keep]
 
 
-def _scan(table, state_of, step, shards, longest):
+def _numbered(table, shards, numbers_at_once):
+    """Texts as chunks of word numbers, dealt into shards: each row holds the words of one chunk of one
+    language and their numbers, so later scans split and look up no text."""
     def run(batches):
-        state = np.frombuffer(state_of.value, np.uint8)
-        held, size, numbers = {}, {}, {}
-
-        def flush(lang):
-            ids, size[lang] = np.concatenate(held.pop(lang)), 0
-            for n, phrases, counts in count_chunk(ids, numbers[lang], state, step, shards, longest):
-                for at in range(0, len(phrases), 50_000):
-                    cut = phrases[at:at + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(cut), pa.string()), pa.array(cut, pa.binary()).cast(pa.string()),
-                         pa.array([n] * len(cut), pa.int32()), pa.array(counts[at:at + 50_000], pa.int64())], ["lang", "phrase", "words", "n"])
-            # A table of words is not kept beyond a size, so memory stays bounded.
-            if len(numbers[lang]) > CHUNK // 2:
-                del numbers[lang]
+        held, size, numbers, dealt = {}, {}, {}, 0
+
+        def flush(key):
+            ids, words = np.concatenate(held.pop(key)).astype("<i4"), numbers.pop(key).words
+            size.pop(key)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([b" ".join(words[1:])], pa.binary()),
+                 pa.array([ids.tobytes()], pa.binary())], ["lang", "shard", "words", "ids"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, dealt = (lang, dealt % shards), dealt + 1
                 for piece in piece_slices(text.as_py() or b"", table):
-                    if lang not in numbers:
-                        numbers[lang] = Numbers(lang)
+                    if key not in numbers:
+                        numbers[key] = Numbers()
                     words = piece.replace(MARK, b" " + MARK + b" ").split()
                     words.append(MARK)
-                    held.setdefault(lang, []).append(np.fromiter(map(numbers[lang].__getitem__, words), np.int64, len(words)))
-                    size[lang] = size.get(lang, 0) + len(words)
-                    if size[lang] >= CHUNK:
-                        yield from flush(lang)
-        for lang in list(held):
-            yield from flush(lang)
+                    held.setdefault(key, []).append(np.fromiter(map(numbers[key].__getitem__, words), np.int64, len(words)))
+                    size[key] = size.get(key, 0) + len(words)
+                    if size[key] >= numbers_at_once:
+                        yield flush(key)
+            # Many languages together are bounded as well.
+            if sum(size.values()) > 4 * shards * numbers_at_once:
+                for key in list(held):
+                    yield flush(key)
+        for key in list(held):
+            yield flush(key)
     return run
 
 
-def _with_hash(batches):
-    for batch in batches:
-        hashes = [phrase_hash(lang, phrase) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(hashes, np.uint64).view(np.int64), pa.int64())], ["hash"])
+def _scan(state_of, step, shards, longest):
+    def run(batches):
+        import xxhash
+
+        state, digest = np.frombuffer(state_of.value, np.uint8), xxhash.xxh64_intdigest
+        for batch in batches:
+            for lang, words, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                words = [MARK, *words.as_py().split()]
+                seed = digest(lang.encode())
+                hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+                ids = np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)
+                for n, phrases, counts in count_chunk(ids, words, hashes, state, step, shards, longest):
+                    for at in range(0, len(phrases), 50_000):
+                        cut = phrases[at:at + 50_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(pa.scalar(lang, pa.string()), len(cut)), pa.array(cut, pa.binary()).cast(pa.string()),
+                             pa.array(counts[at:at + 50_000], pa.int64())], ["lang", "phrase", "n"])
+    return run
+
+
+def _slots(slots):
+    def run(batches):
+        for batch in batches:
+            at = [phrase_hash(lang, phrase) & (slots - 1) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(2), batch.column(3)], ["slot", "reached", "running"])
+    return run
 
 
-def _hashes(counters):
-    return counters.select("lang", "phrase").mapInArrow(_with_hash, "hash long")
+def _slots_of(counters, reached, running, slots):
+    """Which slots are those of phrases that are ``reached``, and of those ``running``: two arrays."""
+    told = counters.filter(reached | running).select("lang", "phrase", F.coalesce(reached, F.lit(False)).alias("reached"), running.alias("running"))
+    at = told.mapInArrow(_slots(slots), "slot long, reached boolean, running boolean")
+    both = F.explode(F.filter(F.array(F.when(F.col("reached"), F.col("slot")), F.when(F.col("running"), F.col("slot") + slots)), lambda x: x.isNotNull()))
+    bits = np.unpackbits(filter_bits(at.select(both.alias("slot")), 2 * slots), bitorder="little").view(bool)
+    return bits[:slots].copy(), bits[slots:]
 
 
 def count_phrases(docs, threshold=THRESHOLD, longest=LONGEST, shards=SHARDS, text="text", slots=SLOTS):
@@ -205,43 +226,40 @@ def count_phrases(docs, threshold=THRESHOLD, longest=LONGEST, shards=SHARDS, tex
     and for every language a row of 0 words with the count of all its words."""
     spark = with_package(docs).sparkSession
     heavy = -(-threshold // shards)
-    dealt = stored(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"),
-                               (F.monotonically_increasing_id() % shards).cast("int").alias("shard")), "shards", partition_by=["shard"])
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
+    dealt = stored(texts.mapInArrow(_numbered(translation(), shards, CHUNK), "lang string, shard int, words binary, ids binary"),
+                   "shards", partition_by=["shard"])
     state = np.full(slots, NEVER, np.uint8)
     counters = spark.createDataFrame([], COUNTER)
     step, last = 0, -1
     while True:
         shared = spark.sparkContext.broadcast(state.tobytes())
-        rows = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
-        found = rows.mapInArrow(_scan(translation(), shared, step, shards, longest), COUNTS)
-        if step < shards:   # the words of a language, all of them, count in the first cycle
-            own = found.withColumn("word", F.explode(F.when(F.col("words") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-            found = own.select("lang", F.when(F.col("word"), "").otherwise(F.col("phrase")).alias("phrase"),
-                               F.when(F.col("word"), 0).otherwise(F.col("words")).alias("words"), "n")
-        new = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("m"))
-        both = new.join(counters, ["lang", "phrase", "words"], "full").filter(
-            F.col("first").isNotNull() | (F.col("m") >= heavy) | (F.col("words") == 0))
+        rows = dealt.filter(F.col("shard") == step % shards).select("lang", "words", "ids")
+        found = rows.mapInArrow(_scan(shared, step, shards, longest), COUNTS)
+        new = found.groupBy("lang", "phrase").agg(F.sum("n").alias("m"))
+        both = new.join(counters, ["lang", "phrase"], "full").filter(
+            F.col("first").isNotNull() | (F.col("m") >= heavy) | (F.col("phrase") == ""))
         # A counter that has completed its cycle stays as it is, even if a shared slot brings its phrase again.
         n = (F.when(F.col("first").isNull(), F.col("m"))
              .when(F.col("first") > step - shards, F.col("n") + F.coalesce("m", F.lit(0))).otherwise(F.col("n")))
-        told = both.select("lang", "phrase", "words", F.coalesce("first", F.lit(step)).alias("first"), "reached", n.alias("n"))
+        words = F.coalesce("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
+        told = both.select("lang", "phrase", words.alias("words"), F.coalesce("first", F.lit(step)).alias("first"), "reached", n.alias("n"))
         told = told.withColumn("reached", F.when(F.col("reached").isNotNull(), F.col("reached"))
                                .when((F.col("n") >= threshold) & (F.col("words") > 0), F.lit(step)).cast("int"))
         counters = stored(told, "counters")
-        reached = counters.filter((F.col("reached") == step) & (F.col("words") < longest))
-        running = counters.filter((F.col("first") > step + 1 - shards) & (F.col("words") > 0))
+        reached = (F.col("reached") == step) & (F.col("words") < longest)
+        running = (F.col("first") > step + 1 - shards) & (F.col("words") > 0)
+        now, runs = _slots_of(counters, reached, running, slots)
         state &= 127
-        bits = np.unpackbits(filter_bits(_hashes(reached), slots), bitorder="little").view(bool)
-        bits &= state == NEVER   # the others share a slot whose longer phrases were looked for before
-        if bits.any():
+        now &= state == NEVER   # the others share a slot whose longer phrases were looked for before
+        if now.any():
             last = step
-        state[bits] = step
-        bits = np.unpackbits(filter_bits(_hashes(running), slots), bitorder="little").view(bool)
-        state[bits] |= RUNS
+        state[now] = step
+        state[runs] |= RUNS
         shared.unpersist()
         step += 1
         # After the last phrase that let longer ones begin, one cycle of looking; then no counter may run.
-        if step > last + shards and not bits.any():
+        if step > last + shards and not runs.any():
             break
         if step >= NEVER:
             raise RuntimeError("phrases did not settle")

@@ -162,10 +162,10 @@ def test_collocations_cut_by_rank_and_of_nothing(spark, monkeypatch):
 
 def test_a_full_table_of_slots_loses_nothing():
     """With every slot taken, phrases are looked for needlessly and counted all the same."""
-    numbers = collocations.Numbers("en")
+    numbers = collocations.Numbers()
     ids = np.asarray([numbers[w] for w in b"a b a b c \xff a b".split()] + [0])
-    state = np.zeros(64, np.uint8)
-    found = {n: dict(zip(p, c.tolist())) for n, p, c in collocations.count_chunk(ids, numbers, state, 1, 3, 4)}
+    state, hashes = np.zeros(64, np.uint8), np.arange(len(numbers), dtype=np.uint64)
+    found = {n: dict(zip(p, c.tolist())) for n, p, c in collocations.count_chunk(ids, numbers.words, hashes, state, 1, 3, 4)}
     assert found[1] == {b"a": 3, b"b": 3, b"c": 1} and found[2] == {b"a b": 3, b"b a": 1, b"b c": 1}
     assert found[4] == {b"a b a b": 1, b"b a b c": 1}
 
