@@ -68,13 +68,20 @@ def ranked(df, key, order, out="rank", extra=()):
             .drop("_slice", "_inside", "_shift"))
 
 
-def keep_unmarked(marked, gone, twins):
-    """Rows of ``marked`` (with a column ``_mark``) without those that are ``gone``; of rows
-    that share a mark in ``twins``, one stays."""
-    rest = marked.join(gone.unionByName(twins), "_mark", "left_anti")
-    if twins.limit(1).count():
-        rest = rest.unionByName(marked.join(twins, "_mark", "left_semi").dropDuplicates(["_mark"]))
-    return rest.drop("_mark")
+def keep_unmarked(docs, mark, marks):
+    """Rows of ``docs`` without those whose ``mark`` (a string) is among ``marks``; of rows that share
+    a mark with ``some``, one stays.
+
+    ``marks`` is a stored table of mark and some.  Only rows that may have one of the marks are shuffled.
+    """
+    own = fresh(docs, "_mark")
+    marked = docs.withColumn(own, mark)
+    rest, possible = split_by_keys(marked, F.xxhash64(own), marks.select(F.xxhash64("mark").alias("key")))
+    told = possible.alias("p").join(marks.alias("m"), F.col(f"p.{own}") == F.col("m.mark"), "left")
+    carried = [F.col(f"p.`{c}`") for c in marked.columns]
+    others = told.filter("m.mark IS NULL").select(*carried)
+    twins = told.filter("m.some").select(*carried).dropDuplicates([own])
+    return rest.unionByName(others).unionByName(twins).drop(own)
 
 
 # ------------------------------------------------------------------ membership filters
@@ -127,12 +134,12 @@ def split_by_keys(df, key, keys):
     So a join with the keys needs to shuffle only the rows that may meet one.
     """
     bits = bits_for(keys.count())
-    bucket, bitmap, hit = fresh(df, "_bucket"), fresh(df, "_bitmap"), fresh(df, "_hit")
+    bucket, bitmap, hit, own = (fresh(df, name) for name in ("_bucket", "_bitmap", "_hit", "_key"))
     filters = F.broadcast(bitmaps(keys, bits).select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
-    at = key.bitwiseAND(F.lit(bits - 1))
+    at = F.col(own).bitwiseAND(F.lit(bits - 1))
     place = F.shiftright(at, 3).bitwiseAND(F.lit(BUCKET // 8 - 1)).cast("int") + 1
     byte = F.conv(F.hex(F.substring(F.col(bitmap), place, F.lit(1))), 16, 10).cast("int")
     is_set = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
-    told = df.withColumn(bucket, F.shiftright(at, 15) + 1).join(filters, bucket, "left").withColumn(hit, F.coalesce(is_set, F.lit(False)))
+    told = df.withColumn(own, key).withColumn(bucket, F.shiftright(at, 15) + 1).join(filters, bucket, "left").withColumn(hit, F.coalesce(is_set, F.lit(False)))
     told = told.select(*[F.col(f"`{c}`") for c in df.columns], hit)
     return told.filter(~F.col(hit)).drop(hit), told.filter(F.col(hit)).drop(hit)

@@ -7,7 +7,8 @@
    sorted in the run of their quotient, each with a counter.  Filters of one segment merge
    by their sorted remainders without any loss, as no bit of a fingerprint is dropped.
 3. Fingerprints with a count above one route their documents to byte verification: the
-   normalised texts themselves are compared, copies first inside the tasks.
+   normalised texts themselves are compared, copies first inside the tasks.  Texts whose fingerprint a
+   bounded filter of these excludes are not shuffled.
 4. Verified groups are joined back; of a group the row with the smallest doc_id stays.
 
 A text that is null counts as empty.  Rows without doc_id come after all others; among rows
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import keep_unmarked, slices, stored, with_package
+from pressmill.llm.common import keep_unmarked, slices, split_by_keys, stored, with_package
 
 SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 8
@@ -164,6 +165,7 @@ def find_duplicates(docs, text="text"):
                               F.sha2(norm, 256).alias("sha")), "fingerprints")
     suspects = stored(repeated_fingerprints(merged_filters(slim.select("fp"))).select("fp"), "suspects")
     texts = docs.select(norm.alias("norm")).select("norm", F.xxhash64("norm").alias("fp"), _own_salt().alias("_salt"))
+    texts = split_by_keys(texts, F.col("fp"), suspects)[1]   # only these are shuffled, however many suspects there are
     # Salted, as one text may be a third of all rows.  Equal texts meet inside the tasks first.
     equal = (texts.join(_salted(suspects), ["fp", "_salt"], "left_semi")
              .groupBy("fp", "norm").agg(F.count("*").alias("n")).filter("n > 1")
@@ -187,7 +189,6 @@ def drop_duplicates(docs, text="text"):
         return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), sha)
 
     repeated = find_duplicates(docs, text).filter("group_size > 1")
-    marks = stored(repeated.groupBy(mark(F.col("text_sha256")).alias("_mark")).agg(
-        F.max("kept").alias("some"), F.min("kept").alias("every")).filter("NOT every"), "dropped")
-    marked = docs.withColumn("_mark", mark(F.sha2(normalised(F.col(text)), 256)))
-    return keep_unmarked(marked, marks.filter("NOT some").select("_mark"), marks.filter("some").select("_mark"))
+    marks = repeated.groupBy(mark(F.col("text_sha256")).alias("mark")).agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    marks = stored(marks.filter("NOT every").select("mark", "some"), "dropped")
+    return keep_unmarked(docs, mark(F.sha2(normalised(F.col(text)), 256)), marks)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import keep_unmarked, stored, with_package
+from pressmill.llm.common import bits_for, filter_bits, keep_unmarked, may_be_in, split_by_keys, stored, with_package
 from pressmill.llm.components import components
 
 WORDS = 3
@@ -283,17 +283,39 @@ def _similar(pairs, sets):
     return both.filter(9 * shared >= 4 * (F.size("own") + F.size("other"))).select("a", "b")
 
 
-def similar_edges(classes, sets_of, group=GROUP):
+def _maybe_shared(shared):
+    def run(batches):
+        for batch in batches:
+            nodes, lists = batch.column(0).to_numpy(), batch.column(1)
+            values = lists.flatten().to_numpy().view(np.uint64)
+            rows = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
+            keep = np.flatnonzero(may_be_in(shared, values))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rows[keep]], pa.int64()), pa.array(values[keep].view(np.int64), pa.int64())], ["node", "shingle"])
+    return run
+
+
+def shared_prefixes(wide):
+    """node, shingle: of the stored prefixes, the shingles that several sets may share.
+
+    Most shingles stand in one prefix only.  They are counted first, as bare hashes; a filter of
+    bounded size lets those that occur more than once pass, and of the others a few.
+    """
+    counted = wide.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    shared = stored(counted.filter("n > 1").select("shingle"), "shared-shingles")
+    bits = filter_bits(shared, bits_for(shared.count()))
+    return stored(wide.select("node", "prefix").mapInArrow(_maybe_shared(bits), "node long, shingle long").distinct(), "prefixes")
+
+
+def similar_edges(classes, index, sets_of, group=GROUP):
     """Pairs (a, b) of ``classes`` similar by 0.8, whose components are those of all such pairs.
 
-    ``classes`` has node, n, the bitmap and the prefix of each set; ``sets_of`` gives node and shingles for a
-    table of nodes.  Similar sets share a shingle of their prefixes, so each shingle has
+    ``classes`` has node, n and the bitmap of each set, ``index`` node and shingle of the prefixes; ``sets_of`` gives
+    node and shingles for a table of nodes.  Similar sets share a shingle of their prefixes, so each shingle has
     a group; groups of the same texts are one.  Pairs of a group are filtered by size and bitmap and
     verified by their sets.  In groups of more than ``group`` texts each is first compared with
     the one that shares most, then with one by chance in each group; then all pairs
     that aren't yet in one component follow, so nothing is left out.
     """
-    index = stored(classes.select("node", F.explode("prefix").alias("shingle")), "prefixes")
     shared = index.groupBy("shingle").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two")).filter("size > 1")
@@ -338,16 +360,18 @@ def keep_one_each(docs, words=5, group=GROUP, text="text"):
     slim = wide.select("doc_id", "text_hash", "node")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     # Rows of a class first, inside the tasks; then classes of a component.
-    classes = wide.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", *BITMAP, "prefix")])
+    classes = wide.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n", *BITMAP)])
     classes = stored(classes, "shingle-classes")
 
     def sets_of(nodes):
         wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("keep.doc_id").alias("_id"), F.col("keep.text_hash").alias("_hash"))
-        found = columns.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        wanted = stored(wanted, "wanted-sets")
+        possible = split_by_keys(columns, F.col("text_hash"), wanted.select("_hash"))[1]
+        found = possible.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         sets = found.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>")
         return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
-    roots = stored(components(similar_edges(classes, sets_of, group)), "roots")
+    roots = stored(components(similar_edges(classes, shared_prefixes(wide), sets_of, group)), "roots")
     firsts = classes.select("node", "keep", "rows")
     rooted = firsts.join(roots, "node", "left").select("node", "keep", "rows", F.coalesce("root", "node").alias("root"))
     keeps = rooted.groupBy("root").agg(F.min("keep").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
@@ -357,8 +381,7 @@ def keep_one_each(docs, words=5, group=GROUP, text="text"):
         return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
 
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    marks = slim.join(keepers, "node").groupBy(mark(F.col("doc_id"), F.col("text_hash")).alias("_mark")).agg(
+    marks = slim.join(keepers, "node").groupBy(mark(F.col("doc_id"), F.col("text_hash")).alias("mark")).agg(
         F.max(same).alias("some"), F.count("*").alias("n")).filter("NOT some OR n > 1")
-    marks = stored(marks, "dropped")
-    marked = docs.withColumn("_mark", mark(F.col("doc_id"), _text_hash(text)))
-    return keep_unmarked(marked, marks.filter("NOT some").select("_mark"), marks.filter("some").select("_mark"))
+    marks = stored(marks.select("mark", "some"), "dropped")
+    return keep_unmarked(docs, mark(F.col("doc_id"), _text_hash(text)), marks)
