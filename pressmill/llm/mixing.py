@@ -24,13 +24,13 @@ broadcasts them only while their files are small.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import stored
+from pressmill.llm.common import fresh, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST = 2.0
-STEPS = 40          # Newton steps at most
+STEPS = 100         # Newton steps, after which an error says that they have not settled
 CLOSE = 1e-9        # relative error of a constraint at which the steps end
 BINS = 4096
 PICKS = 3
@@ -97,8 +97,8 @@ def solve(sizes, shares, most=MOST):
             "key", "source_size", "docs", "target", "mean", F.when(done, F.col("lam")).otherwise(moved).alias("lam"),
             low.alias("low"), high.alias("high"), done.alias("done")), "mix-state")
         if not state.filter("NOT done").limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError("multipliers did not settle")
 
 
 def _draw(doc_id):
@@ -218,6 +218,7 @@ def mix(docs, weights=WEIGHTS, total=TOTAL, most=MOST, out="mix"):
 
 def repeated(docs, **parameters):
     """The mixed corpus: every document as often as the mix takes it, columns unchanged."""
-    rows = mix(docs, out="_mix", **parameters)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))).select(
-        *docs.columns)
+    own, copy = fresh(docs, "_mix"), fresh(docs, "_copy")
+    rows = mix(docs, out=own, **parameters)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col(f"{own}.copies").cast("int")))
+    return rows.withColumn(copy, copies).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,8 @@ from pressmill.llm.common import ranked
 from pressmill.llm.tokens import ChunkEncoder, default_vocabulary
 
 # Extra columns have names that operators use themselves.
-DOC_TYPE = "doc_id long, text string, lang string, source string, n_chars long, size string, fp long, rank int, _rank int, mix int"
+DOC_TYPE = ("doc_id long, text string, lang string, source string, n_chars long, size string, fp long, rank int, _rank int, mix int, "
+            "_mark string, _mix int, _copy int, mark int, some string, _key int")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 977} number" for i in range(40_000))
 TEXTS = [
@@ -29,7 +30,7 @@ TEXTS = [
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", 1, 2, 3, 4) for i, t, lang, s in rows], DOC_TYPE)
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", 1, 2, 3, 4, "m", 5, 6, 7, "s", 8) for i, t, lang, s in rows], DOC_TYPE)
 
 
 @pytest.fixture(scope="module")
@@ -282,6 +283,7 @@ def test_near_duplicates_of_nothing(spark, none):
 def test_one_of_each_component_stays(spark, docs):
     kept = simhash.keep_one_each(docs)
     assert kept.columns == docs.columns
+    assert {(r["_mark"], r["_mix"], r["mark"], r["some"]) for r in kept.collect()} == {("m", 5, 7, "s")}
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is not None, i)) == [None, 1, 2, 4, 5, 8, 9, 10]
 
 
@@ -470,6 +472,7 @@ def test_mixing(spark, docs, table):
 def test_mix_repeats_rows(spark, docs):
     out = mixing.repeated(docs)
     assert out.columns == docs.columns
+    assert {(r["_mark"], r["_mix"], r["_copy"], r["mix"]) for r in out.collect()} == {("m", 5, 6, 4)}
     copies = Counter({r["doc_id"]: 0 for r in docs.collect()})
     for r in mixing.mixed_sizes(docs).collect():
         copies[r["doc_id"]] += r["copies"]
@@ -522,6 +525,7 @@ def test_exact_duplicates(spark, docs, none):
     kept = quotient.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1, 2, 3, 4, 5, 7, 8, 9, 10])
+    assert {(r["_mark"], r["_mix"], r["_copy"], r["mark"], r["some"], r["_key"]) for r in kept.collect()} == {("m", 5, 6, 7, "s", 8)}
     assert quotient.find_duplicates(none).count() == 0 and quotient.drop_duplicates(none).count() == 0
 
 
