@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm import (
     collocations, consensus, cotrain, huffman, knn, langid, mixing, packing, quotient, relative, resampling, rollups, simhash)
-from pressmill.llm.common import documents
+from pressmill.llm.common import documents, stored
 from pressmill.llm.tokens import default_vocabulary
 
 
@@ -26,23 +26,27 @@ def op3_token_rollups(spark, sf_dir):
     deleted from both; documents of low quality revised to their distinct lines.  The second batch is sent again
     and changes nothing.
     """
-    docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rollup = rollups.new_rollup(spark)
-    first, second = (rollups.counted(docs, v) for v in rollups.VERSIONS)
+    # Texts are counted, whole and revised, where they lie; only ids and counts meet the labels.
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    texts = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", lines.alias("lines"))
+    docs = stored(texts.select("doc_id", "source", "lang", *[rollups.n_tokens(t, v).alias(f"{v} {t}") for v in rollups.VERSIONS for t in ("text", "lines")]),
+                  "token-counts")
+
+    def changes(rows, op, version, text):
+        return rows.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), F.col(f"`{version} {text}`").alias("n_tokens"))
+
+    first, second = (changes(docs, "insert", v, "text") for v in rollups.VERSIONS)
     rollup.apply("first", first)
     rollup.apply("second", second)
     rollup.apply("second", second)
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    gone = docs.select("doc_id", "source", "lang").join(toxic, "doc_id", "left_semi")
-    versions = F.explode(F.array(*[F.lit(v) for v in rollups.VERSIONS]))
-    rollup.apply("toxic", gone.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", versions.alias("version"),
-                                      F.lit(0).alias("n_tokens")))
+    gone = [changes(docs.join(toxic, "doc_id", "left_semi"), "delete", v, "text") for v in rollups.VERSIONS]
+    rollup.apply("toxic", gone[0].unionByName(gone[1]))
     poor = labels.filter("quality = 0 AND toxic = 0").select("doc_id").distinct()
-    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    revised = docs.join(poor, "doc_id", "left_semi").select("doc_id", "source", "lang", lines.alias("text"))
-    changes = [rollups.counted(revised, v, "revise") for v in rollups.VERSIONS]
-    rollup.apply("distinct lines", changes[0].unionByName(changes[1]))
+    revised = [changes(docs.join(poor, "doc_id", "left_semi"), "revise", v, "lines") for v in rollups.VERSIONS]
+    rollup.apply("distinct lines", revised[0].unionByName(revised[1]))
     return rollup.totals()
 
 

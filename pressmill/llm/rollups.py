@@ -101,7 +101,11 @@ def new_rollup(spark):
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+"}
 
 
+def n_tokens(text, version):
+    """Tokens of a text under a version; a null text has none, and a long one is counted whole."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(VERSIONS[version])), F.lit(0))
+
+
 def counted(docs, version, op="insert", text="text"):
     """Changes of ``docs`` under a version of the tokenizer."""
-    n = F.coalesce(F.regexp_count(F.col(text), F.lit(VERSIONS[version])), F.lit(0))
-    return docs.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"))
+    return docs.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n_tokens(text, version).alias("n_tokens"))
