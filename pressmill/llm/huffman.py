@@ -1,7 +1,7 @@
 """Operator 1: token ids as files, in a canonical length-limited Huffman code.
 
 1. Every whole text is encoded once; ids are stored compactly (two bytes where they fit).
-2. Global counts of ids: summed inside tasks, then grouped; at most one row per id of the
+2. Global counts of ids: summed inside the tasks that encode, then grouped; at most one row per id of the
    vocabulary reaches the driver, which derives code lengths by package-merge.
 3. Documents are coded where they lie, dealt by ranges of doc_id, sorted, and joined into
    blocks.  The files are Parquet tables with one block per row: ``part`` and ``block``
@@ -188,28 +188,25 @@ def crc32_joined(pieces):
 
 # ------------------------------------------------------------------ writing
 
-def _encoded(vocabulary, end_id, dtype):
+def _encoded(vocabulary, end_id, dtype, size):
+    """Rows (doc_id, ids), and behind them one row per task (counted) with the ids it used and their counts."""
+    names = ["doc_id", "ids", "counted"]
+    counted = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
     def run(batches):
         encoder = encoder_for(vocabulary)
         end = np.asarray([] if end_id is None else [end_id], dtype="<u4").tobytes()
+        counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for at in range(0, len(keys), 256):
-                ids = [np.frombuffer(encoder.encode(t.as_py()) + end, "<u4").astype(dtype).tobytes()
-                       for t in texts.slice(at, 256)]
+                ids = [np.frombuffer(encoder.encode(t.as_py()) + end, "<u4").astype(dtype) for t in texts.slice(at, 256)]
+                counts += np.bincount(np.concatenate(ids), minlength=size)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, 256).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-    return run
-
-
-def _counted(dtype, size):
-    def run(batches):
-        counts = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+                    [keys.slice(at, 256).cast(pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.nulls(len(ids), counted)], names)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
+        pairs = pa.StructArray.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pairs)], names)
     return run
 
 
@@ -292,10 +289,12 @@ def write_token_files(docs, path, vocabulary, end_id=None, text="text"):
     spark = with_package(docs).sparkSession
     size = max(max(Tokenizer.from_file(vocabulary).get_vocab().values()), end_id or 0) + 1
     dtype = "<u2" if size <= 65_536 else "<u4"
-    ids = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-                 .mapInArrow(_encoded(vocabulary, end_id, dtype), "doc_id long, ids binary"), "token-ids")
+    encoded = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+                     .mapInArrow(_encoded(vocabulary, end_id, dtype, size),
+                                 "doc_id long, ids binary, counted array<struct<id:long,n:long>>"), "token-ids")
+    ids = encoded.filter("counted IS NULL").select("doc_id", "ids")
     counts = np.zeros(size, dtype=np.int64)
-    summed = ids.select("ids").mapInArrow(_counted(dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = encoded.select(F.inline("counted")).groupBy("id").agg(F.sum("n").alias("n"))
     for row in summed.collect():   # at most one row per id of the vocabulary
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts)
