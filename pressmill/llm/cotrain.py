@@ -101,12 +101,13 @@ def _sigmoid(x):
 
 def fit_logistic(x, y, weight, ridge, steps=250):
     """Weights and bias of a logistic classifier, by Nesterov's gradient steps."""
-    scale = x.std(0) + 1e-3
-    x = x / scale
+    mean = x.mean(0, dtype=np.float64)
+    scale = (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean * mean, 0)) + 1e-3).astype(np.float32)
+    x /= scale   # a copy that the caller made; scaled in place, as it is the largest array of the driver
     weight = weight / weight.sum()
     w, b = np.zeros(x.shape[1], np.float32), float(np.log((weight @ y + 1e-6) / (1 - weight @ y + 1e-6)))
     vw, vb, last_w, last_b = w, b, w, b
-    pace = 4.0 / (float((weight @ (x * x)).sum()) + 1.0) * 8
+    pace = 4.0 / (float(np.einsum("i,ij,ij->", weight, x, x)) + 1.0) * 8
     for t in range(1, steps + 1):
         error = (weight * (_sigmoid(x @ vw + vb) - y)).astype(np.float32)
         w, b = vw - pace * (error @ x + ridge * vw), vb - pace * float(error.sum())
@@ -129,7 +130,7 @@ def co_train(content, meta, y, weight, pool_content, pool_meta, rounds=ROUNDS, s
         fitted = []
         for (own, pool), labels in zip(views, extra):
             has = ~np.isnan(labels)
-            x = np.concatenate([own, pool[has]])
+            x = np.concatenate([own, pool[has]]).astype(np.float32)
             fitted.append(fit_logistic(x, np.r_[y, labels[has]], np.r_[weight, np.full(has.sum(), weight.mean() / 2)], RIDGE))
         if turn == rounds or not len(pool_content):
             break
@@ -189,11 +190,12 @@ class Model:
 
 
 def fit_views(rows):
-    """A model from rows (content, meta places, label or nan, weight, kept aside)."""
-    content = np.asarray([r[0] for r in rows], np.float32)
+    """A model from rows (content, meta places, label or nan, weight, kept aside), a list that is emptied."""
+    content = np.asarray([r[0] for r in rows], np.float16)
     meta = _meta_matrix([r[1] for r in rows])
     y, weight = np.asarray([r[2] for r in rows], np.float64), np.asarray([r[3] for r in rows], np.float64)
     aside = np.asarray([r[4] for r in rows], bool)
+    rows.clear()
     known = ~np.isnan(y)
     fit, test, pool = known & ~aside, known & aside, ~known
     fitted = co_train(content[fit], meta[fit], y[fit], weight[fit], content[pool], meta[pool])
@@ -251,6 +253,7 @@ def fit(docs, labels, labelled=LABELLED, pool=POOL):
         _views, "doc_id long, label double, weight double, content binary, meta array<int>").toArrow()
     table = [(np.frombuffer(c, np.float16), m, np.nan if y is None else y, w, i % ASIDE == 0, i)
              for i, y, w, c, m in zip(*(views.column(k).to_pylist() for k in ("doc_id", "label", "weight", "content", "meta")))]
+    del views
     table.sort(key=lambda r: (r[5], r[0].tobytes()))
     if {0.0, 1.0} - {r[2] for r in table}:
         return None
