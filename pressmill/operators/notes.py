@@ -45,12 +45,24 @@ def related_by_author(notes, n=5):
 
 
 def related_by_first_tag(notes, n=5, tags="vault_tags"):
-    """Newest other articles that carry an article's first tag."""
+    """Newest other articles with a tag that contains an article's first tag.
+
+    ``ai`` meets ``tech/ai``.  Containment is an equality join: each different tag is expanded to its
+    substrings, which meet the tags that are asked for.  Only the n + 1 newest articles of
+    each tag go that way: an article among the newest of a text is among those of one of its tags.
+    An article without tags asks for ``none``.
+    """
     notes = once(notes.select("id", "publish_time", tags))   # tagging and scoring run once
-    tagged = exploded(notes, ["id", "publish_time"], tags, "tag")
+    newest = Window.partitionBy("holder").orderBy(*_newest())
+    per_tag = (exploded(notes, ["id", "publish_time"], tags, "holder").withColumn("_rank", F.row_number().over(newest))
+               .filter(F.col("_rank") <= n + 1).drop("_rank"))
     # The first tag is taken from the array as an expression of the same projection.
-    first = notes.select("id", F.explode_outer(F.slice(tags, 1, 1)).alias("tag"))
-    return _related(first, _leaders(tagged, "tag", n + 1), "tag", n)
+    first = notes.select("id", F.explode_outer(F.slice(tags, 1, 1)).alias("tag")).select("id", F.coalesce("tag", F.lit("none")).alias("tag"))
+    parts = F.expr("flatten(transform(sequence(1, length(holder)), i -> transform(sequence(1, length(holder) - i + 1), k -> substring(holder, i, k))))")
+    holders = per_tag.select("holder").distinct().filter("holder <> ''").select("holder", F.explode(F.array_distinct(parts)).alias("tag"))
+    asked = holders.join(first.select("tag").distinct(), "tag")
+    rows = asked.join(per_tag, "holder").select("tag", "id", "publish_time").distinct()
+    return _related(first, _leaders(rows, "tag", n + 1), "tag", n)
 
 
 def author_rows(notes, limit=10):

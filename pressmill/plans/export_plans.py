@@ -10,6 +10,7 @@ from pressmill.plans.common import AS_OF, PROBE_LEXICON, articles, day_sql, plai
 from pressmill.plans.etl_plans import SUMMARY, bare_title_sql, clean_sql, episode_sql
 from pressmill.functions.text import SPACE
 from pressmill.session import new_shared_path
+from pressmill.sources import files
 
 QUERIES, ORACLES = {}, {}
 
@@ -154,6 +155,20 @@ register("x5_write_by_month",
 register("x6_write_by_author",
          lambda s, d: _folders(s, _documents(s, d).withColumn("folder", export.author_folder()), "folder"),
          folder_sql("coalesce(author, '未知作者') AS folder", "author"))
+
+
+def _files(s, rows, text, folder=None):
+    """Write one file per row and read the files back."""
+    path = new_shared_path(s, "files")
+    files.write_files(rows, path, text, folder=folder)
+    return files.read_files(s, path)
+
+
+register("x4_category_files",
+         lambda s, d: _files(s, export.by_category(export.with_categories(_documents(s, d)).select("file_name", "markdown", "categories")), "markdown", "category")
+         .select(F.col("folder").alias("category"), "file_name", F.col("text").alias("markdown")),
+         with_articles(f"SELECT replace(unnest(CASE WHEN len({mapped_sql('lt', fv.EXPORT_CATEGORIES)}) = 0 THEN [{quote(fv.EXPORT_DEFAULT_CATEGORY)}] "
+                       f"ELSE {mapped_sql('lt', fv.EXPORT_CATEGORIES)} END), '/', '_') AS category, printf('%04d_%s.md', no, {PLAIN_NAME}) AS file_name, {DOCUMENT_SQL} AS markdown FROM documented", *DOCUMENT_CTES))
 register("x10_vault_tags",
          lambda s, d: noted(s, d).select("id", F.array_join("vault_tags", "|").alias("vault_tags")),
          with_articles("SELECT id, array_to_string(vault_tags, '|') AS vault_tags FROM tagsets", *NOTE_CTES))
@@ -243,7 +258,7 @@ register("d1_related_author", lambda s, d: notes.related_by_author(light(s, d)),
                        "FROM articles a JOIN articles b ON a.author = b.author AND a.id <> b.id) WHERE rank <= 5"))
 register("d2_related_tag", lambda s, d: notes.related_by_first_tag(noted(s, d).select("id", "publish_time", "vault_tags")),
          with_articles("SELECT id, rank, related_id FROM (SELECT a.id, b.id AS related_id, row_number() OVER (PARTITION BY a.id ORDER BY b.publish_time DESC NULLS LAST, b.id DESC) AS rank "
-                       "FROM tagsets a JOIN tagsets b ON list_contains(b.vault_tags, a.vault_tags[1]) AND a.id <> b.id) WHERE rank <= 5", *NOTE_CTES))
+                       "FROM tagsets a JOIN tagsets b ON len(list_filter(b.vault_tags, lambda t: contains(t, coalesce(a.vault_tags[1], 'none')))) > 0 AND a.id <> b.id) WHERE rank <= 5", *NOTE_CTES))
 register("d3_author_rows", lambda s, d: notes.author_rows(light(s, d)),
          with_articles("SELECT author, count(*) AS cnt FROM articles GROUP BY 1 ORDER BY cnt DESC, author NULLS LAST LIMIT 10"))
 register("d4_list_by_author", lambda s, d: notes.list_by_author(articles(s, d)), with_articles("SELECT author, id, title FROM articles"))

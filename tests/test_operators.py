@@ -9,9 +9,9 @@ from pressmill import fixed_values as fv
 from pressmill import schema
 from pressmill.functions import dates, urls
 from pressmill.functions import text as tx
-from pressmill.operators import etl, export, html, jobs, links, quality, tags, trends
+from pressmill.operators import etl, export, html, jobs, links, notes, quality, tags, trends
 from pressmill.operators.numbering import number_rows
-from pressmill.sources import dumps
+from pressmill.sources import dumps, files
 
 
 def values(spark, rows, expression, name="v"):
@@ -331,3 +331,30 @@ def test_page(spark):
 def test_schema_has_unique_columns():
     assert len({f.name for f in schema.ARTICLES}) == len(schema.ARTICLES)
     assert len(fv.TREND_KEYWORDS) == len(set(fv.TREND_KEYWORDS))
+
+
+def test_one_file_per_row(spark, tmp_path):
+    rows = [("a b", "0001_é+100%.md", "text\nof one"), ("c", "0002_x.md", ""), ("c", "0003_y.md", None), ("c", "0004_z.md", "last\n")]
+    df = spark.createDataFrame(rows, "folder string, file_name string, body string")
+    files.write_files(df.repartition(3), str(tmp_path / "out"), "body", folder="folder")
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and p.name != "_SUCCESS" and p.suffix != ".crc"} == {
+        f"{a}/{b}": c or "" for a, b, c in rows}
+    back = {(r["folder"], r["file_name"]): r["text"] for r in files.read_files(spark, str(tmp_path / "out")).collect()}
+    assert back[("a b", "0001_é+100%.md")] == "text\nof one" and back[("c", "0004_z.md")] == "last\n"
+    assert not list((tmp_path / "out").glob("_staging*"))
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    df = spark.range(0, 40, 1, 4).select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("file_name"),
+                                        F.when(F.col("id") == 39, F.raise_error(F.lit("broken"))).otherwise(F.lit("x")).alias("body"))
+    with pytest.raises(Exception, match="broken"):
+        files.write_files(df, str(tmp_path / "out"), "body")
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+
+
+def test_related_by_a_tag_that_contains_the_first(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, day, ["ai"]), (2, day + dt.timedelta(1), ["tech/ai", "x"]), (3, day + dt.timedelta(2), ["tech/ai", "ai-tools"]), (4, None, ["x"]), (5, day, [])]
+    df = spark.createDataFrame(rows, "id long, publish_time timestamp_ntz, vault_tags array<string>")
+    got = sorted((r["id"], r["rank"], r["related_id"]) for r in notes.related_by_first_tag(df, 2).collect())
+    assert got == [(1, 1, 3), (1, 2, 2), (2, 1, 3), (3, 1, 2), (4, 1, 2)]
