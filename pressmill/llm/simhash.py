@@ -25,6 +25,8 @@ component_id is the smallest doc_id of a component, null if none of its rows has
 each have a row in the result.  An empty input gives no rows; extra columns are not read.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -217,6 +219,39 @@ def _wide(words, common):
     return run
 
 
+def _packed(batches):
+    """Texts, deflated: a tenth of the size of their sets of shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            cut = batch.slice(at, 512)
+            packed = [zlib.compress((t.as_py() or "").encode("utf-8", "surrogatepass"), 1) for t in cut.column(1)]
+            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
+
+
+def _agreeing(words):
+    """Of pairs (a, b) with their deflated texts, those whose sets of shingles agree by 0.8."""
+    def run(batches):
+        known = {}   # sets of the texts met last, as a hub comes many times
+
+        def own(node, packed):
+            found = known.get(node)
+            if found is None:
+                if len(known) >= 64:
+                    known.clear()
+                text = zlib.decompress(packed.as_py()).decode("utf-8", "surrogatepass")
+                found = known[node] = shingle_set(text, words)
+            return found
+
+        for batch in batches:
+            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i in range(batch.num_rows):
+                x, y = own(a[i], batch.column(2)[i]), own(b[i], batch.column(3)[i])
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    return run
+
+
 def _sets(words):
     def run(batches):
         for batch in batches:
@@ -275,12 +310,11 @@ def _pairs_with_hubs(members, order):
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _similar(pairs, sets):
-    """Those pairs whose sets agree by 0.8, counted."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b"))
-    shared = F.size(F.array_intersect("own", "other"))
-    return both.filter(9 * shared >= 4 * (F.size("own") + F.size("other"))).select("a", "b")
+def _similar(pairs, texts, words):
+    """Those pairs whose sets agree by 0.8, counted.  Deflated texts travel to the pairs; their sets are made there."""
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("own")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("packed").alias("other")), "b"))
+    return with_package(both).select("a", "b", "own", "other").mapInArrow(_agreeing(words), "a long, b long")
 
 
 def _maybe_shared(shared):
@@ -306,11 +340,11 @@ def shared_prefixes(wide):
     return stored(wide.select("node", "prefix").mapInArrow(_maybe_shared(bits), "node long, shingle long").distinct(), "prefixes")
 
 
-def similar_edges(classes, index, sets_of, group=GROUP):
+def similar_edges(classes, index, texts_of, words=5, group=GROUP):
     """Pairs (a, b) of ``classes`` similar by 0.8, whose components are those of all such pairs.
 
-    ``classes`` has node, n and the bitmap of each set, ``index`` node and shingle of the prefixes; ``sets_of`` gives
-    node and shingles for a table of nodes.  Similar sets share a shingle of their prefixes, so each shingle has
+    ``classes`` has node, n and the bitmap of each set, ``index`` node and shingle of the prefixes; ``texts_of`` gives
+    node and deflated text for a table of nodes.  Similar sets share a shingle of their prefixes, so each shingle has
     a group; groups of the same texts are one.  Pairs of a group are filtered by size and bitmap and
     verified by their sets.  In groups of more than ``group`` texts each is first compared with
     the one that shares most, then with one by chance in each group; then all pairs
@@ -326,13 +360,13 @@ def similar_edges(classes, index, sets_of, group=GROUP):
     large = members.filter(F.col("size") > group)
     if not large.limit(1).count():
         pairs = stored(pairs, "candidates")
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return stored(_similar(pairs, sets), "similar")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return stored(_similar(pairs, texts, words), "similar")
     weights = large.groupBy("node").agg(F.sum("size").alias("weight"))
     stars = _pairs_with_hubs(large.join(weights, "node"), F.struct("weight", "node"))
     pairs = stored(pairs.unionByName(stars).distinct(), "candidates")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct())
-    edges = stored(_similar(pairs, sets), "similar")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct())
+    edges = stored(_similar(pairs, texts, words), "similar")
 
     def labelled():
         roots = components(edges).withColumnRenamed("root", "_root")
@@ -340,12 +374,12 @@ def similar_edges(classes, index, sets_of, group=GROUP):
         return stored(found, "labelled")
 
     by_chance = _pairs_with_hubs(labelled(), F.xxhash64("node", "shingle"))
-    edges = edges.unionByName(stored(_similar(stored(by_chance, "candidates"), sets), "similar"))
+    edges = edges.unionByName(stored(_similar(stored(by_chance, "candidates"), texts, words), "similar"))
     rest = labelled()
     split = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     rest = stored(rest.join(split, "shingle", "left_semi"), "split-groups")
     rest = stored(_pairs_inside(rest, F.col("x.label") != F.col("y.label")), "candidates")
-    return edges.unionByName(stored(_similar(rest, sets), "similar"))
+    return edges.unionByName(stored(_similar(rest, texts, words), "similar"))
 
 
 def keep_one_each(docs, words=5, group=GROUP, text="text"):
@@ -363,15 +397,15 @@ def keep_one_each(docs, words=5, group=GROUP, text="text"):
     classes = wide.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n", *BITMAP)])
     classes = stored(classes, "shingle-classes")
 
-    def sets_of(nodes):
+    def texts_of(nodes):
         wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("keep.doc_id").alias("_id"), F.col("keep.text_hash").alias("_hash"))
         wanted = stored(wanted, "wanted-sets")
         possible = split_by_keys(columns, F.col("text_hash"), wanted.select("_hash"))[1]
         found = possible.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        sets = found.select("node", "text").mapInArrow(_sets(words), "node long, shingles array<long>")
-        return stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        packed = found.select("node", "text").mapInArrow(_packed, "node long, packed binary")
+        return stored(packed.groupBy("node").agg(F.first("packed").alias("packed")), "packed-texts")
 
-    roots = stored(components(similar_edges(classes, shared_prefixes(wide), sets_of, group)), "roots")
+    roots = stored(components(similar_edges(classes, shared_prefixes(wide), texts_of, words, group)), "roots")
     firsts = classes.select("node", "keep", "rows")
     rooted = firsts.join(roots, "node", "left").select("node", "keep", "rows", F.coalesce("root", "node").alias("root"))
     keeps = rooted.groupBy("root").agg(F.min("keep").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
