@@ -2,6 +2,7 @@
 
 import heapq
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -609,6 +610,25 @@ def test_pages_follow_the_layout_they_have():
     assert consensus.extract(page, ("/body/div.a", "/body/div.b")) == "\n\n".join([LONG_T] * 3)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><p title=it's>Hello, in this paragraph we don't lose it.</p><p>Nor this one, that isn't lost.</p></body>",
+     "Hello, in this paragraph we don't lose it.\n\nNor this one, that isn't lost."),
+    (f"<div><p title=\"a > b\">{LONG_T}</p></div>", LONG_T), (f"<div><p title='a > \"b'>{LONG_T}</p></div>", LONG_T),
+    (f'<div><p title="never closed>{LONG_T}</p></div>', LONG_T), (f"<div>{LONG_P}<!--> <b></b><!-- no --></div>", LONG_T),
+    (f"<article>{LONG_P}</article><div class='user-discussion'>{LONG_P * 4}</div>", LONG_T)])
+def test_tags_end_where_they_end(page, want):
+    assert consensus.extract(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="ad">' * 5_000 + LONG_P, '<a title="' * 100_000, """<a title="x' b='y" """ * 50_000, "<!--" * 250_000, "<a " * 300_000,
+    "<div>" * 50_000 + LONG_P, f"<div>{LONG_T}</div><div class=ad>" * 5_000])
+def test_hostile_pages_take_time_by_their_length(page):
+    start = time.time()
+    consensus.best_path(consensus.containers_of(page))
+    assert consensus.extract(page) in (LONG_T, "") and time.time() - start < 5
+
+
 # ------------------------------------------------------------------ shared
 
 def test_ranks_of_a_hot_group(spark):
