@@ -11,7 +11,7 @@ from pressmill.plans import dump_view as dv
 from pressmill.plans.common import (
     AS_OF, articles, plain_articles, quote, strip_sql, with_articles)
 from pressmill.session import new_shared_path
-from pressmill.sources import dumps
+from pressmill.sources import dumps, large_dumps
 
 QUERIES, ORACLES = {}, {}
 SP = tx.SPACE
@@ -82,6 +82,16 @@ def _dump_files(s, d):
 register("s1_read_dump_files", lambda s, d: _fields(dumps.normalise(_dump_files(s, d))), ORACLES["s1_read_dumps"])
 
 
+def _ranged_dump_files(s, d):
+    """The same files, each read by several tasks: ranges are small here, so that files of any size are cut."""
+    path = new_shared_path(s, "dump-files")
+    _nested(s, d).write.partitionBy("file").text(path)
+    return large_dumps.read_large_dumps(s, f"{path}/*", "part-*", part_bytes=64 << 10)
+
+
+register("s1_read_large_dumps", lambda s, d: _fields(dumps.normalise(_ranged_dump_files(s, d))), ORACLES["s1_read_dumps"])
+
+
 def _json_lines(s, d):
     """Write the flat dump as JSON Lines to the shared folder and read it back."""
     path = new_shared_path(s, "dump")

@@ -1,8 +1,7 @@
 """JSON dumps of articles and landed API pages.
 
-A dump is one JSON document per file and is read by one task; many files run in
-parallel.  Large exports should be written as JSON Lines (``write_json_lines``), which
-Spark splits.
+A dump is one JSON document per file and is read by one task here; many files run in
+parallel.  ``large_dumps`` reads one large file in many tasks; JSON Lines are split by Spark.
 """
 
 from pyspark.sql import functions as F

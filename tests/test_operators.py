@@ -11,7 +11,7 @@ from pressmill.functions import dates, urls
 from pressmill.functions import text as tx
 from pressmill.operators import etl, export, html, jobs, links, notes, quality, tags, trends
 from pressmill.operators.numbering import number_rows
-from pressmill.sources import dumps, files
+from pressmill.sources import dumps, files, large_dumps
 
 
 def values(spark, rows, expression, name="v"):
@@ -358,3 +358,35 @@ def test_related_by_a_tag_that_contains_the_first(spark):
     df = spark.createDataFrame(rows, "id long, publish_time timestamp_ntz, vault_tags array<string>")
     got = sorted((r["id"], r["rank"], r["related_id"]) for r in notes.related_by_first_tag(df, 2).collect())
     assert got == [(1, 1, 3), (1, 2, 2), (2, 1, 3), (3, 1, 2), (4, 1, 2)]
+
+
+def test_large_dumps_are_cut_anywhere(spark, tmp_path):
+    import json
+    import random
+
+    draw = random.Random(5)
+    signs = ['"', "\\", "[", "]", "{", "}", ",", ":", " ", "\n", "a", "文", '"articles": [', "\\\\\""]
+
+    def text():
+        return "".join(draw.choice(signs) for _ in range(draw.randrange(30)))
+
+    def articles(n):
+        return [None if draw.random() < 0.1 else {"id": i, "attributes": {"title": text(), "full_content": text()}, "x": [1, [2, {"y": text()}]]}
+                if draw.random() < 0.5 else {"id": i, "title": text(), "content": text()} for i in range(n)]
+
+    cases = [{"export_info": {"source": text() + "s", "total": 3}, "articles": articles(40)}, {"articles": articles(5), "more": {"articles": [1, 2], "a": 1}},
+             {"other": [{"articles": [{"id": 5}]}, 2], "articles": articles(9), "export_info": {"source": "late"}}, {"articles": []}, {"export_info": {"source": "x"}}, {}]
+    for i, case in enumerate(cases):
+        (tmp_path / f"d {i}.json").write_text(json.dumps(case, ensure_ascii=bool(i % 2), indent=i % 3 or None), encoding="utf-8")
+    want = sorted((f"d {i}.json", n, (case.get("export_info") or {}).get("source"), (a or {}).get("id"), ((a or {}).get("attributes") or a or {}).get("title"))
+                  for i, case in enumerate(cases) for n, a in enumerate(case.get("articles", [])))
+    key = lambda r: r[:2]
+    for part, chunk in [(7, 3), (50, 1000), (1 << 20, 64)]:
+        got = large_dumps.read_large_dumps(spark, str(tmp_path), part_bytes=part, chunk_bytes=chunk)
+        rows = got.select("file", "pos", "source", "id", F.coalesce("attributes.title", "title")).collect()
+        assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
+    whole = dumps.dump_articles(dumps.read_dump_files(spark, str(tmp_path)))
+    assert got.columns == whole.columns and sorted(map(repr, got.drop("file").collect())) == sorted(map(repr, whole.drop("file").collect()))
+    # One file is read by several tasks.
+    ranges = large_dumps.dump_ranges(spark, str(tmp_path), part_bytes=1000).filter("n > 0 AND path LIKE '%d 0.json'").collect()
+    assert len(ranges) > 1 and sum(r["n"] for r in ranges) == 40
