@@ -135,7 +135,7 @@ def _daily_keywords(s, d):
     base = new_shared_path(s, "daily-keywords")
     for stream in _waves(s, d, base):
         ingest.keep_counts(stream, lambda rows: trends.daily_keywords(rows, AS_OF, lexicon=PROBE_WORDS),
-                           f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+                           f"{base}/counts", f"{base}/checkpoint", merge_every=2).awaitTermination()
     return ingest.read_counts(s, f"{base}/counts", "keyword")
 
 

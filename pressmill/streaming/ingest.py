@@ -35,20 +35,64 @@ def daily_counts(rows, time, *keys):
     return rows.groupBy(dates.day(time).alias("day"), *keys).agg(F.count("*").alias("cnt"))
 
 
-def keep_counts(stream, count, path, checkpoint):
-    """Write the counts of every batch of a stream, one Parquet folder per batch below ``path``.
+def _listed(path):
+    """File system, root, and the numbers of batches and of finished totals below ``path``."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+    batches = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    totals = sorted(int(n.removeprefix("total=")) for n in names if n.startswith("total="))
+    done = [n for n in totals if system.get_file_info(f"{root}/total={n}/_SUCCESS").is_file]
+    return system, root, batches, done
+
+
+def _current(spark, path, batches, done):
+    """Counts of the last total and of the batches after it."""
+    since = done[-1] if done else -1
+    folders = [f"{path}/total={since}"] * bool(done) + [f"{path}/batch={n}" for n in batches if n > since]
+    return spark.read.parquet(*folders or [path])
+
+
+def _summed(counts):
+    return counts.groupBy(*[c for c in counts.columns if c != "cnt"]).agg(F.sum("cnt").alias("cnt"))
+
+
+def keep_counts(stream, count, path, checkpoint, merge_every=20):
+    """Write the counts of every batch of a stream below ``path``, and merge them now and then.
 
     ``count`` maps the rows of a batch to additive counts.  Batches hold their own rows
     only, so there is no state to keep and no row is too late; a batch repeated after a
     failure replaces its folder.
+
+    After ``merge_every`` batches a total of all until then is written, ``total=N`` for the batches up to N.  It counts once
+    its ``_SUCCESS`` is there, so readers see the old state or the new.  A batch that a total holds already adds nothing
+    when it is repeated.  What the total before the last one holds is deleted: readers that began before the last merge end well,
+    and at most two totals and twice ``merge_every`` batches are kept.
     """
     def write(batch, batch_id):
-        count(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        path_ = path.rstrip("/")
+        _, _, _, done = _listed(path_)
+        if not done or batch_id > done[-1]:
+            count(batch).write.mode("overwrite").parquet(f"{path_}/batch={batch_id}")
+        merge_counts(batch.sparkSession, path_, merge_every)
     return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def merge_counts(spark, path, merge_every=1):
+    """Merge the batches after the last total if there are ``merge_every``; can be repeated at any point."""
+    system, root, batches, done = _listed(path)
+    new = [n for n in batches if not done or n > done[-1]]
+    if len(new) >= max(merge_every, 1):
+        _summed(_current(spark, path, batches, done)).write.mode("overwrite").parquet(f"{path}/total={new[-1]}")
+        done.append(new[-1])
+    if len(done) > 1:
+        for folder in [f"total={n}" for n in done[:-2]] + [f"batch={n}" for n in batches if n <= done[-2]]:
+            system.delete_dir(f"{root}/{folder}")
+
+
 def read_counts(spark, path, *keys):
     """Sums over all batches."""
-    every = spark.read.option("basePath", path).parquet(path)
-    return every.groupBy("day", *keys).agg(F.sum("cnt").alias("cnt"))
+    _, _, batches, done = _listed(path)
+    return _current(spark, path, batches, done).groupBy("day", *keys).agg(F.sum("cnt").alias("cnt"))

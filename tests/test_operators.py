@@ -390,3 +390,42 @@ def test_large_dumps_are_cut_anywhere(spark, tmp_path):
     # One file is read by several tasks.
     ranges = large_dumps.dump_ranges(spark, str(tmp_path), part_bytes=1000).filter("n > 0 AND path LIKE '%d 0.json'").collect()
     assert len(ranges) > 1 and sum(r["n"] for r in ranges) == 40
+
+
+def test_counts_of_batches_are_merged(spark, tmp_path):
+    import pathlib
+
+    from pressmill.streaming import ingest
+
+    path, landed = f"{tmp_path}/counts", f"{tmp_path}/landed"
+    want, held = {}, []
+    for batch in range(23):
+        rows = [(dt.datetime(2024, 1, 1 + (batch * k) % 9), "ab"[k % 2]) for k in range(4)]
+        spark.createDataFrame(rows, "ts timestamp_ntz, kind string").coalesce(1).write.mode("append").parquet(landed)
+        for ts, kind in rows:
+            want[(ts.strftime("%Y-%m-%d"), kind)] = want.get((ts.strftime("%Y-%m-%d"), kind), 0) + 1
+    stream = spark.readStream.schema("ts timestamp_ntz, kind string").option("maxFilesPerTrigger", 1).parquet(landed)
+    ingest.keep_counts(stream, lambda rows: ingest.daily_counts(rows, "ts", "kind"), path, f"{tmp_path}/checkpoint", merge_every=4).awaitTermination()
+
+    def counts():
+        rows = ingest.read_counts(spark, path, "kind").collect()
+        assert len({(r["day"], r["kind"]) for r in rows}) == len(rows)
+        return {(r["day"], r["kind"]): r["cnt"] for r in rows}
+
+    def folders():
+        return sorted(f.name for f in pathlib.Path(path).iterdir())
+
+    assert counts() == want and len(folders()) <= 2 + 8
+    # A total that was never finished isn't read and is written anew.
+    before = folders()
+    broken = pathlib.Path(path, "total=22")
+    broken.mkdir()
+    assert counts() == want
+    ingest.merge_counts(spark, path)
+    assert counts() == want and folders() != before
+    # A batch that a total holds changes nothing when the stream repeats it after a failure.
+    newest = max(pathlib.Path(f"{tmp_path}/checkpoint/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    newest.unlink()
+    (newest.parent / f".{newest.name}.crc").unlink()
+    ingest.keep_counts(stream, lambda rows: ingest.daily_counts(rows, "ts", "kind"), path, f"{tmp_path}/checkpoint", merge_every=4).awaitTermination()
+    assert counts() == want
