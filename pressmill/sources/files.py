@@ -10,6 +10,7 @@ Paths are URIs of any file system that pyarrow knows, or local folders that all
 """
 
 import posixpath
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -104,6 +105,16 @@ def _moved(staging, path):
     return run
 
 
+def _remove(path):
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    try:
+        system.delete_dir(root)
+    except OSError:      # it is gone, or a task writes to it just now
+        pass
+
+
 def write_files(df, path, text, file_name="file_name", folder=None):
     """Write column ``text`` of every row to ``path/folder/file_name`` in UTF-8.
 
@@ -117,7 +128,14 @@ def write_files(df, path, text, file_name="file_name", folder=None):
     staging = f"{path}/_staging-{uuid.uuid4().hex}"
     spark.dataSource.register(_staging_source())
     rows = df.select((F.col(folder) if folder else F.lit("")).cast("string").alias("folder"), F.col(file_name).cast("string").alias("file_name"), F.col(text).cast("string").alias("text"))
-    rows.write.format(STAGED).mode("append").save(staging)
+    try:
+        rows.write.format(STAGED).mode("append").save(staging)
+    except Exception:
+        # Tasks that are being ended may still write after the sink has removed its files.
+        for _ in range(10):
+            _remove(staging)
+            time.sleep(0.2)
+        raise
     attempts = spark.read.text(posixpath.join(staging, "attempts.txt")).select(F.col("value").alias("attempt"))
     moved = attempts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)).mapInArrow(_moved(staging, path), "attempt string, n long")
     moved.agg(F.sum("n")).collect()
