@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
-from pressmill.operators import browse, trends
+from pressmill.operators import browse, substring_index, trend_windows, trends
 from pressmill.plans.common import (
     AS_OF, IN_WINDOW, PROBE_WORDS, articles, day_sql, keywords_cte, plain_articles,
     with_articles)
+from pressmill.session import new_shared_path
 from pressmill.sources.articles import crawled_within, scan
 
 QUERIES, ORACLES = {}, {}
@@ -43,6 +44,11 @@ register("q3_search",
 register("q3_search_wildcard",
          lambda s, d: browse.search_matches(articles(s, d), "lic_nse%ap").select("id"),
          with_articles("SELECT id FROM articles WHERE title ILIKE '%lic_nse%ap%' OR content ILIKE '%lic_nse%ap%'"))
+register("q3_search_index",
+         lambda s, d: substring_index.build(articles(s, d), new_shared_path(s, "substrings")).search("License", 50), ORACLES["q3_search"])
+register("q3_search_index_wildcard",
+         lambda s, d: substring_index.build(articles(s, d), new_shared_path(s, "substrings")).matches("lic_nse%ap").select("id"),
+         ORACLES["q3_search_wildcard"])
 register("q3b_fulltext",
          lambda s, d: browse.fulltext_matches(articles(s, d), "apache worthless avec").select("id"),
          with_articles("SELECT id FROM articles WHERE list_has_any(string_split_regex(lower(title || ' ' || content), "
@@ -134,6 +140,42 @@ register("t4_daily_keywords",
                        "(SELECT publish_time, unnest(keywords) AS keyword FROM found) WHERE publish_time IS NOT NULL GROUP BY 1, 2",
                        keywords_cte(PROBE_WORDS, WHERE30)))
 
+# Three windows from one pass over the texts; articles that came early but arrive late are a batch of their own.
+WINDOWS = (7, 30, 90)
+
+
+def _facts(s, d):
+    path = new_shared_path(s, "trend-facts")
+    rows = articles(s, d)
+    late = F.col("crawl_time") < F.expr("timestamp_ntz'2024-01-12 00:00:00'")
+    for name, batch in (("first", rows.filter(~late)), ("late", rows.filter(late)), ("late", rows.filter(late))):
+        trend_windows.write_facts(batch, path, name, lexicon=PROBE_WORDS)
+    return trend_windows.read_facts(s, path)
+
+
+def windows_sql(select):
+    """One SELECT per window; ``{days}`` is its length and ``{found}`` its articles with keywords."""
+    return with_articles(" UNION ALL ".join(
+        f"(SELECT {n} AS days, * FROM ({select.replace('{days}', str(n)).replace('{found}', f'(SELECT * FROM found WHERE {IN_WINDOW.format(days=n)})')}))"
+        for n in WINDOWS), keywords_cte(PROBE_WORDS))
+
+
+register("t2_keyword_windows",
+         lambda s, d: trend_windows.top_keywords(_facts(s, d), AS_OF, WINDOWS),
+         windows_sql("SELECT keyword, cnt, cnt / n::DOUBLE * 100 AS percentage, row_number() OVER (ORDER BY cnt DESC, keyword) AS rank FROM "
+                     "(SELECT keyword, count(*) AS cnt FROM (SELECT unnest(keywords) AS keyword FROM {found}) GROUP BY 1), "
+                     "(SELECT count(*) AS n FROM {found}) QUALIFY rank <= 20"))
+register("t4_daily_windows",
+         lambda s, d: trend_windows.daily_keywords(_facts(s, d), AS_OF, WINDOWS),
+         windows_sql(f"SELECT {day_sql('publish_time')} AS day, keyword, count(*) AS cnt FROM "
+                     "(SELECT publish_time, unnest(keywords) AS keyword FROM {found}) WHERE publish_time IS NOT NULL GROUP BY 1, 2"))
+register("t5_author_windows",
+         lambda s, d: trend_windows.author_stats(_facts(s, d), AS_OF, WINDOWS),
+         windows_sql("SELECT *, article_count * 0.4e0 + least(avg_article_length / 100, 10e0) * 0.3e0 + keyword_diversity * 0.3e0 AS influence_score, "
+                     "article_count / {days}::DOUBLE AS productivity FROM (SELECT author, count(*) AS article_count, sum(length(content))::BIGINT AS total_words, "
+                     "len(list_distinct(flatten(list(keywords)))) AS keyword_diversity, sum(length(content)) / count(*)::DOUBLE AS avg_article_length "
+                     f"FROM {{found}} WHERE {KNOWN} GROUP BY author)"))
+
 AUTHOR_CTES = [
     keywords_cte(PROBE_WORDS, f"{WHERE30} AND {KNOWN}"),
     "stats AS (SELECT author, count(*) AS article_count, sum(length(content))::BIGINT AS total_words, min(id) AS first_id, "
