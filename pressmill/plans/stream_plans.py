@@ -116,6 +116,17 @@ register("str1_stream_ingest", _ingested,
                        f"row_number() OVER (PARTITION BY url ORDER BY {WAVE}, id) AS rn FROM articles) WHERE rn = 1"))
 
 
+def _ingested_by_keys(s, d):
+    """The same, with a table of keys instead of the whole store."""
+    base = new_shared_path(s, "ingest-keys")
+    for stream in _waves(s, d, base):
+        ingest.ingest_by_keys(stream, f"{base}/store", f"{base}/checkpoint", lambda rows: ["id"], merge_every=2).awaitTermination()
+    return ingest.read_rows(s, f"{base}/store", stream.schema)
+
+
+register("str1_stream_ingest_keys", _ingested_by_keys, ORACLES["str1_stream_ingest"])
+
+
 def _daily(s, d):
     """Count events per day and type as a stream and add the batches up."""
     base = new_shared_path(s, "daily")
