@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pressmill import fixed_values as fv
-from pressmill.operators import browse, substring_index, trend_windows, trends
+from pressmill.operators import browse, page_map, substring_index, trend_windows, trends
 from pressmill.plans.common import (
     AS_OF, IN_WINDOW, PROBE_WORDS, articles, day_sql, keywords_cte, plain_articles,
     with_articles)
@@ -37,6 +37,14 @@ register("q1_list_page",
 register("q2_by_account",
          lambda s, d: browse.page(articles(s, d), account="en", limit=100),
          with_articles(PREVIEW.format(n=200) + f" WHERE account_name = 'en' ORDER BY {NEWEST} LIMIT 100"))
+def _deep_page(s, d, account=None, limit=50, offset=500):
+    rows = articles(s, d)
+    return page_map.page(rows, page_map.build(plain_articles(s, d), every=100, accounts=account is not None), account, limit, offset)
+
+
+register("q1_deep_page", _deep_page, with_articles(PREVIEW.format(n=200) + f" ORDER BY {NEWEST} LIMIT 50 OFFSET 500"))
+register("q2_deep_page", lambda s, d: _deep_page(s, d, "en", 100, 130),
+         with_articles(PREVIEW.format(n=200) + f" WHERE account_name = 'en' ORDER BY {NEWEST} LIMIT 100 OFFSET 130"))
 register("q3_search",
          lambda s, d: browse.search(articles(s, d), "License", 50),
          with_articles(PREVIEW.format(n=300) + " WHERE title ILIKE '%License%' OR content ILIKE '%License%'"
