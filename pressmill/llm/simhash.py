@@ -15,7 +15,9 @@ within three bits just if some point lies within one bit of the one and within t
 the other, so all fingerprints within two bits of a point hang together as soon as one is
 within one bit of it.  That costs 2 081 rows for a fingerprint, whatever the crowd.
 
-``keep_one_each`` finds similar texts, not only near fingerprints: texts whose five-word
+``drop_near_duplicates`` keeps one document of each component of these links; the pipeline uses it.
+
+``keep_one_each`` is another measure, similar sets of shingles: texts whose five-word
 shingles agree by 0.8 differ in about ten of 64 bits.  It joins the prefixes of their sets of
 shingles, which finds all such pairs, and verifies them by the sets.
 
@@ -65,15 +67,20 @@ def fingerprint(text, words=WORDS):
 def _fingerprints(words):
     def run(batches):
         for batch in batches:
-            values = np.asarray([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            values = np.asarray([fingerprint(t.as_py(), words) for t in batch.column(0)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values.view(np.int64), pa.int64())], [*batch.schema.names[1:], "fp"])
     return run
 
 
-def fingerprints(docs, words=WORDS, text="text"):
-    """doc_id, fp (the 64 bits as a signed long): one row per document."""
-    return with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _fingerprints(words), "doc_id long, fp long")
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def fingerprints(docs, words=WORDS, text="text", with_text_hash=False):
+    """doc_id, fp (the 64 bits as a signed long): one row per document; ``with_text_hash`` adds that of its text."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), *([_text_hash(text).alias("text_hash")] if with_text_hash else [])]
+    schema = "doc_id long, " + ("text_hash long, " if with_text_hash else "") + "fp long"
+    return with_package(docs).select(F.col(text).alias("text"), *own).mapInArrow(_fingerprints(words), schema)
 
 
 def _segment(fp, number):
@@ -152,6 +159,44 @@ def near_duplicates(docs, words=WORDS, crowd=CROWD, text="text"):
     return slim.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _first_row():
+    """Of a group: its row with the smallest doc_id, without any the one with the smallest text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+
+
+def _keep_firsts(docs, slim, classes, roots, text):
+    """Rows of ``docs`` without all but the first of each component; of rows with equal doc_id and text one stays.
+
+    ``slim`` has doc_id, text_hash and node of each row, ``classes`` the first row (keep) and the rows of each
+    node, ``roots`` the root of every node that has a link.
+    """
+    firsts = classes.select("node", "keep", "rows")
+    rooted = firsts.join(roots, "node", "left").select("node", "keep", "rows", F.coalesce("root", "node").alias("root"))
+    keeps = rooted.groupBy("root").agg(F.min("keep").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
+    keepers = stored(rooted.select("node", "root").join(keeps, "root").select("node", "best"), "keepers")
+
+    def mark(doc_id, text_hash):
+        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
+
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    marks = slim.join(keepers, "node").groupBy(mark(F.col("doc_id"), F.col("text_hash")).alias("mark")).agg(
+        F.max(same).alias("some"), F.count("*").alias("n")).filter("NOT some OR n > 1")
+    marks = stored(marks.select("mark", "some"), "dropped")
+    return keep_unmarked(docs, mark(F.col("doc_id"), _text_hash(text)), marks)
+
+
+def drop_near_duplicates(docs, words=WORDS, crowd=CROWD, text="text"):
+    """Of documents whose fingerprints link, the row with the smallest doc_id; columns unchanged.
+
+    Links and components are those of ``near_duplicates``.  In a component without any doc_id the smallest text
+    hash stays; of rows with equal doc_id and text one stays.
+    """
+    slim = stored(fingerprints(docs, words, text, with_text_hash=True).withColumnRenamed("fp", "node"), "fingerprints")
+    classes = stored(slim.groupBy("node").agg(_first_row().alias("keep"), F.count("*").alias("rows")), "fingerprint-classes")
+    roots = stored(components(links(classes.select(F.col("node").alias("fp")), crowd)), "roots")
+    return _keep_firsts(docs, slim, classes, roots, text)
+
+
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -263,10 +308,6 @@ def _sets(words):
     return run
 
 
-def _text_hash(text):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def common_shingles(columns, words, sample=SAMPLE, most=COMMON):
     """Sorted hashes of shingles that many documents hold, and their places by count.
 
@@ -392,9 +433,8 @@ def keep_one_each(docs, words=5, group=GROUP, text="text"):
     columns = with_package(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
     wide = stored(columns.mapInArrow(_wide(words, common_shingles(columns, words)), WIDE), "shingle-prefixes")
     slim = wide.select("doc_id", "text_hash", "node")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     # Rows of a class first, inside the tasks; then classes of a component.
-    classes = wide.groupBy("node").agg(best.alias("keep"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n", *BITMAP)])
+    classes = wide.groupBy("node").agg(_first_row().alias("keep"), F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n", *BITMAP)])
     classes = stored(classes, "shingle-classes")
 
     def texts_of(nodes):
@@ -406,16 +446,4 @@ def keep_one_each(docs, words=5, group=GROUP, text="text"):
         return stored(packed.groupBy("node").agg(F.first("packed").alias("packed")), "packed-texts")
 
     roots = stored(components(similar_edges(classes, shared_prefixes(wide), texts_of, words, group)), "roots")
-    firsts = classes.select("node", "keep", "rows")
-    rooted = firsts.join(roots, "node", "left").select("node", "keep", "rows", F.coalesce("root", "node").alias("root"))
-    keeps = rooted.groupBy("root").agg(F.min("keep").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
-    keepers = stored(rooted.select("node", "root").join(keeps, "root").select("node", "best"), "keepers")
-
-    def mark(doc_id, text_hash):
-        return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_hash.cast("string"))
-
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    marks = slim.join(keepers, "node").groupBy(mark(F.col("doc_id"), F.col("text_hash")).alias("mark")).agg(
-        F.max(same).alias("some"), F.count("*").alias("n")).filter("NOT some OR n > 1")
-    marks = stored(marks.select("mark", "some"), "dropped")
-    return keep_unmarked(docs, mark(F.col("doc_id"), _text_hash(text)), marks)
+    return _keep_firsts(docs, slim, classes, roots, text)

@@ -329,6 +329,19 @@ def test_families_stay_by_one(spark, group):
     assert sorted(r["doc_id"] for r in simhash.keep_one_each(df, group=group).collect()) == want
 
 
+def test_near_stage_links_by_fingerprints(spark):
+    """Texts whose fingerprints link while their sets of shingles differ; null and repeated rows stay as one."""
+    import corpus_pipeline
+
+    line = "one two three four five six seven " * 60
+    rows = [(7, line + "a b c d e f g h i j", "en", "a"), (3, line + "k l m n o p q r s t", "en", "b"),
+            (5, "something else that stands quite by itself here", "en", "a"), (5, "something else that stands quite by itself here", "en", "a"), (9, None, "en", "a"), (8, " ", "en", "a")]
+    prints = [plain_fingerprint(t, 5) for _, t, _, _ in rows]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 3 and plain_kept({i: t for i, t, _, _ in rows[:2]}) == [3, 7]
+    kept = corpus_pipeline.near(spark, docs_of(spark, rows), None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 8]
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
