@@ -121,7 +121,8 @@ def count_chunk(ids, words, hashes, state, step, shards, longest):
         runs[0] = False
         take = np.flatnonzero(runs & (counts > 0))
     yield 1, [words[i] for i in take.tolist()], counts[take]
-    # at: where phrases of the length before start that reached the threshold; told: in which step.
+    # at: where phrases of the length before start that reached the threshold; told: in which step they and
+    # all their parts had.  A shared slot may tell a phrase before its parts, but it is met only after them.
     by_place, every = reached[ids], hashes[ids]
     at = np.flatnonzero(by_place < NEVER)
     told, own = by_place[at], every[at]
@@ -147,7 +148,7 @@ def count_chunk(ids, words, hashes, state, step, shards, longest):
             parts = [map(word, ids[starts[first] + k].tolist()) for k in range(n)]
             yield n, list(map(b" ".join, zip(*parts))), found
         keep = np.flatnonzero(told < NEVER)
-        at, own, told = at[keep], own[keep], told[keep]
+        at, own, told = at[keep], own[keep], np.maximum(told, begins - 1)[keep]
 
 
 def _numbered(table, shards, numbers_at_once):

@@ -170,6 +170,20 @@ def test_a_full_table_of_slots_loses_nothing():
     assert found[4] == {b"a b a b": 1, b"b a b c": 1}
 
 
+def test_phrases_told_by_a_shared_slot_before_their_parts():
+    """The slots of "a b" and "b c" were set in step 0 by other phrases, those of the words in step 3:
+    the longer phrase is met from step 4 on and has to be looked for in a whole cycle."""
+    numbers = collocations.Numbers()
+    ids = np.asarray([numbers[w] for w in b"a b c".split()] + [0])
+    hashes = np.asarray([collocations.phrase_hash("en", w) if w else 0 for w in ["", "a", "b", "c"]], np.uint64)
+    state = np.full(1 << 16, collocations.NEVER, np.uint8)
+    for phrase, step in (("a b", 0), ("b c", 0), ("a", 3), ("b", 3), ("c", 3)):
+        state[collocations.phrase_hash("en", phrase) & ((1 << 16) - 1)] = step
+    looked_for = [step for step in range(2, 9) if step > 3 and any(
+        n == 3 for n, _, _ in collocations.count_chunk(ids, numbers.words, hashes, state, step, 2, 4))]
+    assert looked_for == [4, 5]
+
+
 # ------------------------------------------------------------------ 13: repeated passages
 
 def plain_removed(rows, window=20):
