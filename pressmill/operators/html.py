@@ -8,7 +8,7 @@ standard HTML parser.
 import sys
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -150,11 +150,12 @@ def container_reader(selectors):
     """Arrow function html -> (text, images) of the first selector that finds an element."""
     parts = [_selector_parts(s) for s in selectors]
 
-    @F.pandas_udf("struct<text:string,images:array<string>>")
-    def read(html: pd.Series) -> pd.DataFrame:
+    # Spark repeats deterministic functions where filters and columns use them: a Python worker each.
+    @F.arrow_udf("struct<text:string,images:array<string>>")
+    def read(html: pa.Array) -> pa.Array:
         texts, images = [], []
-        for page in html:
-            text, found = None, []
+        for row in html:      # pages become Python strings one at a time
+            page, text, found = row.as_py(), None, []
             for kind, value in parts:
                 if page is None or value not in page:
                     continue
@@ -166,8 +167,8 @@ def container_reader(selectors):
                     break
             texts.append(text)
             images.append(found)
-        return pd.DataFrame({"text": texts, "images": images})
-    return read
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(images, pa.list_(pa.string()))], ["text", "images"])
+    return read.asNondeterministic()
 
 
 def with_container(pages, selectors=None):

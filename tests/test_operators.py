@@ -429,3 +429,13 @@ def test_counts_of_batches_are_merged(spark, tmp_path):
     (newest.parent / f".{newest.name}.crc").unlink()
     ingest.keep_counts(stream, lambda rows: ingest.daily_counts(rows, "ts", "kind"), path, f"{tmp_path}/checkpoint", merge_every=4).awaitTermination()
     assert counts() == want
+
+
+def test_pages_are_parsed_once(spark):
+    """Filter, content and images share one evaluation of the container."""
+    page = '<h1 id="activity-name">T</h1><div id="js_content">a<img src="/b.png"> c</div>'
+    pages = spark.createDataFrame([(1, "https://e.org/x", page), (2, "https://e.org/y", None), (3, None, page)], "page_id long, url string, html string")
+    covers = html.extract_articles(pages).select("page_id", "content", "images", "cover_image")
+    assert covers._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["page_id"], r["content"]) for r in covers.orderBy("page_id").collect()] == [(1, "a\nc"), (3, "a\nc")]
+    assert covers.filter("page_id = 1").first()["cover_image"] == "https://e.org/b.png"
