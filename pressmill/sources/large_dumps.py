@@ -8,6 +8,10 @@ A dump is one JSON document, so its elements have no line to be cut at.  Files a
 2. With these, every range tells its elements of ``articles`` and where that array begins; another window gives the position of its first.
 3. Every range reads the elements that begin in it, the last one beyond its end.
 
+What holds for a file, its source, goes with the rows of its ranges to the elements, so texts meet no other table.
+The rows of ranges are small whatever they stand for: they are dealt into as many tasks as a shuffle has, as Spark would
+gather them into few by their size.
+
 Brackets, commas and quotes inside strings are told from the others, and a range may begin anywhere, also in an escape.
 A range holds at most one element in memory beside a chunk.  Files are in UTF-8.
 """
@@ -22,7 +26,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressmill import schema
-from pressmill.session import once
 
 # Workers get what they run with the task and need no module.
 register_pickle_by_value(sys.modules[__name__])
@@ -178,8 +181,9 @@ def _elements(chunk, at_once=1024):
         parts, out = None, []                              # bytes of the element that is open
 
         def batch():
-            made = pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(out), pa.string()), pa.array([n for n, _ in out], pa.int64()),
-                                               pa.array([v for _, v in out], pa.string())], ["path", "pos", "value"])
+            made = pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(out), pa.string()), pa.array([row["source"]] * len(out), pa.string()),
+                                               pa.array([n for n, _ in out], pa.int64()), pa.array([v for _, v in out], pa.string())],
+                                              ["path", "source", "pos", "value"])
             out.clear()
             return made
 
@@ -214,21 +218,27 @@ def _elements(chunk, at_once=1024):
     return _rows(task)
 
 
+def _dealt(ranges):
+    """Every range to a task by its hash; the number is given, so ranges aren't gathered for being small rows."""
+    tasks = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return ranges.repartition(tasks, F.xxhash64("path", "start"))
+
+
 def dump_ranges(spark, path, pattern="*.json", part_bytes=PART_BYTES, chunk_bytes=CHUNK_BYTES):
-    """One row per range of every file: what holds at its start, and the number of elements before it."""
+    """One row per range of every file: what holds at its start, the number of elements before it, and the file's ``info``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + part_bytes, "length").alias("stop"))
-    by_range = F.xxhash64("path", "start")
-    sums = ranges.repartition(by_range).mapInArrow(_sums(chunk_bytes), SUMS)
+    sums = _dealt(ranges).mapInArrow(_sums(chunk_bytes), SUMS)
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("inside", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int"))
     sums = sums.withColumn("delta", F.when(F.col("inside") == 0, F.col("delta0")).otherwise(F.col("delta1")))
     known = sums.select("path", "start", "stop", "inside", F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"))
-    found = known.repartition(by_range).mapInArrow(_found(chunk_bytes), FOUND)
+    found = _dealt(known).mapInArrow(_found(chunk_bytes), FOUND)
     found = found.withColumn("listed", F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(False)))
     found = found.withColumn("n", F.col("own") + F.when(F.col("listed"), F.col("carried")).otherwise(0))
-    return found.select("path", "start", "stop", "inside", "depth", "listed", "n", "info", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return found.select("path", "start", "stop", "inside", "depth", "listed", "n", F.max("info").over(Window.partitionBy("path")).alias("info"),
+                        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
 def read_large_dumps(spark, path, pattern="*.json", part_bytes=PART_BYTES, chunk_bytes=CHUNK_BYTES):
@@ -237,9 +247,8 @@ def read_large_dumps(spark, path, pattern="*.json", part_bytes=PART_BYTES, chunk
     Elements that are null or not an article have null fields.  A file without ``articles`` gives no row; one that is
     cut off gives the elements that are whole.
     """
-    ranges = once(dump_ranges(spark, path, pattern, part_bytes, chunk_bytes))
-    elements = ranges.filter("n > 0").repartition(F.xxhash64("path", "start")).mapInArrow(
-        _elements(chunk_bytes), "path string, pos long, value string")
-    info = ranges.groupBy("path").agg(F.max("info").alias("info")).select("path", F.from_json("info", schema.DUMP["export_info"].dataType).alias("export_info"))
-    return (elements.join(info, "path").withColumn("article", F.from_json("value", schema.DUMP_ARTICLE))
-            .select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("export_info.source").alias("source"), "pos", "article.*"))
+    info = F.from_json("info", schema.DUMP["export_info"].dataType)
+    ranges = dump_ranges(spark, path, pattern, part_bytes, chunk_bytes).filter("n > 0").withColumn("source", info["source"]).drop("info")
+    elements = _dealt(ranges).mapInArrow(_elements(chunk_bytes), "path string, source string, pos long, value string")
+    return (elements.withColumn("article", F.from_json("value", schema.DUMP_ARTICLE))
+            .select(F.element_at(F.split("path", "/"), -1).alias("file"), "source", "pos", "article.*"))

@@ -392,6 +392,16 @@ def test_large_dumps_are_cut_anywhere(spark, tmp_path):
     assert len(ranges) > 1 and sum(r["n"] for r in ranges) == 40
 
 
+def test_texts_of_large_dumps_meet_no_join(spark, tmp_path):
+    # Spark knows the size of the rows of ranges, not that of the texts read by them: it broadcast the texts.
+    (tmp_path / "d.json").write_text('{"export_info": {"source": "s"}, "articles": [' + ", ".join(f'{{"id": {i}}}' for i in range(50)) + "]}")
+    got = large_dumps.read_large_dumps(spark, str(tmp_path), part_bytes=20)
+    assert sorted((r["id"], r["pos"], r["source"]) for r in got.collect()) == [(i, i, "s") for i in range(50)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # Ranges stay with as many tasks as a shuffle has, though their rows are small.
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_counts_of_batches_are_merged(spark, tmp_path):
     import pathlib
 
