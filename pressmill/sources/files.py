@@ -10,11 +10,16 @@ Paths are URIs of any file system that pyarrow knows, or local folders that all
 """
 
 import posixpath
+import sys
 import time
 import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+# Workers get what they run with the task and need no module.
+register_pickle_by_value(sys.modules[__name__])
+
 STAGED = "pressmill_staged_files"
 
 
@@ -145,9 +150,67 @@ def write_files(df, path, text, file_name="file_name", folder=None):
         pass
 
 
+def _hidden(name):
+    """Names that Spark's readers leave out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+def _listed(deep):
+    """Entries of folders: the first level as (folder, file), or all files below a folder."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri, folder, name in zip(*(c.to_pylist() for c in batch.columns)):
+                system, root = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+                waiting, found = [folder] if deep and folder and not name else [], []
+                if not deep:
+                    waiting = [""]
+                elif name:
+                    found.append((folder, name))
+                while waiting:
+                    below = waiting.pop()
+                    for info in system.get_file_info(fs.FileSelector(f"{root}/{below}".rstrip("/"))):
+                        if _hidden(info.base_name):
+                            continue
+                        if info.type == fs.FileType.Directory:
+                            (waiting if deep else found).append(f"{below}/{info.base_name}".lstrip("/") if deep else (info.base_name, ""))
+                        elif info.base_name.endswith(".md") and info.size:
+                            found.append((below, info.base_name))
+                for at in range(0, len(found), 10_000):
+                    part = found[at:at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([uri] * len(part), pa.string()), pa.array([f for f, _ in part], pa.string()), pa.array([n for _, n in part], pa.string())],
+                                                     ["path", "folder", "file_name"])
+    return run
+
+
+def _texts(batches):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        for at in range(0, len(rows), 256):      # so many texts are held at once
+            folders, names, texts = [], [], []
+            for uri, folder, name in rows[at:at + 256]:
+                system, root = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+                with system.open_input_file("/".join(x for x in (root, folder, name) if x)) as file:
+                    texts.append(file.read().decode("utf-8", "replace"))
+                folders.append((folder or root).rsplit("/", 1)[-1])
+                names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.string())], ["folder", "file_name", "text"])
+
+
 def read_files(spark, path):
-    """folder, file_name, text of files that ``write_files`` wrote below ``path``."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    name = F.col("_metadata.file_path")
-    parts = F.split(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "/")
-    return whole.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file_name"), F.col("value").alias("text"))
+    """folder, file_name, text of files that ``write_files`` wrote below ``path``.
+
+    Tasks list the folders and open the files, so the driver holds no names; the number of tasks is that of
+    a shuffle, not of the files.  Empty files give no row.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    columns = "path string, folder string, file_name string"
+    root = spark.range(1, numPartitions=1).select(F.lit(path.rstrip("/")).alias("path"), F.lit("").alias("folder"), F.lit("").alias("file_name"))
+    first = root.mapInArrow(_listed(False), columns).repartition(tasks, F.xxhash64("folder", "file_name"))
+    names = first.mapInArrow(_listed(True), columns).repartition(tasks, F.xxhash64("folder", "file_name"))
+    return names.mapInArrow(_texts, "folder string, file_name string, text string")

@@ -402,6 +402,32 @@ def test_texts_of_large_dumps_meet_no_join(spark, tmp_path):
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_written_files_are_listed_by_tasks(spark, tmp_path):
+    rows = [("a+b c", "1 %41.md", "x\n"), ("a+b c", "2.md", "文"), ("d", "1.md", None), ("d", "_h.md", "no"), ("d", "3.txt", "no"), ("e/f", "1.md", "deep")]
+    files.write_files(spark.createDataFrame(rows, "folder string, file_name string, text string"), str(tmp_path / "w"), "text", folder="folder")
+    got = files.read_files(spark, str(tmp_path / "w"))
+    assert sorted(map(tuple, got.collect())) == [("a+b c", "1 %41.md", "x\n"), ("a+b c", "2.md", "文"), ("f", "1.md", "deep")]
+    assert not got.inputFiles()      # the driver lists none of them
+    files.write_files(spark.createDataFrame([("1.md", "t")], "file_name string, text string"), str(tmp_path / "v"), "text")
+    assert [tuple(r) for r in files.read_files(spark, f"file://{tmp_path}/v").collect()] == [("v", "1.md", "t")]
+
+
+def test_quality_counts_without_lists_of_matches(spark):
+    from pressmill.functions.text import strip
+
+    spaces = [chr(i) for i in range(0x10000) if chr(i).isspace()]
+    body = "".join(spaces) + "Ab cd1 ef. Gh!\u3000? ij" + "".join(spaces)
+    df = spark.createDataFrame([(1, "t", body), (2, "t", " \u2003\n"), (3, None, None), (4, "", "")], "id long, title string, content string")
+    assert {r["id"]: r["s"] for r in df.select("id", strip(F.col("content")).alias("s")).collect()} == {1: body.strip(), 2: "", 3: None, 4: ""}
+    got = df.select("id", quality._tokens(F.col("content")).alias("n"), quality._count(F.col("content"), "[a-z]").alias("c")).collect()
+    assert [(r["n"], r["c"]) for r in sorted(got) if r["id"] != 3] == [(6, 8), (0, 0), (0, 0)]
+    from pressmill.operators.export import analysed
+    columns = df.selectExpr("*", "'a' AS author", "'b' AS account_name", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS publish_time", "'u' AS url")
+    plan = quality.with_quality(columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+    assert analysed(columns).count() == 4
+
+
 def test_counts_of_batches_are_merged(spark, tmp_path):
     import pathlib
 
