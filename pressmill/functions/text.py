@@ -11,6 +11,8 @@ from pressmill import fixed_values as fv
 
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"       # body of a class: every Unicode space
 SPACE_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\p{Z}"  # the same without the line feed
+# The characters of SPACE, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"                    # body of a class: letters, digits, underscore
 CJK = r"一-鿿"
 WORD_START = rf"(?<![{WORD}])"
@@ -34,11 +36,11 @@ def unicode_words(pattern):
 
 def strip(c):
     """Remove Unicode white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c):
-    return F.regexp_replace(c, rf"[{SPACE}]+$", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def clean_field(c):

@@ -18,8 +18,12 @@ LINK = r"\[[^\n]*?\]\([^\n]*?\)"
 
 
 def _count(text, pattern, needs=None):
-    """Occurrences of a pattern; a literal it needs is looked for first."""
-    n = F.regexp_count(text, F.lit(pattern))
+    """Occurrences of a pattern that is never empty; a literal it needs is looked for first.
+
+    They are counted as the cuts of a split: Spark's count first makes a list of all matches,
+    with a copy of the matcher for each.
+    """
+    n = F.size(F.split(text, pattern)) - 1
     return n if needs is None else F.when(F.contains(text, F.lit(needs)), n).otherwise(0)
 
 
@@ -39,9 +43,14 @@ def _prepared(df):
 
 
 def stripped_sentences(text):
-    """Pieces between sentence marks without surrounding white space."""
-    marks = SENTENCE_MARKS
-    return F.split(strip(text), rf"[{SPACE}]*[{marks}][{SPACE}{marks}]*")
+    """Pieces between sentence marks without surrounding white space; some are empty."""
+    return F.transform(F.split(text, f"[{SENTENCE_MARKS}]"), strip)
+
+
+def _tokens(text):
+    """Number of stretches without white space: each becomes one character, with the space around it."""
+    runs = F.length(F.regexp_replace(text, f"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+", "x"))
+    return F.when(text.rlike(f"[^{SPACE}]"), runs).otherwise(0)
 
 
 def with_readability(df):
@@ -54,7 +63,7 @@ def with_readability(df):
     plain, body = F.col("_plain"), F.col("_body")
     df = df.withColumns({
         "_sentences": _count(plain, rf"[{WORD},;:][^.!?]*"),
-        "_words": _count(plain, f"{WORD_START}[a-zA-Z]+{WORD_END}")
+        "_words": _count(plain, f"(?=[a-zA-Z]){WORD_START}[a-zA-Z]++{WORD_END}")
         + F.when(F.col("_cjk"), _count(plain, f"[{CJK}]")).otherwise(0),
         # A new paragraph begins behind every white space that holds an empty line.
         "_paragraphs": F.lit(1) + F.when(
@@ -82,7 +91,7 @@ def with_technical_depth(df):
     df = df.withColumns({
         "_high": F.col("_high") + F.when(much, 2).otherwise(0),
         "_medium": F.col("_medium") + F.when(some, 1).otherwise(0),
-        "_tokens": _count(text, f"[^{SPACE}]+"),
+        "_tokens": _tokens(text),
     })
     points = F.col("_high") * 3 + F.col("_medium") * 2 + F.col("_low")
     density = F.when(F.col("_tokens") > 0, points / F.col("_tokens")).otherwise(0.0)
@@ -186,6 +195,8 @@ def key_points(content, n=5):
     on_topic = "|".join(fv.KEY_SENTENCE_WORDS)
     sentences = F.filter(stripped_sentences(content), lambda s: (
         (F.length(s) > 20) & (F.length(s) < 200) & F.lower(s).rlike(on_topic)))
+    # Few texts hold one of the words; the others aren't cut into sentences.
+    sentences = F.when(contains_one_of(F.lower(content), fv.KEY_SENTENCE_WORDS), sentences).otherwise(F.array().cast("array<string>"))
     return F.slice(F.concat(headings, items, sentences), 1, n)
 
 
