@@ -114,7 +114,7 @@ def digest_export(df):
 
 # ---------------------------------------------------------------- collections
 
-def split_collections(df, text, title="title", always=False):
+def split_collections(df, text, title="title", always=False, repair=None):
     """One row per article linked in a collection.
 
     A block runs from the end of the URL before to the start of the URL after.  Title:
@@ -123,60 +123,72 @@ def split_collections(df, text, title="title", always=False):
     line below that begins with a name of less than 20 characters and a colon.
     Articles that are no collections, or hold no usable link, keep one row of their own.
     Needs ``id, url, author`` beside title and text; adds ``sub_*`` and ``split``.
+    ``repair`` is applied to every URL before the rows are dealt out, so that filters on
+    the URL do not repair it again.
     """
     url = rf"https?://[^{SPACE}]+"
     is_collection = F.lit(True) if always else F.contains(F.col(title), F.lit(fv.COLLECTION_MARKER))
+    # The lines of a gap serve the URL behind it and the one in front.
     df = df.withColumns({
         "_urls": F.when(is_collection, F.regexp_extract_all(F.col(text), F.lit(url), F.lit(0))),
-        "_gaps": F.when(is_collection, F.split(F.col(text), url))})
+        "_gaps": F.when(is_collection, F.transform(
+            F.split(F.col(text), url), lambda gap: F.transform(F.split(gap, "\n"), strip)))})
     blocks = F.transform("_urls", lambda u, i: F.struct(
-        u.alias("url"), F.get("_gaps", i).alias("before"), F.get("_gaps", i + 1).alias("after")))
+        u.alias("url"), F.get("_gaps", i).alias("above"),
+        F.filter(F.slice(F.get("_gaps", i + 1), 2, ALL), lambda s: s != "").alias("below")))
     df = df.withColumn("_blocks", blocks).drop("_urls", "_gaps")
-    df = df.withColumn("_items", F.filter(F.transform("_blocks", _collection_item),
-                                          lambda x: x["title"] != "")).drop("_blocks")
+    # In a lambda every use of a value evaluates it anew, so each step makes what the next one uses more than once.
+    items = F.transform(F.transform("_blocks", _block_parts), _collection_item)
+    df = df.withColumn("_items", F.filter(items, lambda x: x["title"] != "")).drop("_blocks")
     own = F.struct(F.col(title).alias("title"), F.col("url").alias("url"),
                    F.col(text).alias("content"), F.col("author").alias("author"))
     found = F.coalesce(F.size("_items") > 0, F.lit(False))
     df = df.withColumns({"split": found, "_all": F.when(found, F.col("_items")).otherwise(F.array(own))})
+    stripped = F.transform("_all", lambda x: F.struct(
+        strip(x["title"]).alias("title"), (repair or (lambda c: c))(strip(x["url"])).alias("url"),
+        x["content"].alias("content"), x["author"].alias("author")))
     rows = df.select(*[c for c in df.columns if c not in ("_items", "_all")],
-                     F.posexplode_outer("_all").alias("sub_pos", "_sub"))
+                     F.posexplode_outer(stripped).alias("sub_pos", "_sub"))
     return rows.withColumns({
-        "sub_title": strip(F.col("_sub.title")), "sub_url": strip(F.col("_sub.url")),
+        "sub_title": F.col("_sub.title"), "sub_url": F.col("_sub.url"),
         "sub_content": strip(F.col("_sub.content")),
         "sub_author": F.coalesce(nonempty(strip(F.col("_sub.author"))), F.col("author")),
     }).drop("_sub")
 
 
-def _collection_item(block):
-    """Title, url, content and author of one block."""
-    def lines(c):
-        return F.transform(F.split(c, "\n"), strip)
+def _has_name(line):
+    return F.contains(line, F.lit(":")) & (F.length(_name_of(line)) < 20)
+
 
-    def name_of(line):
-        return strip(F.substring_index(line, ":", 1))
+def _name_of(line):
+    return strip(F.substring_index(line, ":", 1))
 
-    def has_name(line):
-        return F.contains(line, F.lit(":")) & (F.length(name_of(line)) < 20)
 
+def _block_parts(block):
+    """URL, title above it, author, and body below it of one block."""
     def behind_colon(line):
         return strip(F.substr(line, F.locate(":", line) + 1))
     none = F.lit("")
-    above = lines(block["before"])
-    same_line = F.element_at(above, -1)
-    earlier = F.filter(F.slice(above, 1, F.size(above) - 1), lambda s: (s != "") & (F.length(s) < 200))
-    title = F.coalesce(nonempty(same_line), F.try_element_at(earlier, F.lit(-1)), none)
-    below = F.filter(F.slice(lines(block["after"]), 2, ALL), lambda s: s != "")
-    names = F.filter(below, has_name)
-    author = F.coalesce(name_of(F.try_element_at(names, F.lit(-1))), none)
-    body = F.filter(F.transform(below, lambda s: F.when(has_name(s), behind_colon(s)).otherwise(s)),
+    same_line = F.element_at(block["above"], -1)
+    earlier = F.filter(F.slice(block["above"], 1, F.size(block["above"]) - 1), lambda s: (s != "") & (F.length(s) < 200))
+    author = _name_of(F.try_element_at(F.filter(block["below"], _has_name), F.lit(-1)))
+    body = F.filter(F.transform(block["below"], lambda s: F.when(_has_name(s), behind_colon(s)).otherwise(s)),
                     lambda s: s != "")
-    first = F.try_element_at(body, F.lit(1))
-    borrow = (title == "") & first.isNotNull() & (F.length(first) < 150)
     return F.struct(
-        F.when(borrow, first).otherwise(title).alias("title"),
         block["url"].alias("url"),
-        F.array_join(F.when(borrow, F.slice(body, 2, ALL)).otherwise(body), "\n").alias("content"),
-        author.alias("author"))
+        F.coalesce(nonempty(same_line), F.try_element_at(earlier, F.lit(-1)), none).alias("title"),
+        F.coalesce(author, none).alias("author"), body.alias("body"))
+
+
+def _collection_item(parts):
+    """Title, url, content and author of one block."""
+    first = F.try_element_at(parts["body"], F.lit(1))
+    borrow = (parts["title"] == "") & first.isNotNull() & (F.length(first) < 150)
+    return F.struct(
+        F.when(borrow, first).otherwise(parts["title"]).alias("title"),
+        parts["url"].alias("url"),
+        F.array_join(F.when(borrow, F.slice(parts["body"], 2, ALL)).otherwise(parts["body"]), "\n").alias("content"),
+        parts["author"].alias("author"))
 
 
 # ---------------------------------------------------------------- merge
@@ -189,11 +201,10 @@ def process_dump(normalised, as_of, smart_split=True, filter_bad=True, fill_time
     """
     df = normalised.withColumn("_text", F.coalesce(nonempty(F.col("full_content")), F.col("introduce")))
     if smart_split:
-        df = split_collections(df, "_text")
+        df = split_collections(df, "_text", repair=fixed_url)
     else:
         df = df.withColumns({"split": F.lit(False), "sub_pos": F.lit(0), "sub_title": F.col("title"),
-                             "sub_url": F.col("url"), "sub_content": F.col("_text"), "sub_author": F.col("author")})
-    df = df.withColumn("sub_url", fixed_url(F.col("sub_url")))
+                             "sub_url": fixed_url(F.col("url")), "sub_content": F.col("_text"), "sub_author": F.col("author")})
     no_time = F.col("time") == ""
     return df.withColumns({
         "bad": ~is_usable(F.col("sub_title"), F.col("sub_url")) if filter_bad else F.lit(False),
