@@ -15,7 +15,11 @@ have keys of their own; an empty table gives no rows.
 
 import re
 import string
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from pressmill.operators.browse import newest_first, preview, search_matches
@@ -23,11 +27,14 @@ from pressmill.operators.browse import newest_first, preview, search_matches
 BUCKETS = 64      # folders of postings
 PARTS = 16        # a bucket is written by up to this many tasks, each with shelves of its own
 SLICE = 100_000   # characters of a text that are cut into trigrams at a time
+PAIRS = 1 << 20   # pairs of trigram and key that a task gathers before it sends them as lists
 NAMED = 1_000     # so many keys go into the filter of the scan; more are joined
 
 KEY, SHELF, BUCKET = "_index_key", "_index_shelf", "_index_bucket"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
+register_pickle_by_value(sys.modules[__name__])   # workers need not have the package
+
 
 def build(df, path):
     """Store ``df`` and its postings below a new ``path``; columns ``title`` and ``content`` are indexed."""
@@ -38,20 +45,63 @@ def build(df, path):
     grams = _grams(spark.read.schema(shelved.schema).parquet(f"{path}/articles"))
     # Postings are complete after the first shuffle; the second moves finished lists to their folders.
     bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
-    postings = grams.groupBy("gram", SHELF).agg(F.sort_array(F.collect_set(KEY)).alias("keys")).withColumn(BUCKET, bucket)
+    postings = (grams.groupBy("gram", SHELF).agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"))
+                .withColumn(BUCKET, bucket))
     (postings.repartition(BUCKET, F.pmod(SHELF, F.lit(PARTS))).sortWithinPartitions(BUCKET, "gram", SHELF)
      .write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{path}/postings"))
     return Index(spark, path, df.schema)
 
 
 def _grams(stored):
-    """Distinct trigrams of every stored row, as (shelf, key, gram); long texts by slices that overlap by two."""
-    texts = stored.select(SHELF, KEY, F.explode(F.array("title", "content")).alias("text")).filter("length(text) >= 3")
-    slices = texts.select(SHELF, KEY, F.explode(F.expr(
-        f"transform(sequence(0, CAST((length(text) - 1) DIV {SLICE} AS INT)), i -> substring(text, i * {SLICE} + 1, {SLICE} + 2))")).alias("text"))
-    folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    # A match of no length at every place, which looks three characters ahead.
-    return slices.select(SHELF, KEY, F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit("(?s)(?=(...))"), F.lit(1)))).alias("gram"))
+    """Parts of postings, as (gram, shelf, keys): a task gathers the keys of many rows before it sends a trigram."""
+    return stored.select(SHELF, KEY, "title", "content").mapInArrow(_parts, f"gram string, {SHELF} int, keys array<long>")
+
+
+def _codes(raw):
+    """Distinct trigrams of a text (UTF-8) as numbers of three times 21 bits; long texts by slices that overlap by two."""
+    text, found = raw if raw.isascii() else raw.decode("utf-8", "replace"), []
+    for at in range(0, len(text) - 2, SLICE):
+        cut = text[at:at + SLICE + 2]
+        c = np.frombuffer(cut, np.uint8) if cut.__class__ is bytes else np.frombuffer(cut.encode("utf-32-le"), "<u4")
+        c = c.astype(np.int64)
+        c += 32 * ((c >= 65) & (c <= 90))
+        found.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+    return found
+
+
+def _parts(batches):
+    """Arrow function behind ``_grams``; holds some more than ``PAIRS`` pairs of trigram and key."""
+    shelf, codes, keys, held = None, [], [], 0
+
+    def part():
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        key = np.repeat(np.asarray(keys, np.int64), [len(c) for c in codes])[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        letters = np.stack([code[first] >> 42, code[first] >> 21 & 0x1FFFFF, code[first] & 0x1FFFFF], axis=1)
+        text = letters.astype("<u4").tobytes().decode("utf-32-le")
+        return pa.RecordBatch.from_arrays([
+            pa.array([text[i:i + 3] for i in range(0, len(text), 3)], pa.string()),
+            pa.array(np.full(len(first), shelf, np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(key)),
+        ], ["gram", SHELF, "keys"])
+
+    for batch in batches:
+        shelves, ids, titles, contents = batch.columns
+        titles, contents = titles.cast(pa.binary()), contents.cast(pa.binary())
+        for own, key, *texts in zip(shelves.to_pylist(), ids.to_pylist(), titles, contents):
+            if held and (own != shelf or held > PAIRS):
+                yield part()
+                codes, keys, held = [], [], 0
+            shelf = own
+            found = [c for text in texts if text.is_valid for c in _codes(text.as_py())]
+            if found:
+                codes.append(found[0] if len(found) == 1 else np.unique(np.concatenate(found)))
+                keys.append(key)
+                held += len(codes[-1])
+    if held:
+        yield part()
 
 
 def pattern_grams(query):
