@@ -17,6 +17,7 @@ and are accepted.  Repeated rows give repeated results; an empty input gives no
 by ``keep_good`` and not read.
 """
 
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -250,14 +251,21 @@ def fit(docs, labels, labelled=LABELLED, pool=POOL):
     least = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text", "source", "lang", "n_chars", "label", "weight"))
     rows = rows.groupBy("doc_id").agg(least.alias("row"))
     views = rows.select("doc_id", "row.label", "row.weight", "row.text", "row.source", "row.lang", "row.n_chars").mapInArrow(
-        _views, "doc_id long, label double, weight double, content binary, meta array<int>").toArrow()
-    table = [(np.frombuffer(c, np.float16), m, np.nan if y is None else y, w, i % ASIDE == 0, i)
-             for i, y, w, c, m in zip(*(views.column(k).to_pylist() for k in ("doc_id", "label", "weight", "content", "meta")))]
-    del views
-    table.sort(key=lambda r: (r[5], r[0].tobytes()))
-    if {0.0, 1.0} - {r[2] for r in table}:
-        return None
-    return fit_views(table)
+        _views, "doc_id long, label double, weight double, content binary, meta array<int>")
+    # The bounded sample meets in one task, so the driver holds the model alone.
+    found = views.repartition(1).mapInArrow(_fitted(fit_views), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
+def _fitted(learn):
+    """One row with the pickled model, or none where labels don't hold both qualities."""
+    def run(batches):
+        table = [(np.frombuffer(c, np.float16), m, np.nan if y is None else y, w, i % ASIDE == 0, i)
+                 for batch in batches for i, y, w, c, m in zip(*(batch.column(k).to_pylist() for k in range(5)))]
+        table.sort(key=lambda r: (r[5], r[0].tobytes()))
+        if {0.0, 1.0} <= {r[2] for r in table}:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(table))], pa.binary())], ["model"])
+    return run
 
 
 def _scored(model):
